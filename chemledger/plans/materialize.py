@@ -1,0 +1,33 @@
+"""Cut a lineage by writing a table to the shared checkpoint folder and reading it back.
+
+A written Parquet table survives executor loss and, unlike an RDD checkpoint, lets each later pass
+read only the columns it needs.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only for an in-process master."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="chemledger-")
+    return _LOCAL_DIRS[app]
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

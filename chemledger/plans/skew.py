@@ -1,0 +1,124 @@
+"""Ordered-group operators whose groups may not fit one task.
+
+A plain window puts a whole group into one task. These helpers use it for groups up to ``hot_rows``
+rows. A larger group is range-partitioned over (keys, order) so that it spreads over many tasks; each
+task numbers its own slice and the slices are put together by one small row per (group, slice).
+The placement is written out once, so that both passes see the same slices even after a lost executor.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from chemledger.plans.materialize import materialize
+
+HOT_ROWS = 2_000_000
+_SLICE_SHIFT = 33  # monotonically_increasing_id keeps the partition number above this bit
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys of groups above the bound; at most rows / hot_rows of them exist."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
+
+
+def _apply(df: DataFrame, keys: Sequence[str], hot_rows: int,
+           cold: Callable[[DataFrame], DataFrame], hot: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    groups = hot_groups(df, keys, hot_rows)
+    if groups.isEmpty():
+        return cold(df)
+    groups = materialize(groups, "hot-groups")
+    on = None
+    right = groups.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    for k in keys:
+        term = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+        on = term if on is None else on & term
+    small = F.broadcast(right)  # bounded: rows / hot_rows
+    return cold(df.join(small, on, "left_anti")).unionByName(hot(df.join(small, on, "left_semi")))
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    cols = [F.col(k) for k in keys] + list(order)
+    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "slices")
+    return placed.withColumn("_slice", F.shiftright("_at", _SLICE_SHIFT))
+
+
+def _attach(placed: DataFrame, per_slice: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    names = [*keys, "_slice"]
+    right = per_slice.select(*[F.col(c).alias(f"_of_{c}") for c in names], *extra)
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return placed.join(right, on, "inner").drop(*[f"_of_{c}" for c in names])
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``row_number()`` per group; ``order`` must be total within a group."""
+    columns = df.columns
+
+    def cold(part: DataFrame) -> DataFrame:
+        return part.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+    def hot(part: DataFrame) -> DataFrame:
+        placed = _sliced(part, keys, order)
+        per_slice = placed.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        per_slice = per_slice.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        joined = _attach(placed, per_slice, keys, ["_before", "_first"])
+        return joined.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*columns, out)
+
+    return _apply(df, keys, hot_rows, cold, hot)
+
+
+def lead_values(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``lead(value)`` per group; ``value`` must not be null."""
+    columns = df.columns
+
+    def cold(part: DataFrame) -> DataFrame:
+        return part.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def hot(part: DataFrame) -> DataFrame:
+        placed = _sliced(part, keys, order)
+        per_slice = placed.groupBy(*keys, "_slice").agg(F.min_by(value, "_at").alias("_head"))
+        per_slice = per_slice.withColumn("_next", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_slice")))
+        joined = _attach(placed, per_slice, keys, ["_next"])
+        inside = Window.partitionBy(*keys, "_slice").orderBy("_at")
+        return joined.withColumn(out, F.coalesce(F.lead(value).over(inside), F.col("_next"))).select(*columns, out)
+
+    return _apply(df, keys, hot_rows, cold, hot)
+
+
+def lookup(big: DataFrame, per_key: DataFrame, key: str, rows: str, take: Sequence[str], how: str = "inner",
+           hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join rows to one row per key when a key may own a large share of ``big``.
+
+    ``per_key`` carries ``rows``, the number of rows of that key. Keys above the bound (at most
+    rows / hot_rows of them) are broadcast, so their rows stay where they are; the rest is an
+    ordinary equi-join.
+    """
+    right = per_key.select(key, rows, *take)
+    hot = F.broadcast(right.where(F.col(rows) > hot_rows).drop(rows))
+    cold = right.where(F.col(rows) <= hot_rows).drop(rows)
+    kept = big.join(hot.select(key), key, "left_anti").join(cold, key, how)
+    return big.join(hot, key, "inner").select(*kept.columns).unionByName(kept)
+
+
+def block_running_sum(df: DataFrame, key: str, position: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Running sum of ``value`` by integer ``position`` inside ``key``, in blocks of positions.
+
+    No task holds more than one block of a key; the sums of the blocks (one row each) are summed in
+    turn. ``df`` is read twice and should be a stored table.
+    """
+    blocked = df.withColumn("_block", F.floor((F.col(position) - 1) / block).cast("long"))
+    sums = blocked.groupBy(key, "_block").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    inside = Window.partitionBy(key, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return (blocked.join(sums, [key, "_block"], "inner")
+            .withColumn(out, (F.col("_before") + F.sum(value).over(inside)).cast("long"))
+            .drop("_block", "_before"))

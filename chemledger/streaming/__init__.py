@@ -1,0 +1 @@
+"""No streaming operators: the registry has no streams, watermarks or event windows to reproduce."""
