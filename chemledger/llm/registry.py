@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op8_quality
 from .sharding import op3_shard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_shard": op3_shard,
+        "op8_quality": op8_quality,
     }
 
 
