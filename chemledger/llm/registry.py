@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality import op8_quality
 from .sharding import op3_shard
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_shard": op3_shard,
+        "op4_toxicity": op4_toxicity,
         "op8_quality": op8_quality,
     }
 
