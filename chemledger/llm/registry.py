@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pieces import op1_pieces
 from .quality import op8_quality
 from .sharding import op3_shard
 from .toxicity import op4_toxicity
@@ -13,6 +14,7 @@ from .toxicity import op4_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pieces": op1_pieces,
         "op3_shard": op3_shard,
         "op4_toxicity": op4_toxicity,
         "op8_quality": op8_quality,
