@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from . import common, text
 from .quality import held_out, learnable
 
 FEATURES = 1 << 18
-MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
+MAX_POSITIVE, MAX_UNLABELLED = 3_000, 8_000
 STEPS, RATE, RIDGE, LEAST_SURPRISE, STEM_BYTES = 200, 0.05, 1e-3, 5.0, 6
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -130,14 +129,23 @@ def train(sds: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, m
     others = sds.select("sds_id").where("sds_id is not null").distinct().orderBy(first, "sds_id").limit(max_unlabelled).select("sds_id", F.lit(False).alias("positive"))
     # at most max_positive + max_unlabelled rows of three short columns
     chosen = toxic.unionByName(others).groupBy("sds_id").agg(F.max("positive").alias("positive"), F.min("positive").alias("only")).join(marked, "sds_id", "left")
-    rows = sheet_words(sds.join(F.broadcast(chosen), "sds_id"), "sds_id", "positive", "only", "label").dropDuplicates(["sds_id"]).toPandas()
-    flat = lambda part: (np.repeat(np.arange(len(part)), [len(x) for x in part["words"]]), np.concatenate([*part["words"], np.zeros(0, np.int64)]).astype(np.int64))
-    both = rows[rows["positive"] & ~rows["only"]].copy()  # a toxic sheet drawn for U as well counts on both sides
-    both["positive"] = False
-    sample = rows if both.empty else pd.concat([rows, both], ignore_index=True)
-    model = fit_nnpu(*flat(sample), sample["positive"].to_numpy(bool), prior)
-    known = rows[rows["label"].notna()]
-    return calibrate(model, *flat(known), known["label"].to_numpy(np.float64))
+    rows = sheet_words(sds.join(F.broadcast(chosen), "sds_id"), "sds_id", "positive", "only", "label").dropDuplicates(["sds_id"]).toArrow()
+    flags = rows.drop_columns(["words"]).to_pandas()
+    words = rows.column("words").combine_chunks()
+    size, flat = words.value_lengths().to_numpy(), words.flatten().to_numpy()
+    del rows, words
+    begin = np.cumsum(size) - size
+    # a toxic sheet drawn for U as well counts on both sides
+    positive, label = flags["positive"].to_numpy(bool), flags["label"].to_numpy(np.float64)
+    use = np.concatenate([np.arange(len(flags)), np.flatnonzero(positive & ~flags["only"].to_numpy(bool))])
+
+    def pick(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[of]
+        return np.repeat(np.arange(len(of), dtype=np.int32), n), flat[np.arange(int(n.sum())) + np.repeat(begin[of] - (np.cumsum(n) - n), n)]
+
+    model = fit_nnpu(*pick(use), np.append(positive, np.zeros(len(use) - len(positive), bool)), prior)
+    known = np.flatnonzero(~np.isnan(label))
+    return calibrate(model, *pick(known), label[known])
 
 
 def score_toxicity(sds: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = 0.7, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
