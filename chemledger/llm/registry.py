@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .pieces import op1_pieces
 from .quality import op8_quality
 from .sharding import op3_shard
+from .surrogates import op9_surrogates
 from .toxicity import op4_toxicity
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_shard": op3_shard,
         "op4_toxicity": op4_toxicity,
         "op8_quality": op8_quality,
+        "op9_surrogates": op9_surrogates,
     }
 
 
