@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_decontaminate
 from .pieces import op1_pieces
 from .quality import op8_quality
 from .sharding import op3_shard
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op8_quality": op8_quality,
         "op9_surrogates": op9_surrogates,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
