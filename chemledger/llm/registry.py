@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .neardup import op7_neardup
 from .pieces import op1_pieces
 from .quality import op8_quality
 from .sharding import op3_shard
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pieces": op1_pieces,
         "op3_shard": op3_shard,
         "op4_toxicity": op4_toxicity,
+        "op7_neardup": op7_neardup,
         "op8_quality": op8_quality,
         "op9_surrogates": op9_surrogates,
         "op10_decontaminate": op10_decontaminate,
