@@ -10,6 +10,7 @@ from .decontaminate import op10_decontaminate
 from .neardup import op7_neardup
 from .pieces import op1_pieces
 from .quality import op8_quality
+from .seeds import op5_seeds
 from .sharding import op3_shard
 from .surrogates import op9_surrogates
 from .toxicity import op4_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pieces": op1_pieces,
         "op3_shard": op3_shard,
         "op4_toxicity": op4_toxicity,
+        "op5_seeds": op5_seeds,
         "op7_neardup": op7_neardup,
         "op8_quality": op8_quality,
         "op9_surrogates": op9_surrogates,
