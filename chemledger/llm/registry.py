@@ -12,6 +12,7 @@ from .pieces import op1_pieces
 from .quality import op8_quality
 from .seeds import op5_seeds
 from .sharding import op3_shard
+from .suffixes import op2_suffixes
 from .surrogates import op9_surrogates
 from .toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ from .toxicity import op4_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pieces": op1_pieces,
+        "op2_suffixes": op2_suffixes,
         "op3_shard": op3_shard,
         "op4_toxicity": op4_toxicity,
         "op5_seeds": op5_seeds,
