@@ -129,24 +129,29 @@ class Index:
             yield from ((d, i, x) for (d, i), x in best.items())
 
 
+def _indexes(items: DataFrame, block_items: int) -> Iterator[Index]:
+    """The items in blocks of about ``block_items``, so that no task or driver holds more, whatever their number."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    blocks = max(1, -(-items.count() // block_items))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
+        codes, first = word_codes([x.encode() for x in rows.column("text").to_pylist()])
+        yield Index([(i, codes[first[k] : first[k + 1]]) for k, i in enumerate(rows.column("item_id").to_pylist())])
+
+
 def benchmark_leaks(sds: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Which sheets hold which benchmark items: ``sds_id``, ``item_id``, ``similarity`` (of the best window), a row for each pair that is SIMILARITY alike.
 
     ``sds``: sds_id, text string. ``items``: item_id long, text string; the reference has no benchmark of its own, so any table of texts will do. Similarity
     is the weighted Jaccard index of the shingles of five words (all words where an item has fewer; case and punctuation aside). The items are held in
-    blocks of about ``block_items``; each block is one pass over the sheets, so that no task holds more, whatever the number of items.
+    blocks of about ``block_items``; each block is one pass over the sheets.
 
     Null or empty texts and items match nothing. Equal items match alike, each under its number; repeated sheets give repeated rows. Other columns are
     ignored. Without items or sheets there are no rows.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // block_items))
     kind = dict(sds.dtypes)["sds_id"]
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
-        codes, first = word_codes([x.encode() for x in rows.column("text").to_pylist()])
-        index = Index([(i, codes[first[k] : first[k + 1]]) for k, i in enumerate(rows.column("item_id").to_pylist())])
+    for index in _indexes(items, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for own, texts in text.chunks(batches):
@@ -159,6 +164,20 @@ def benchmark_leaks(sds: DataFrame, items: DataFrame, block_items: int = BLOCK_I
     return out
 
 
+def without_leaks(rows: DataFrame, items: DataFrame, text_column: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows whose text holds no item, by the measure of ``benchmark_leaks``, with all their columns. Rows do not move."""
+    for index in _indexes(items, block_items):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for own, texts in text.chunks(batches, text_column):
+                keep = np.ones(len(texts), bool)
+                keep[[d for d, _, _ in index.matches(*word_codes(texts))] if index.sizes else []] = False
+                yield own.filter(pa.array(keep))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` that hold ``benchmark`` items, as pairs."""
     sds = common.sds_texts(common.table(spark, sf_dir, "documents"))

@@ -182,3 +182,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of ``documents``, learnt from four fifths of ``labels``."""
     scored = score_quality(common.sds_texts(common.table(spark, sf_dir, "documents")), learnable(spark, sf_dir, "quality", 5, 0))
     return scored.select(F.col("sds_id").alias("doc_id"), F.coalesce(held_out("sds_id", 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def only_good(rows: DataFrame, labels: DataFrame, key: str = "sds_id", text_column: str = "text", threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows whose whole text scores ``threshold`` or more, with all their columns; learnt from ``labels`` as in ``score_quality``. Rows do not move."""
+    sds = rows.select(F.col(key).alias("sds_id"), F.col(text_column).cast("string").alias("text"))
+    model = train(sheet_statistics(sds), labels, max_labelled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, texts in text.chunks(batches, text_column):
+            yield own.filter(pa.array(model.score(statistics(texts)) >= threshold))
+
+    return rows.mapInArrow(run, rows.schema)
