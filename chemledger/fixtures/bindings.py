@@ -30,20 +30,20 @@ SELECT sds_id, product_id, CONCAT('card-', CAST(sds_id AS STRING), '.pdf') AS or
  CONCAT('sds/', CAST(sds_id AS STRING), '.pdf') AS relative_path, issue_date, revision,
  CASE WHEN inval THEN 'INVALIDATED' WHEN rn = 1 AND product_id % 13 <> 0 THEN 'CURRENT' ELSE 'ARCHIVED' END AS document_status,
  registered_at, 'AVAILABLE' AS file_status
-FROM (SELECT o_orderkey AS sds_id, o_custkey AS product_id, o_orderdate AS registered_at,
+FROM (SELECT o_orderkey AS sds_id, CASE WHEN o_custkey % 11 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END AS product_id, o_orderdate AS registered_at,
  CAST(o_orderdate AS DATE) AS issue_date, CAST(o_orderkey % 5 AS STRING) AS revision,
  o_orderpriority = '5-LOW' AS inval,
- ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderpriority = '5-LOW' ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-FROM orders WHERE o_custkey % 11 <> 0) t""",
+ ROW_NUMBER() OVER (PARTITION BY CASE WHEN o_custkey % 11 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END, o_orderpriority = '5-LOW' ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+FROM orders) t""",
     "b_bhp_decisions": """
-SELECT o_orderkey AS decision_id, o_custkey AS product_id, o_orderkey AS sds_id,
+SELECT o_orderkey AS decision_id, CASE WHEN o_custkey % 11 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END AS product_id, o_orderkey AS sds_id,
  CASE o_orderstatus WHEN 'F' THEN 'APPROVED' ELSE 'REJECTED' END AS decision_status,
  CASE WHEN o_orderkey % 4 = 0 THEN 'note' ELSE CAST(NULL AS STRING) END AS notes,
- o_orderdate AS registered_at, 'CURRENT' AS record_status, o_orderkey AS evidence_id
-FROM orders WHERE o_custkey % 11 <> 0 AND o_orderstatus IN ('F','O')
+ o_orderdate AS registered_at, CASE WHEN o_orderstatus IN ('F','O') THEN 'CURRENT' ELSE 'SUPERSEDED' END AS record_status, o_orderkey AS evidence_id
+FROM orders
 UNION ALL
-SELECT -o_orderkey - 1, o_custkey, o_orderkey, 'REJECTED', CAST(NULL AS STRING), o_orderdate, 'SUPERSEDED', -o_orderkey - 1
-FROM orders WHERE o_custkey % 11 <> 0 AND o_orderkey % 3 = 0""",
+SELECT -o_orderkey - 1, CASE WHEN o_custkey % 11 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END, o_orderkey, 'REJECTED', CAST(NULL AS STRING), o_orderdate, 'SUPERSEDED', -o_orderkey - 1
+FROM orders WHERE o_orderkey % 3 = 0""",
     "b_decision_evidence": """
 SELECT evidence_id, CASE WHEN evidence_id % 10 = 0 THEN CAST(NULL AS STRING) WHEN evidence_id % 10 = 5 THEN ''
   ELSE CONCAT('decision-', CAST(evidence_id AS STRING), '.pdf') END AS original_filename,
@@ -52,9 +52,9 @@ SELECT evidence_id, CASE WHEN evidence_id % 10 = 0 THEN CAST(NULL AS STRING) WHE
  'DOCUMENT' AS evidence_type, 'PDF' AS file_format, 'AVAILABLE' AS file_status
 FROM b_bhp_decisions""",
     "b_file_listing": """
-SELECT relative_path, CAST(1 AS BIGINT) AS length FROM b_sds_documents WHERE sds_id % 17 <> 0
+SELECT 'sds' AS root, relative_path, CAST(1 AS BIGINT) AS length FROM b_sds_documents WHERE sds_id % 17 <> 0
 UNION ALL
-SELECT e.relative_path, CAST(CASE WHEN e.evidence_id % 23 = 0 THEN 0 ELSE 1 END AS BIGINT)
+SELECT 'evidence', e.relative_path, CAST(CASE WHEN e.evidence_id % 23 = 0 THEN 0 ELSE 1 END AS BIGINT)
 FROM b_decision_evidence e JOIN b_bhp_decisions d ON d.evidence_id = e.evidence_id WHERE d.sds_id % 19 <> 0""",
     "b_sds_invalidation": """
 SELECT -sds_id - 1 AS invalidation_id, product_id, sds_id AS invalidated_sds_id,
@@ -74,10 +74,10 @@ FROM (SELECT DISTINCT l_linestatus AS unit_id FROM lineitem) t""",
     "b_product_usage_locations": """
 SELECT product_id, location_id, peak_quantity_value, peak_quantity_unit_id, monthly_consumption_value,
  CASE WHEN monthly_consumption_value IS NOT NULL THEN peak_quantity_unit_id END AS monthly_consumption_unit_id
-FROM (SELECT o_custkey AS product_id, l_suppkey AS location_id,
+FROM (SELECT CASE WHEN o_custkey % 9 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END AS product_id, l_suppkey AS location_id,
  CAST(MAX(l_quantity) AS DECIMAL(18,6)) AS peak_quantity_value, MIN(l_linestatus) AS peak_quantity_unit_id,
  CASE WHEN COUNT(*) > 1 THEN CAST(SUM(l_quantity) AS DECIMAL(18,6)) END AS monthly_consumption_value
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 9 <> 0 GROUP BY o_custkey, l_suppkey) t""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY CASE WHEN o_custkey % 9 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END, l_suppkey) t""",
     "b_physical_reviews": """
 SELECT review_id, review_date, status, created_at, CASE WHEN status = 'FINAL' THEN created_at END AS finalized_at
 FROM (SELECT review_id, CAST(MAX(l_shipdate) AS DATE) AS review_date, MIN(l_shipdate) AS created_at,

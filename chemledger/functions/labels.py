@@ -27,6 +27,11 @@ def or_dash(column: Column) -> Column:
     return F.when(column.isNull() | (column == ""), DASH).otherwise(column)
 
 
+def folded(column: Column) -> Column:
+    """Lower case with the sharp s written out, as Python's casefold has it."""
+    return F.replace(F.lower(column), F.lit("ß"), F.lit("ss"))
+
+
 def plain_decimal(value: Column) -> Column:
     text = value.cast("string")
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)

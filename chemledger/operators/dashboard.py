@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chemledger.operators.facts import EVERYTHING, Filters
-from chemledger.plans.skew import HOT_ROWS, row_numbers
+from chemledger.operators.facts import EVERYTHING, Filters, product_facts, scope
+from chemledger.plans.ordered import row_numbers
 
 # The four attention reasons in display order.
 ATTENTION_REASONS = ("NO_CURRENT_SDS", "NO_BHP_DECISION", "NO_ACTIVE_LOCATION", "MISSING_SOURCE_FILE")
@@ -36,8 +36,9 @@ def kpi(facts: DataFrame) -> DataFrame:
 
 
 def kpi_row(reg, facts: DataFrame, filters: Filters = EVERYTHING) -> DataFrame:
-    """Both sides are single-row aggregates, so the cross product is one row."""
-    return kpi(facts).crossJoin(active_location_count(reg, filters, facts))
+    """Both sides are single-row aggregates, so the cross product is one row. The location count needs the scoped ids only, which come without the file states."""
+    ids = scope(product_facts(reg), reg, filters).select("product_id") if filters.narrows_products else facts
+    return kpi(facts).crossJoin(active_location_count(reg, filters, ids))
 
 
 def bhp_distribution(facts: DataFrame) -> DataFrame:
@@ -66,8 +67,11 @@ def manufacturer_summary(facts: DataFrame) -> DataFrame:
         _n(F.col("current_sds_id").isNotNull()).alias("current_sds_count"),
         _n(F.col("bhp_category") == "APPROVED").alias("bhp_approved_count"),
         _n(F.size("attention_reasons") > 0).alias("attention_products_count"),
-        F.max("latest_sds_registered_at").alias("latest_sds_registered_at"))
-        .orderBy("manufacturer_name", "manufacturer_id"))
+        F.max("latest_sds_registered_at").alias("latest_sds_registered_at")))
+
+
+def ordered_summary(summary: DataFrame) -> DataFrame:
+    return summary.orderBy("manufacturer_name", "manufacturer_id")
 
 
 def manufacturers_by_products(facts: DataFrame) -> DataFrame:
@@ -75,10 +79,10 @@ def manufacturers_by_products(facts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("products_count"), "manufacturer_name", "manufacturer_id")
 
 
-def registration_sequence(sds_documents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def registration_sequence(sds_documents: DataFrame) -> DataFrame:
     """Number of each registration of a product, over all statuses and dates."""
     rows = sds_documents.select("product_id", "sds_id", "registered_at")
-    return row_numbers(rows, ["product_id"], [F.col("registered_at"), F.col("sds_id")], "sequence", hot_rows)
+    return row_numbers(rows, ["product_id"], "registered_at", ["sds_id"], "sequence")
 
 
 def sds_trend(sds_documents: DataFrame, scoped: DataFrame, filters: Filters = EVERYTHING) -> DataFrame:
@@ -87,17 +91,17 @@ def sds_trend(sds_documents: DataFrame, scoped: DataFrame, filters: Filters = EV
     Only the first registration of a product counts as new, so the ranking reduces to one minimum
     per product: every registration of the month minus the first ones that fall into it.
     """
-    rows = sds_documents.select("product_id", "registered_at", "sds_id").join(
-        scoped.select("product_id"), "product_id", "left_semi")
-    first = rows.groupBy("product_id").agg(F.min(F.struct("registered_at", "sds_id")).alias("_first"))
-    first = first.select(F.col("_first.registered_at").alias("registered_at"), F.lit(1).alias("_new"))
-    both = rows.select("registered_at", F.lit(0).alias("_new")).unionByName(first)
     day = F.col("registered_at").cast("date")
-    return (both.where((day >= F.lit(filters.trend_from)) & (day <= F.lit(filters.trend_to)))
-            .groupBy(F.trunc(day, "month").alias("period_start"))
-            .agg(F.sum("_new").cast("long").alias("new_sds_count"),
-                 (F.count_if(F.col("_new") == 0) - F.sum("_new")).cast("long").alias("updated_sds_count"))
-            .orderBy("period_start"))
+    inside = (day >= F.lit(filters.trend_from)) & (day <= F.lit(filters.trend_to))
+    # one row for each product and month, read once: how many registrations of the month lie inside, and the first of the month
+    per = (sds_documents.groupBy("product_id", F.trunc(day, "month").alias("period_start"))
+           .agg(F.count_if(inside).alias("_n"), F.min(F.struct("registered_at", "sds_id", inside.alias("inside"))).alias("_first"))
+           .join(scoped.select("product_id"), "product_id", "left_semi"))
+    first = per.groupBy("product_id").agg(F.min("_first").alias("_first"))
+    new = first.where("_first.inside").select(F.trunc(F.col("_first.registered_at").cast("date"), "month").alias("period_start"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_new"))
+    both = per.select("period_start", "_n", F.lit(0).alias("_new")).unionByName(new)
+    months = both.groupBy("period_start").agg(F.sum("_new").cast("long").alias("new_sds_count"), F.sum("_n").alias("_all"))
+    return months.where("_all > 0").select("period_start", "new_sds_count", (F.col("_all") - F.col("new_sds_count")).cast("long").alias("updated_sds_count"))
 
 
 def trend_series(trend: DataFrame) -> DataFrame:

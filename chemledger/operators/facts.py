@@ -98,11 +98,17 @@ def decision_with_evidence(reg) -> DataFrame:
     return decision.join(evidence, "_evidence_id", "left").drop("_evidence_id")
 
 
-def with_file_states(facts: DataFrame, listing: DataFrame) -> DataFrame:
-    rows = with_availability(facts, listing, "current_sds_relative_path", F.col("current_sds_id").isNotNull(),
-                             "current_sds_availability", "document")
-    return with_availability(rows, listing, "current_evidence_relative_path",
-                             F.col("current_bhp_decision_id").isNotNull(), "current_evidence_availability", "evidence")
+def listed(listing: DataFrame, root: str) -> DataFrame:
+    """The files of one root: ``sds`` or ``evidence``."""
+    return listing.where(F.col("root") == root)
+
+
+def with_file_states(facts: DataFrame, listing: DataFrame, sds_root: bool = True, evidence_root: bool = True) -> DataFrame:
+    rows = with_availability(facts, listed(listing, "sds"), "current_sds_relative_path", F.col("current_sds_id").isNotNull(),
+                             "current_sds_availability", "document", root_present=sds_root)
+    return with_availability(rows, listed(listing, "evidence"), "current_evidence_relative_path",
+                             F.col("current_bhp_decision_id").isNotNull(), "current_evidence_availability", "evidence",
+                             root_present=evidence_root)
 
 
 def scope(facts: DataFrame, reg, filters: Filters) -> DataFrame:
@@ -151,6 +157,6 @@ def duplicate_facts(facts: DataFrame) -> DataFrame:
 
 
 def require_single_facts(facts: DataFrame) -> DataFrame:
-    if not duplicate_facts(facts).isEmpty():
-        raise ValueError("more than one fact row for a product")
-    return facts
+    """The facts, with a failure inside the plan if a product has more than one row."""
+    extra = duplicate_facts(facts).select("product_id", F.raise_error(F.lit("more than one fact row for a product")).cast("boolean").alias("_twice"))
+    return facts.join(extra, "product_id", "left").where(F.coalesce("_twice", F.lit(True))).drop("_twice")

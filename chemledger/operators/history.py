@@ -7,16 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemledger.plans.skew import HOT_ROWS, lead_values
+from chemledger.plans.ordered import lead_values
 
 
 def ordered_history(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     return history.orderBy(*keys, "changed_at", "history_id")
 
 
-def validity_intervals(history: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    order = [F.col("changed_at"), F.col("history_id")]
-    rows = lead_values(history, list(keys), order, "changed_at", "valid_to", hot_rows)
+def validity_intervals(history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = lead_values(history, list(keys), "changed_at", ["history_id"], "changed_at", "valid_to")
     return rows.withColumnRenamed("changed_at", "valid_from").withColumn("is_latest", F.col("valid_to").isNull())
 
 

@@ -8,24 +8,18 @@ from pyspark.sql import functions as F
 from chemledger.functions import labels
 from chemledger.operators.facts import EVERYTHING, Filters, active_assignments, product_facts, scope
 from chemledger.operators.reviews import latest_final_items
-
-
-def _unit(reg, unit_id: str, code: str) -> DataFrame:
-    return reg.unit_of_measure.select(F.col("unit_id").alias(unit_id), F.col("code").alias(code))
+from chemledger.plans.lookup import with_unit
 
 
 def located_assignments(reg) -> DataFrame:
-    """Active assignments with unit codes and their latest FINAL review; every join key is present or
-    resolved before products without locations come in."""
+    """Active assignments with unit codes and their latest FINAL review. Unit keys, of which there are few, are salted."""
     review = latest_final_items(reg).select(
         "product_id", "location_id", F.col("observed_quantity").alias("review_observed_quantity"),
         F.col("difference").alias("review_difference"), "baseline_unit_id")
-    review = review.join(_unit(reg, "baseline_unit_id", "review_unit_code"), "baseline_unit_id", "left").drop("baseline_unit_id")
-    return (active_assignments(reg)
-            .join(_unit(reg, "peak_quantity_unit_id", "peak_quantity_unit_code"), "peak_quantity_unit_id", "left")
-            .join(_unit(reg, "monthly_consumption_unit_id", "monthly_consumption_unit_code"),
-                  "monthly_consumption_unit_id", "left")
-            .join(review, ["product_id", "location_id"], "left"))
+    rows = active_assignments(reg).join(review, ["product_id", "location_id"], "left")
+    for key, code in (("baseline_unit_id", "review_unit_code"), ("peak_quantity_unit_id", "peak_quantity_unit_code"), ("monthly_consumption_unit_id", "monthly_consumption_unit_code")):
+        rows = with_unit(rows, reg.unit_of_measure, key, code)
+    return rows.drop("baseline_unit_id")
 
 
 def product_location_detail(reg, filters: Filters = EVERYTHING) -> DataFrame:

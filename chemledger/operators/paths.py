@@ -21,6 +21,15 @@ def canonical_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?<=^|/)(\./)+", ""), r"/\.?$", "")
 
 
+def resolved(path: Column) -> Column:
+    """The parts of a path with ``.`` and ``..`` resolved as text, or null where it leaves its root."""
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.size(kept) - 1))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+
+
 def has_parent_step(path: Column) -> Column:
     return _posix(path).rlike(r"(^|/)\.\.(/|$)")
 
@@ -34,7 +43,7 @@ def document_path_rejected(path: Column) -> Column:
 def evidence_path_rejected(path: Column) -> Column:
     parts = F.split(_posix(path), "/", -1)
     bad_part = F.exists(parts, lambda p: p.isin("", ".", "..") | p.contains(":"))
-    return path.isNull() | (path == "") | path.rlike(_ROOTED) | bad_part | ~suffix(path).isin(*EVIDENCE_SUFFIXES)
+    return path.isNull() | (path == "") | F.contains(path, F.lit("\u0000")) | path.rlike(_ROOTED) | bad_part | ~suffix(path).isin(*EVIDENCE_SUFFIXES)
 
 
 def suffix(path: Column) -> Column:
@@ -53,8 +62,9 @@ def listing_sizes(listing: DataFrame) -> DataFrame:
 
 
 def with_availability(rows: DataFrame, listing: DataFrame, path: str, present: Column, out: str, kind: str,
-                      spread: str = "product_id") -> DataFrame:
-    """Add AVAILABLE / MISSING / CHECK_FAILED, or null where ``present`` is false."""
+                      spread: str = "product_id", root_present: bool = True) -> DataFrame:
+    """Add AVAILABLE / MISSING / CHECK_FAILED, or null where ``present`` is false. ``listing`` is that of the one root the paths are in; where the root itself
+    is absent every check fails."""
     rejected = document_path_rejected(F.col(path)) if kind == "document" else evidence_path_rejected(F.col(path))
     unusable = F.col("_size") == 0 if kind == "evidence" else F.lit(False)
     sizes = listing_sizes(listing)
@@ -62,7 +72,7 @@ def with_availability(rows: DataFrame, listing: DataFrame, path: str, present: C
     joined = rows.withColumn("_wanted", _join_key(usable, path, spread)).join(
         sizes, F.col("_wanted") == F.col("_listed"), "left")
     status = (F.when(~present, F.lit(None).cast("string"))
-              .when(rejected, "CHECK_FAILED")
+              .when(rejected | F.lit(not root_present), "CHECK_FAILED")
               .when(F.col("_size").isNull(), "MISSING")
               .when(unusable, "CHECK_FAILED")
               .otherwise("AVAILABLE"))
@@ -70,10 +80,11 @@ def with_availability(rows: DataFrame, listing: DataFrame, path: str, present: C
 
 
 def with_file_present(rows: DataFrame, listing: DataFrame, path: str, out: str, spread: str = "product_id") -> DataFrame:
-    """Plain boolean used by the supervisory list; an unsafe or empty path is simply not available."""
-    usable = F.coalesce(~(F.col(path).isNull() | (F.col(path) == "") | F.col(path).rlike(r"^/") | has_parent_step(F.col(path))),
-                        F.lit(False))
+    """Plain boolean used by the supervisory list: a path that leaves its root is not available, a ``..`` that stays inside is resolved, and backslashes are
+    ordinary characters."""
+    usable = F.coalesce((F.col(path) != "") & ~F.startswith(F.col(path), F.lit("/")) & (resolved(F.col(path)) != ""), F.lit(False))
     sizes = listing_sizes(listing)
-    joined = rows.withColumn("_wanted", _join_key(usable, path, spread)).join(
+    spread_key = F.concat(F.lit("\u0000"), F.col(spread).cast("string"))
+    joined = rows.withColumn("_wanted", F.when(usable, resolved(F.col(path))).otherwise(spread_key)).join(
         sizes, F.col("_wanted") == F.col("_listed"), "left")
     return joined.withColumn(out, F.col("_listed").isNotNull()).drop("_wanted", "_listed", "_size")

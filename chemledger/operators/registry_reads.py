@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemledger.functions import labels
-from chemledger.operators.facts import current_documents
+from chemledger.operators.facts import current_documents, listed
+from chemledger.operators.paths import EVIDENCE_SUFFIXES, suffix
+from chemledger.plans.lookup import with_unit
 from chemledger.operators.supervisory import current_state
 
 
@@ -18,8 +20,8 @@ def product_list(reg) -> DataFrame:
 
 def search(products: DataFrame, text: str) -> DataFrame:
     """Substring over name, manufacturer and code; an absent code counts as empty text."""
-    haystack = F.lower(F.concat_ws(" ", "product_name", "manufacturer_name",
-                                   F.coalesce("manufacturer_product_code", F.lit(""))))
+    haystack = labels.folded(F.concat_ws(" ", "product_name", "manufacturer_name",
+                                         F.coalesce("manufacturer_product_code", F.lit(""))))
     return products.where(F.contains(haystack, F.lit(text.strip().casefold())))
 
 
@@ -122,15 +124,15 @@ def product_details(reg) -> DataFrame:
 
 def product_assignments(reg) -> DataFrame:
     """Assignments of every product to locations of any status, with unit codes."""
-    def unit(key: str, code: str) -> DataFrame:
-        return reg.unit_of_measure.select(F.col("unit_id").alias(key), F.col("code").alias(code))
-
     places = reg.usage_locations.select("location_id", "location_name", "location_code", F.col("status").alias("location_status"))
-    return (reg.product_usage_locations.join(places, "location_id")
-            .join(unit("peak_quantity_unit_id", "peak_quantity_unit"), "peak_quantity_unit_id")
-            .join(unit("monthly_consumption_unit_id", "monthly_consumption_unit"), "monthly_consumption_unit_id", "left")
-            .select("product_id", "location_id", "location_name", "location_code", "location_status", "peak_quantity_value",
-                    "peak_quantity_unit", "monthly_consumption_value", "monthly_consumption_unit"))
+    rows = with_unit(reg.product_usage_locations.join(places, "location_id"), reg.unit_of_measure, "peak_quantity_unit_id", "peak_quantity_unit", "inner")
+    return (with_unit(rows, reg.unit_of_measure, "monthly_consumption_unit_id", "monthly_consumption_unit")
+            .select("product_id", "location_id", "location_name", "location_code", "location_status", "peak_quantity_value", "peak_quantity_unit_id",
+                    "peak_quantity_unit", "monthly_consumption_value", "monthly_consumption_unit_id", "monthly_consumption_unit"))
+
+
+def ordered_assignments(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("product_id", "location_id")
 
 
 def quantity_totals(product_usage_locations: DataFrame, strict: bool = False) -> DataFrame:
@@ -158,10 +160,15 @@ def first_evidence_names(decision_evidence: DataFrame) -> DataFrame:
     return first.select("relative_path", F.col("_first.original_filename").alias("registered_name"))
 
 
+def stored_evidence(listing: DataFrame) -> DataFrame:
+    """Files of the evidence root with an accepted suffix and at least one byte."""
+    return listed(listing, "evidence").where(suffix(F.col("relative_path")).isin(*EVIDENCE_SUFFIXES) & (F.col("length") > 0))
+
+
 def evidence_options(listing: DataFrame, names: DataFrame) -> DataFrame:
     """Stored evidence files with the registered name, or the file name where that is absent or blank;
     imported files that nobody registered are left out."""
-    joined = listing.join(names.withColumn("_known", F.lit(True)), "relative_path", "left")
+    joined = stored_evidence(listing).join(names.withColumn("_known", F.lit(True)), "relative_path", "left")
     kept = joined.where(~F.startswith(F.col("relative_path"), F.lit("imported/")) | F.coalesce("_known", F.lit(False)))
     name = F.regexp_extract("relative_path", r"([^/]*)$", 1)
     return kept.select("relative_path", F.when(F.col("registered_name").isNull() | (F.col("registered_name") == ""), name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chemledger.plans.lookup import with_unit
+
 
 def _nulls_on_top(*columns: str) -> Column:
     """A struct whose maximum is the first row of ``c1 DESC NULLS FIRST, c2 DESC NULLS FIRST, ...``."""
@@ -28,9 +30,8 @@ def latest_final_items(reg) -> DataFrame:
 def review_details(reg) -> DataFrame:
     names = reg.products.select("product_id", "product_name")
     places = reg.usage_locations.select("location_id", "location_code", "location_name")
-    units = reg.unit_of_measure.select(F.col("unit_id").alias("baseline_unit_id"), F.col("code").alias("unit_code"))
-    return (reg.physical_review_items.join(names, "product_id").join(places, "location_id")
-            .join(units, "baseline_unit_id")
+    rows = reg.physical_review_items.join(names, "product_id").join(places, "location_id")
+    return (with_unit(rows, reg.unit_of_measure, "baseline_unit_id", "unit_code", "inner")
             .withColumn("difference", F.col("observed_quantity") - F.col("baseline_max_quantity"))
             .select("review_id", "review_item_id", "product_id", "product_name", "location_id", "location_code",
                     "location_name", "baseline_max_quantity", "unit_code", "observed_quantity", "difference"))

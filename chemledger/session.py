@@ -16,7 +16,7 @@ def local_session(cores: int = 8, app: str = "chemledger") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("CHEMLEDGER_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CHEMLEDGER_DRIVER_MEMORY", "5g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
