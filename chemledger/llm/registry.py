@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_nearest
 from .decontaminate import op10_decontaminate
 from .neardup import op7_neardup
 from .pieces import op1_pieces
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_shard": op3_shard,
         "op4_toxicity": op4_toxicity,
         "op5_seeds": op5_seeds,
+        "op6_nearest": op6_nearest,
         "op7_neardup": op7_neardup,
         "op8_quality": op8_quality,
         "op9_surrogates": op9_surrogates,
