@@ -179,10 +179,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     """
     good, asked = usable(vectors), usable(queries)
     n, norm = good.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()
-    norm = float(norm or 1.0)
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    norm = float(norm)
     rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
-    x = lifted(np.stack(rows.to_list()), norm) if len(rows) else np.zeros((0, 2))
-    graph = Graph.of(balanced_centroids(x, min(max_lists, -(-n // list_rows))))
+    graph = Graph.of(balanced_centroids(lifted(np.stack(rows.to_list()), norm), min(max_lists, -(-n // list_rows))))
     post = common.written(posted(good, graph, norm), "postings")
     ask = common.written(probed(asked, graph, most, prune), "probes")
     # at most max_lists rows each
