@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chemledger import schemas
 from chemledger.fixtures.bindings import Registry, oracle
-from chemledger.operators import dashboard, facts, history, locations, registry_reads, reviews, supervisory
+from chemledger.functions import text
+from chemledger.operators import audits, batch, dashboard, facts, history, identity, locations, registry_reads, reviews, supervisory
 
 Query = Callable[[Registry], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,9 +340,9 @@ def product_list(reg):
     return registry_reads.product_list(reg)
 
 
-@query("product_registry_search", f"SELECT * FROM ({LISTED}) t WHERE CONTAINS(LOWER(product_name || ' ' || manufacturer_name || ' ' || COALESCE(manufacturer_product_code, '')), 'germany')")
+@query("product_registry_search", f"SELECT * FROM ({LISTED}) t WHERE CONTAINS(LOWER(product_name || ' ' || manufacturer_name || ' ' || COALESCE(manufacturer_product_code, '')), 'nation_1')")
 def product_registry_search(reg):
-    return registry_reads.sorted_registry(registry_reads.search(registry_reads.product_list(reg), " GERMANY "), "product_name")
+    return registry_reads.sorted_registry(registry_reads.search(registry_reads.product_list(reg), " NATION_1 "), "product_name")
 
 
 HISTORY = """history AS (SELECT s.sds_id, s.product_id, s.original_filename, s.relative_path, s.issue_date, s.revision, s.document_status, s.registered_at, i.invalidated_at,
@@ -481,6 +484,336 @@ def product_history(reg):
     return history.ordered_history(reg.product_history, ["product_id"])
 
 
+@query("location_history_intervals", """SELECT history_id, location_id, status, changed_at AS valid_from, LEAD(changed_at) OVER w AS valid_to, LEAD(changed_at) OVER w IS NULL AS is_latest
+ FROM b_usage_location_history WINDOW w AS (PARTITION BY location_id ORDER BY changed_at, history_id)""")
+def location_history_intervals(reg):
+    return history.validity_intervals(reg.usage_location_history, ["location_id"])
+
+
+@query("assignment_history_intervals", """SELECT history_id, product_id, location_id, peak_quantity_value, peak_quantity_unit_id, monthly_consumption_value, monthly_consumption_unit_id, changed_at AS valid_from,
+ LEAD(changed_at) OVER w AS valid_to, LEAD(changed_at) OVER w IS NULL AS is_latest FROM b_product_usage_location_history WINDOW w AS (PARTITION BY product_id, location_id ORDER BY changed_at, history_id)""")
+def assignment_history_intervals(reg):
+    return history.validity_intervals(reg.product_usage_location_history, ["product_id", "location_id"])
+
+
+@query("identity_changes", "SELECT * FROM b_product_identity_changes")
+def identity_changes(reg):
+    return reg.product_identity_changes.orderBy("product_id", "changed_at", "change_id")
+
+
+@query("sds_components", "SELECT * FROM b_sds_components")
+def sds_components(reg):
+    return reg.sds_components
+
+
+# --- audits over seeded violations
+
+AUDITED = {"manufacturers": "manufacturers", "products": "products", "usage_locations": "audit_locations", "unit_of_measure": "unit_of_measure", "product_usage_locations": "audit_assignments",
+           "sds_documents": "audit_documents", "bhp_decisions": "audit_decisions", "decision_evidence": "decision_evidence", "sds_invalidation": "sds_invalidation", "physical_reviews": "physical_reviews",
+           "physical_review_items": "physical_review_items", "product_history": "product_history", "product_identity_changes": "product_identity_changes",
+           "usage_location_history": "usage_location_history", "product_usage_location_history": "product_usage_location_history"}
+
+
+def audited(reg) -> dict[str, DataFrame]:
+    return {name: getattr(reg, source) for name, source in AUDITED.items()}
+
+
+def view(name: str) -> str:
+    return {"unit_of_measure": "b_units"}.get(AUDITED[name], f"b_{AUDITED[name]}")
+
+
+@query("orphans", "SELECT sds_id, product_id FROM b_audit_documents WHERE product_id NOT IN (SELECT product_id FROM b_products)")
+def orphans(reg):
+    return audits.orphans(SimpleNamespace(sds_documents=reg.audit_documents, products=reg.products))
+
+
+@query("multi_current", "SELECT product_id, COUNT(*) AS current_documents FROM b_audit_documents WHERE document_status = 'CURRENT' GROUP BY product_id HAVING COUNT(*) > 1")
+def multi_current(reg):
+    return audits.multiple_current(reg.audit_documents)
+
+
+@query("seeded_ambiguous_products", """SELECT DISTINCT product_id FROM (SELECT product_id FROM b_audit_documents WHERE document_status = 'CURRENT' GROUP BY product_id HAVING COUNT(*) > 1
+ UNION ALL SELECT product_id FROM b_audit_decisions WHERE record_status = 'CURRENT' GROUP BY product_id, sds_id HAVING COUNT(*) > 1) t""")
+def seeded_ambiguous_products(reg):
+    return supervisory.ambiguous_products(SimpleNamespace(sds_documents=reg.audit_documents, bhp_decisions=reg.audit_decisions))
+
+
+@query("seeded_document_probe", """SELECT product_id, CASE WHEN COUNT(*) = 1 THEN MIN(original_filename) END AS original_filename, CASE WHEN COUNT(*) = 1 THEN MIN(relative_path) END AS relative_path,
+ CASE WHEN COUNT(*) = 1 THEN 'OK' ELSE 'AMBIGUOUS' END AS current_status FROM b_audit_documents WHERE document_status = 'CURRENT' GROUP BY product_id""")
+def seeded_document_probe(reg):
+    return registry_reads.current_document_probe(reg.audit_documents)
+
+
+@query("table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {view(n)}" for n in AUDITED))
+def table_counts(reg):
+    return audits.table_counts(audited(reg))
+
+
+@query("count_changes", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT COUNT(*) FROM {view(n)}) AS rows_before, (SELECT COUNT(*) FROM {view(m)}) AS rows_after" for n, m in (("products", "products"), ("sds_documents", "bhp_decisions"))) + ") t WHERE rows_before <> rows_after")
+def count_changes(reg):
+    tables = audited(reg)
+    return audits.count_changes(audits.table_counts({n: tables[n] for n in ("products", "sds_documents")}), audits.table_counts({"products": tables["products"], "sds_documents": tables["bhp_decisions"]}))
+
+
+def _keys_sql() -> str:
+    parts = []
+    for name in AUDITED:
+        own = [(k, None, True) for k in [schemas.PRIMARY_KEYS[name]]] + [(k, w, False) for t, k, w in schemas.UNIQUE_KEYS if t == name]
+        for keys, when, primary in own:
+            null = " OR ".join(f"{k} IS NULL" for k in keys)
+            having = f"COUNT(*) > 1 OR MAX(CASE WHEN {null} THEN 1 ELSE 0 END) = 1" if primary else f"COUNT(*) > 1 AND MAX(CASE WHEN {null} THEN 1 ELSE 0 END) = 0"
+            rule = f"{'primary key' if primary else 'unique'} {', '.join(keys)}"
+            parts.append(f"SELECT '{name}' AS table_name, '{rule}' AS rule, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM {view(name)} {f'WHERE {when}' if when else ''} GROUP BY {', '.join(keys)} HAVING {having}) t")
+    return " UNION ALL ".join(parts)
+
+
+def _references_sql() -> str:
+    parts = []
+    for name, keys, target, to in schemas.REFERENCES:
+        if name in AUDITED and target in AUDITED:
+            same = " AND ".join(f"b.{t} = a.{k}" for k, t in zip(keys, to, strict=True))
+            parts.append(f"SELECT '{name}' AS table_name, '{', '.join(keys)} -> {target}' AS rule, COUNT(*) AS violations FROM {view(name)} a WHERE {' AND '.join(f'a.{k} IS NOT NULL' for k in keys)} AND NOT EXISTS (SELECT 1 FROM {view(target)} b WHERE {same})")
+    return " UNION ALL ".join(parts)
+
+
+def _rows_sql() -> str:
+    parts = []
+    bound = {"products": ("usage_status",), "product_history": ("usage_status",), "usage_locations": ("status",), "usage_location_history": ("status",), "unit_of_measure": ("category", "status"), "sds_documents": ("document_status", "file_status"),
+             "bhp_decisions": ("decision_status", "record_status"), "decision_evidence": ("evidence_type", "file_format", "file_status"), "physical_reviews": ("status",), "product_identity_changes": ("change_kind",), "sds_invalidation": ("invalidated_from_status",)}
+    for name in AUDITED:
+        rules = [(f"domain {c}", f"{c} NOT IN ({', '.join(repr(m) for m in schemas.DOMAINS[name, c])})") for c in bound.get(name, ())]
+        rules += [(f"check {r}", f"NOT ({sql})") for t, r, sql in schemas.CHECKS if t == name]
+        parts += [f"SELECT '{name}' AS table_name, '{r}' AS rule, COUNT(CASE WHEN {bad} THEN 1 END) AS violations FROM {view(name)}" for r, bad in rules]
+    return " UNION ALL ".join(parts).replace("location_code RLIKE '^[A-Z0-9][A-Z0-9_-]{0,31}$'", "REGEXP_FULL_MATCH(location_code, '[A-Z0-9][A-Z0-9_-]{0,31}')")
+
+
+@query("key_audit", _keys_sql())
+def key_audit(reg):
+    return audits.key_violations(audited(reg))
+
+
+@query("reference_audit", _references_sql())
+def reference_audit(reg):
+    return audits.reference_violations(audited(reg))
+
+
+@query("row_audit", _rows_sql())
+def row_audit(reg):
+    return audits.row_violations(audited(reg))
+
+
+# --- identity and batch
+
+SIMILAR = """similar_ AS (SELECT w.name, m.manufacturer_id, m.manufacturer_name FROM wanted w JOIN b_makers m ON m.manufacturer_name <> w.name AND CONTAINS(LOWER(m.manufacturer_name), LOWER(SPLIT_PART(w.name, ' ', 1)))),
+exact_ AS (SELECT w.name, m.manufacturer_id FROM wanted w JOIN b_makers m ON m.manufacturer_name = w.name)"""
+WANTED = "wanted AS (SELECT DISTINCT canonical AS name FROM b_approved UNION SELECT 'Supplier of NATION_1' UNION SELECT 'N1 x')"
+
+
+def wanted_makers(reg):
+    return reg.approved.select(F.col("canonical").alias("name")).unionByName(reg.approved.limit(1).select(F.explode(F.array(F.lit("Supplier of NATION_1"), F.lit("N1 x"))).alias("name")))
+
+
+@query("exact_manufacturers", f"WITH {WANTED}, {SIMILAR} SELECT name, manufacturer_id FROM exact_")
+def exact_manufacturers(reg):
+    return identity.exact_manufacturers(wanted_makers(reg), reg.makers)
+
+
+@query("similar_manufacturers", f"WITH {WANTED}, {SIMILAR} SELECT name, manufacturer_id, manufacturer_name FROM similar_")
+def similar_manufacturers(reg):
+    return identity.similar_manufacturers(wanted_makers(reg), reg.makers)
+
+
+@query("manufacturer_candidates", f"WITH {WANTED}, {SIMILAR} SELECT name, manufacturer_id, 'EXACT' AS kind FROM exact_ UNION ALL SELECT name, manufacturer_id, 'SIMILAR' FROM similar_ s WHERE NOT EXISTS (SELECT 1 FROM exact_ e WHERE e.name = s.name AND e.manufacturer_id = s.manufacturer_id)")
+def manufacturer_candidates(reg):
+    return identity.manufacturer_candidates(wanted_makers(reg), reg.makers)
+
+
+def norm(column: str) -> str:
+    return f"LOWER(TRIM(REGEXP_REPLACE({column}, '\\s+', ' ', 'g')))"
+
+
+def starts(a: str, b: str) -> str:
+    return f"STARTS_WITH({norm(a)}, {norm(b)} || ' ')"
+
+
+def candidates_sql(names: str, goods: str) -> str:
+    return f"""SELECT n.name, n.selected_id, p.product_id FROM {names} n JOIN {goods} p ON {norm('n.name')} = {norm('p.product_name')}
+ OR (p.manufacturer_id <> n.selected_id AND ({starts('n.name', 'p.product_name')} OR {starts('p.product_name', 'n.name')}))"""
+
+
+@query("candidate_products", candidates_sql("b_names", "b_goods"))
+def candidate_products(reg):
+    return identity.candidate_products(reg.names, reg.goods)
+
+
+LIST = lambda *items: "CONCAT_WS(';', " + ", ".join(f"CASE WHEN {c} THEN '{x}' END" for c, x in items) + ")"
+
+
+@query("identity_plan", f"""WITH a AS (SELECT e.*, CASE WHEN name_state = 'FOUND' THEN name END AS product_name, CASE WHEN code_state = 'FOUND' THEN code END AS product_code, CASE WHEN issue_date_state = 'FOUND' THEN issue_date END AS raw_date,
+ CASE WHEN manufacturers = 1 AND manufacturer_state = 'FOUND' THEN manufacturer END AS raw, code_state IN ('AMBIGUOUS', 'UNREADABLE') AS uncertain FROM b_evidence e),
+b AS (SELECT a.*, COALESCE(m.canonical, a.raw) AS canonical, a.raw IS NOT NULL AND m.raw IS NULL AS unapproved FROM a LEFT JOIN b_approved m ON m.raw = a.raw),
+wanted AS (SELECT DISTINCT canonical AS name FROM b WHERE canonical IS NOT NULL), {SIMILAR},
+c AS (SELECT b.*, (SELECT COUNT(*) FROM exact_ x WHERE x.name = b.canonical) AS exact, (SELECT MIN(manufacturer_id) FROM exact_ x WHERE x.name = b.canonical) AS selected_id,
+ EXISTS (SELECT 1 FROM similar_ x WHERE x.name = b.canonical AND NOT EXISTS (SELECT 1 FROM exact_ y WHERE y.name = x.name AND y.manufacturer_id = x.manufacturer_id)) AS alike, product_name IS NULL OR TRIM(product_name) = '' AS blank FROM b),
+d AS (SELECT c.*, CASE WHEN canonical IS NULL OR unapproved OR exact > 1 THEN 'HUMAN_REVIEW' WHEN exact = 1 THEN 'LINK_CANDIDATE' ELSE 'CREATE_CANDIDATE' END AS manufacturer_status,
+ (SELECT COUNT(*) FROM b_goods g WHERE g.product_name = c.product_name AND g.manufacturer_id = c.selected_id AND (c.product_code IS NULL OR g.manufacturer_product_code = c.product_code)) AS matches,
+ EXISTS (SELECT 1 FROM b_goods g WHERE g.product_name = c.product_name) AS named FROM c),
+f AS (SELECT d.*, CASE WHEN blank OR uncertain OR manufacturer_status = 'HUMAN_REVIEW' THEN 'HUMAN_REVIEW' WHEN manufacturer_status = 'LINK_CANDIDATE' THEN CASE matches WHEN 0 THEN 'CREATE_CANDIDATE' WHEN 1 THEN 'LINK_CANDIDATE' ELSE 'HUMAN_REVIEW' END
+ WHEN named THEN 'PENDING_MANUFACTURER' ELSE 'CREATE_CANDIDATE' END AS product_status FROM d)
+SELECT evidence_id, product_name, product_code, TRY_CAST(raw_date AS DATE) AS issue_date, revision, canonical, manufacturer_status, product_status,
+ CASE WHEN manufacturer_status = 'LINK_CANDIDATE' AND product_status <> 'HUMAN_REVIEW' THEN matches END AS product_candidates,
+ {LIST(("raw_date IS NOT NULL AND TRY_CAST(raw_date AS DATE) IS NULL", "INVALID_ISSUE_DATE"), ("blank", "PRODUCT_NAME_REQUIRES_HUMAN_REVIEW"), ("uncertain", "MANUFACTURER_PRODUCT_CODE_REQUIRES_HUMAN_REVIEW"), ("canonical IS NULL", "MANUFACTURER_REQUIRES_HUMAN_REVIEW"), ("unapproved", "UNAPPROVED_MANUFACTURER_RAW_VALUE"), ("product_status = 'PENDING_MANUFACTURER'", "PRODUCT_PENDING_MANUFACTURER"), ("validation_status = 'BLOCKED'", "EXTRACTION_VALIDATION_BLOCKED"), ("validation_status = 'REQUIRES_HUMAN_REVIEW'", "EXTRACTION_REQUIRES_HUMAN_REVIEW"), ("review_status <> 'APPROVED'", "DOCUMENT_HUMAN_APPROVAL_REQUIRED"))} AS blockers,
+ {LIST(("alike AND exact = 0", "SIMILAR_MANUFACTURERS_REQUIRE_HUMAN_CONFIRMATION"), ("has_safety", "SAFETY_DATA_DEFERRED_TO_STAGE_2"))} AS warnings, 'NOT_READY' AS commit_readiness FROM f""")
+def identity_plan(reg):
+    return identity.identity_plan(reg.evidence, reg.makers, reg.goods, reg.approved)
+
+
+@query("set_differences", "SELECT manifest_id, 'MISSING' AS side FROM (SELECT manifest_id FROM b_batch_items WHERE status <> 'COMPLETE' EXCEPT SELECT manifest_id FROM b_batch_items WHERE revision <> '0') a UNION ALL SELECT manifest_id, 'UNEXPECTED' FROM (SELECT manifest_id FROM b_batch_items WHERE revision <> '0' EXCEPT SELECT manifest_id FROM b_batch_items WHERE status <> 'COMPLETE') b")
+def set_differences(reg):
+    return identity.set_differences(reg.batch_items.where("status <> 'COMPLETE'"), reg.batch_items.where("revision <> '0'"), "manifest_id")
+
+
+@query("snapshot_drift", "SELECT manifest_id, CASE WHEN product_code IS NOT DISTINCT FROM CASE WHEN manifest_id % 9 = 0 THEN NULL ELSE product_code END AND manifest_id % 10 <> 0 THEN 'CURRENT' ELSE 'STALE' END AS drift FROM b_batch_items")
+def snapshot_drift(reg):
+    planned = reg.batch_items.select("manifest_id", "product_name", "product_code")
+    fresh = planned.where("manifest_id % 10 <> 0").withColumn("product_code", F.when(F.col("manifest_id") % 9 != 0, F.col("product_code")))
+    return identity.drift(planned, fresh, "manifest_id")
+
+
+FIRST = """problems AS (SELECT i.*, CASE
+ WHEN logical_sds_count <> 1 OR status NOT IN ('COMPLETE', 'NEEDS_REVIEW') OR json_file <> CAST(manifest_id AS VARCHAR) || '_DOC-001.json' OR CONTAINS(source_file, '/') OR LENGTH(sha256_expected) <> 64 THEN 'BLOCKED_DATA/INVALID_MANIFEST_ENTRY'
+ WHEN json_name IS NULL THEN 'BLOCKED_SOURCE/JSON_UNAVAILABLE' WHEN json_name <> source_file OR json_sha256 <> sha256_expected THEN 'BLOCKED_SOURCE/MANIFEST_JSON_SOURCE_MISMATCH'
+ WHEN sha256 IS NULL OR sha256 <> sha256_expected THEN 'BLOCKED_SOURCE/PDF_SHA_MISMATCH' WHEN product_name = '' THEN 'BLOCKED_DATA/STAGE1_HEADER_INVALID_OR_UNPROVEN' END AS problem FROM b_batch_items i),
+held AS (SELECT p.*, FIRST_VALUE(manifest_id) OVER w AS holder, FIRST_VALUE(CONCAT_WS('|', product_name, COALESCE(product_code, '?'), issue_date, revision, manufacturer)) OVER w AS first_identity,
+ CONCAT_WS('|', product_name, COALESCE(product_code, '?'), issue_date, revision, manufacturer) AS own_identity FROM problems p WHERE problem IS NULL WINDOW w AS (PARTITION BY sha256 ORDER BY position)),
+marked AS (SELECT h.*, MAX(CASE WHEN own_identity <> first_identity THEN manifest_id END) OVER (PARTITION BY sha256) AS last_other FROM held h),
+judged AS (SELECT m.*, CASE WHEN own_identity <> first_identity THEN 'CONTRADICTORY' WHEN manifest_id <> holder THEN 'DUPLICATE' WHEN last_other IS NOT NULL THEN 'CONTRADICTED' END AS duplicate,
+ CASE WHEN own_identity <> first_identity THEN NULL WHEN manifest_id <> holder THEN holder ELSE last_other END AS against FROM marked m)"""
+
+
+@query("dedup_first_wins", f"WITH {FIRST} SELECT p.manifest_id, j.holder, j.duplicate, j.against FROM problems p LEFT JOIN judged j ON j.manifest_id = p.manifest_id")
+def dedup_first_wins(reg):
+    return batch.first_wins(reg.batch_items.withColumn("eligible", batch.entry_problem().isNull())).select("manifest_id", "holder", "duplicate", "against")
+
+
+CLASSIFIED = f"""{FIRST}, wanted AS (SELECT DISTINCT product_name AS name, CAST(1 AS BIGINT) AS selected_id FROM judged WHERE duplicate IS NULL AND manufacturer = 'Maker'),
+candidates AS (SELECT name, COUNT(*) AS n FROM ({candidates_sql('wanted', 'b_batch_products')}) c GROUP BY name),
+facts AS (SELECT p.manifest_id, p.problem, j.duplicate, j.against, p.manufacturer, p.issue_date, p.sha256, COALESCE((SELECT n FROM candidates c WHERE c.name = p.product_name), 0) AS candidates,
+ (SELECT COUNT(*) FROM b_batch_products g WHERE g.manufacturer_id = 1 AND g.product_name = p.product_name AND g.manufacturer_product_code IS NOT DISTINCT FROM p.product_code) AS exact,
+ (SELECT MIN(product_id) FROM b_batch_products g WHERE g.manufacturer_id = 1 AND g.product_name = p.product_name AND g.manufacturer_product_code IS NOT DISTINCT FROM p.product_code) AS product_id, p.revision
+ FROM problems p LEFT JOIN judged j ON j.manifest_id = p.manifest_id),
+more AS (SELECT f.*, (SELECT COUNT(*) FROM b_batch_documents d WHERE d.product_id = f.product_id AND d.document_status = 'CURRENT') AS current, (SELECT MAX(issue_date) FROM b_batch_documents d WHERE d.product_id = f.product_id AND d.document_status = 'CURRENT') AS current_date_,
+ (SELECT COUNT(*) FROM b_batch_documents d WHERE d.product_id = f.product_id AND d.issue_date = f.issue_date AND d.revision = f.revision) AS same_, (SELECT COUNT(*) FROM b_batch_documents d WHERE d.product_id = f.product_id AND d.issue_date = f.issue_date AND d.revision = f.revision AND d.sha256 <> f.sha256) AS other_ FROM facts f),
+verdicts AS (SELECT manifest_id, CASE WHEN problem IS NOT NULL THEN problem WHEN duplicate = 'DUPLICATE' THEN 'SKIP_DUPLICATE_SOURCE/DUPLICATE_OF:' || CAST(against AS VARCHAR) WHEN duplicate = 'CONTRADICTORY' THEN 'BLOCKED_DATA/CONTRADICTORY_DUPLICATE_SOURCE'
+ WHEN duplicate = 'CONTRADICTED' THEN 'BLOCKED_DATA/CONTRADICTORY_DUPLICATE_SOURCE:' || CAST(against AS VARCHAR) WHEN manufacturer <> 'Maker' THEN 'REVIEW_IDENTITY/MANUFACTURER_CANONICAL_NOT_APPROVED' WHEN exact > 1 THEN 'REVIEW_IDENTITY/MULTIPLE_EXACT_PRODUCTS'
+ WHEN exact = 0 AND candidates > 0 THEN 'REVIEW_IDENTITY/SIMILAR_OR_CODE_CONFLICT_PRODUCT' WHEN exact = 0 THEN 'READY_CREATE/EXACT_PRODUCT_ABSENT' WHEN current > 1 THEN 'BLOCKED_DATA/MULTIPLE_CURRENT_SDS' WHEN other_ > 0 THEN 'BLOCKED_DATA/SDS_METADATA_SOURCE_CONFLICT'
+ WHEN same_ > 0 THEN 'SKIP_EXACT_EXISTING/EXACT_PRODUCT_SDS_PDF' WHEN current = 0 THEN 'REVIEW_IDENTITY/NO_CURRENT_SDS_FOR_EXISTING_PRODUCT' WHEN current_date_ IS NULL OR issue_date <= current_date_ THEN 'REVIEW_IDENTITY/REVISION_NOT_NEWER' ELSE 'READY_ADD_REVISION/NEWER_ISSUE_DATE' END AS v FROM more),
+classified AS (SELECT manifest_id, SPLIT_PART(v, '/', 1) AS classification, SUBSTRING(v, POSITION('/' IN v) + 1) AS reason FROM verdicts)"""
+
+
+def classified(reg):
+    return batch.classify(reg.batch_items, reg.batch_products, reg.batch_documents, "Maker", 1)
+
+
+@query("batch_classification", f"WITH {CLASSIFIED} SELECT * FROM classified")
+def batch_classification(reg):
+    return classified(reg)
+
+
+@query("classification_counts", f"WITH {CLASSIFIED} SELECT k.c AS classification, COUNT(x.manifest_id) AS items FROM (SELECT UNNEST({list(batch.CLASSES)!r}) AS c) k LEFT JOIN classified x ON x.classification = k.c GROUP BY k.c")
+def classification_counts(reg):
+    return batch.class_counts(classified(reg))
+
+
+@query("batch_gate", f"WITH {CLASSIFIED} SELECT COUNT(CASE WHEN classification LIKE 'BLOCKED%' THEN 1 END) AS blocked, COUNT(CASE WHEN classification LIKE 'READY%' THEN 1 END) AS ready, CASE WHEN COUNT(CASE WHEN classification LIKE 'BLOCKED%' THEN 1 END) > 0 THEN 'STOPPED' ELSE 'OPEN' END AS gate FROM classified")
+def batch_gate(reg):
+    return batch.batch_gate(classified(reg))
+
+
+# --- scalar functions over the given tables
+
+def raw(reg, table: str) -> DataFrame:
+    return reg.spark.read.parquet(f"{reg.sf_dir}/{table}.parquet")
+
+
+@query("location_codes", "SELECT s_suppkey, CASE WHEN REGEXP_FULL_MATCH(UPPER(TRIM(CASE WHEN s_suppkey % 3 = 0 THEN ' l_' || CAST(s_suppkey AS VARCHAR) || ' ' ELSE s_name END)), '[A-Z0-9][A-Z0-9_-]{0,31}') THEN UPPER(TRIM(CASE WHEN s_suppkey % 3 = 0 THEN ' l_' || CAST(s_suppkey AS VARCHAR) || ' ' ELSE s_name END)) END AS code FROM supplier")
+def location_codes(reg):
+    return raw(reg, "supplier").select("s_suppkey", text.location_code(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" l_"), F.col("s_suppkey").cast("string"), F.lit(" "))).otherwise(F.col("s_name"))).alias("code"))
+
+
+@query("normal_names", f"SELECT product_id, {norm('product_name')} AS name FROM b_goods")
+def normal_names(reg):
+    return reg.goods.select("product_id", text.normal_name(F.col("product_name")).alias("name"))
+
+
+MONTH_LIST = [names[0] for names in text.MONTHS]
+
+
+@query("date_parsers", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS slash_iso, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS dotted, CAST(o_orderdate AS DATE) AS slashed, CAST(o_orderdate AS DATE) AS named, "
+       "CASE WHEN DAY(o_orderdate) > 12 OR o_orderkey % 2 = 1 THEN CAST(o_orderdate AS DATE) ELSE MAKE_DATE(YEAR(o_orderdate), DAY(o_orderdate), MONTH(o_orderdate)) END AS ambiguous FROM orders")
+def date_parsers(reg):
+    day = F.col("o_orderdate").cast("date")
+    written = lambda p: F.date_format(day, p)
+    month = F.element_at(F.array(*map(F.lit, MONTH_LIST)), F.month(day))
+    # with an American neighbour, a date that reads both ways is taken month first
+    mixed = F.when(F.col("o_orderkey") % 2 == 1, written("M/d/yyyy")).otherwise(written("d/M/yyyy"))
+    before = F.when(F.col("o_orderkey") % 2 == 1, F.lit("1/31/1990"))
+    swapped = F.when(F.col("o_orderkey") % 2 == 1, text.ambiguous_slash_date(mixed, before)).otherwise(text.ambiguous_slash_date(written("d/M/yyyy"), F.lit("1/31/1990")))
+    return raw(reg, "orders").select(
+        "o_orderkey", text.iso_date(written("yyyy-MM-dd")).alias("iso"), text.slash_iso_date(written("yyyy/MM/dd")).alias("slash_iso"),
+        text.dotted_date(F.when(F.col("o_orderkey") % 10 == 0, F.lit("31.02.2023")).otherwise(written("dd.MM.yyyy"))).alias("dotted"), text.slash_date(written("dd/MM/yyyy")).alias("slashed"),
+        text.month_name_date(F.concat_ws(" ", F.dayofmonth(day).cast("string"), month, F.year(day).cast("string"))).alias("named"), swapped.alias("ambiguous"))
+
+
+@query("version_tokens", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CASE o_orderkey % 4 WHEN 0 THEN '0' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN CAST(o_orderkey AS VARCHAR) || '.10' ELSE CAST(o_orderkey AS VARCHAR) || '/PL' END END AS version FROM orders")
+def version_tokens(reg):
+    n = F.col("o_orderkey").cast("string")
+    k = F.col("o_orderkey") % 4
+    return raw(reg, "orders").select("o_orderkey", text.version_token(F.when(k == 0, F.concat(F.lit("0"), n)).when(k == 1, F.concat(n, F.lit(".10"))).when(k == 2, F.concat(n, F.lit("/PL"))).otherwise(F.concat(n, F.lit(".x")))).alias("version"))
+
+
+@query("trademarks_stripped", "SELECT p_partkey, p_name AS name FROM part")
+def trademarks_stripped(reg):
+    return raw(reg, "part").select("p_partkey", text.without_marks(F.concat("p_name", F.lit(" ®™"))).alias("name"))
+
+
+@query("hazard_codes", "SELECT o_orderkey AS source_id, CASE WHEN 200 + o_orderkey % 150 = 300 THEN 'H300' ELSE 'H' || CAST(200 + o_orderkey % 150 AS VARCHAR) || ';H300' END AS codes FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def hazard_codes(reg):
+    return reg.pages.where("page_no = 1").select("source_id", F.array_join(text.hazard_codes(F.col("text")), ";").alias("codes"))
+
+
+@query("first_matches", "SELECT o_orderkey AS source_id, c_name AS name, CASE WHEN o_orderkey % 5 <> 1 THEN 'Data' ELSE 'Kod' END AS present FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def first_matches(reg):
+    return reg.pages.where("page_no = 1").select("source_id", text.first_match(F.col("text"), r"Nazwa produktu:\s*(.+)").alias("name"), text.first_present(F.col("text"), "Data", "Kod").alias("present"))
+
+
+@query("evidence_types", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'DOCUMENT' WHEN 5 THEN NULL ELSE 'PHOTO_SCAN' END AS evidence_type FROM orders")
+def evidence_types(reg):
+    names = F.element_at(F.array(*map(F.lit, ("a.MSG", "b/c.pdf", "d.jpg", "e.JPEG", "f.png", "g.txt"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return raw(reg, "orders").select("o_orderkey", text.evidence_type(names).alias("evidence_type"))
+
+
+@query("fingerprints", """SELECT p_partkey, SHA256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '"}') AS fingerprint FROM part""")
+def fingerprints(reg):
+    return raw(reg, "part").select("p_partkey", text.fingerprint("p_name", "p_brand").alias("fingerprint"))
+
+
+@query("plain_file_names", "SELECT position, NOT CONTAINS(source_file, '/') AS plain FROM b_batch_items")
+def plain_file_names(reg):
+    return reg.batch_items.select("position", text.plain_file_name(F.col("source_file")).alias("plain"))
+
+
+@query("quantities", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 1 THEN CAST(l_quantity AS DECIMAL(18,6)) END AS quantity FROM lineitem")
+def quantities(reg):
+    written = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit(" "))).when(F.col("l_linenumber") % 3 == 2, F.lit("-1.5")).otherwise(F.lit(" "))
+    return raw(reg, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.quantity(written).alias("quantity"))
+
+
+@query("entry_lists", "SELECT p_partkey, p_name || ';' || p_brand AS entries FROM part")
+def entry_lists(reg):
+    return raw(reg, "part").select("p_partkey", F.array_join(text.entries(F.concat(F.lit(" \n "), F.col("p_name"), F.lit(" \r\n\n\t"), F.col("p_brand"), F.lit("\n"))), ";").alias("entries"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, build=build: build(Registry(spark, sf_dir)) for name, build in QUERIES.items()}
 

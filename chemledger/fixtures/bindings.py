@@ -94,6 +94,75 @@ GROUP BY YEAR(l_shipdate) * 10 + QUARTER(l_shipdate), o_custkey, l_suppkey) t"""
     "b_product_history": """
 SELECT sds_id AS history_id, product_id, CASE WHEN sds_id % 3 = 0 THEN 'ACTIVE' WHEN sds_id % 3 = 1 THEN 'REJECTED'
   ELSE 'PENDING_APPROVAL' END AS usage_status, registered_at AS changed_at FROM b_sds_documents""",
+    "b_usage_location_history": """
+SELECT CONCAT(CAST(l_suppkey AS STRING), '@', CAST(CAST(l_shipdate AS DATE) AS STRING)) AS history_id, l_suppkey AS location_id,
+ CASE WHEN DAY(l_shipdate) % 2 = 0 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status, MIN(l_shipdate) AS changed_at
+FROM lineitem GROUP BY CONCAT(CAST(l_suppkey AS STRING), '@', CAST(CAST(l_shipdate AS DATE) AS STRING)), l_suppkey, CASE WHEN DAY(l_shipdate) % 2 = 0 THEN 'ACTIVE' ELSE 'INACTIVE' END""",
+    "b_product_usage_location_history": """
+SELECT CONCAT(CAST(product_id AS STRING), '/', CAST(location_id AS STRING), '@', CAST(day AS STRING)) AS history_id, product_id, location_id, peak_quantity_value, peak_quantity_unit_id,
+ CASE WHEN DAY(day) % 3 = 0 THEN peak_quantity_value END AS monthly_consumption_value, CASE WHEN DAY(day) % 3 = 0 THEN peak_quantity_unit_id END AS monthly_consumption_unit_id, changed_at
+FROM (SELECT o_custkey AS product_id, l_suppkey AS location_id, CAST(l_shipdate AS DATE) AS day, CAST(MAX(l_quantity) AS DECIMAL(18,6)) AS peak_quantity_value,
+ MIN(l_linestatus) AS peak_quantity_unit_id, MIN(l_shipdate) AS changed_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey, CAST(l_shipdate AS DATE)) t""",
+    "b_product_identity_changes": """
+SELECT o_orderkey AS change_id, o_custkey AS product_id, CASE WHEN o_orderkey % 2 = 0 THEN 'CODE_COMPLETION' ELSE 'CORRECTION' END AS change_kind,
+ c_name AS old_product_name, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE CONCAT(c_name, ' ', o_orderpriority) END AS new_product_name,
+ CAST(NULL AS STRING) AS old_manufacturer_product_code, CONCAT('K', CAST(o_orderkey AS STRING)) AS new_manufacturer_product_code,
+ c_nationkey AS old_manufacturer_id, c_nationkey AS new_manufacturer_id, o_orderdate AS changed_at
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "b_sds_components": """
+SELECT CONCAT(CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING)) AS component_id, l_orderkey AS sds_id, MIN(p_name) AS component_name,
+ CONCAT(CAST(50 + l_partkey % 900 AS STRING), '-', CAST(10 + l_orderkey % 90 AS STRING), '-', CAST(l_partkey % 10 AS STRING)) AS cas_number,
+ CAST(NULL AS STRING) AS ec_number, CONCAT('>= ', CAST(MIN(l_discount) AS STRING)) AS concentration_text
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_partkey""",
+    "b_audit_documents": """
+SELECT sds_id, CASE WHEN sds_id % 97 = 0 THEN product_id + 100000000 ELSE product_id END AS product_id, original_filename, relative_path, issue_date, revision,
+ CASE WHEN sds_id % 7 = 0 THEN 'CURRENT' WHEN sds_id % 101 = 0 THEN 'LOST' ELSE document_status END AS document_status, registered_at, file_status
+FROM b_sds_documents""",
+    "b_audit_decisions": """
+SELECT decision_id, CASE WHEN sds_id % 53 = 0 THEN product_id + 1 ELSE product_id END AS product_id, sds_id, decision_status, notes, registered_at,
+ CASE WHEN sds_id % 11 = 0 THEN 'CURRENT' ELSE record_status END AS record_status, CASE WHEN decision_id % 41 = 0 THEN evidence_id + 1 ELSE evidence_id END AS evidence_id
+FROM b_bhp_decisions""",
+    "b_audit_locations": """
+SELECT CASE WHEN location_id % 29 = 5 THEN location_id - 1 ELSE location_id END AS location_id, CASE WHEN location_id % 13 = 0 THEN 'bad code' WHEN location_id % 17 = 0 THEN 'SAME' ELSE location_code END AS location_code,
+ location_name, CASE WHEN location_id % 19 = 0 THEN 'UNKNOWN' ELSE status END AS status FROM b_usage_locations""",
+    "b_audit_assignments": """
+SELECT CASE WHEN product_id % 59 = 0 THEN CAST(NULL AS BIGINT) ELSE product_id END AS product_id, location_id, CASE WHEN (product_id + location_id) % 83 = 0 THEN -peak_quantity_value ELSE peak_quantity_value END AS peak_quantity_value,
+ CASE WHEN product_id % 61 = 0 THEN 'X' ELSE peak_quantity_unit_id END AS peak_quantity_unit_id, monthly_consumption_value,
+ CASE WHEN location_id % 23 = 0 THEN CAST(NULL AS STRING) ELSE monthly_consumption_unit_id END AS monthly_consumption_unit_id FROM b_product_usage_locations""",
+    "b_makers": """
+SELECT n_nationkey AS manufacturer_id, n_name AS manufacturer_name FROM nation
+UNION ALL SELECT 1000 + s_suppkey, CONCAT('Works ', n_name, ' ', s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 100000 + s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = (SELECT MIN(s_suppkey) FROM supplier)""",
+    "b_goods": """
+SELECT p_partkey AS product_id, CASE WHEN p_size % 3 = 0 THEN CONCAT(UPPER(p_name), '  ', p_brand) WHEN p_size % 3 = 1 THEN p_name ELSE SUBSTRING(p_name, 1, POSITION(' ' IN p_name) - 1) END AS product_name,
+ CASE WHEN p_size % 4 = 0 THEN CAST(NULL AS STRING) ELSE CONCAT('C', CAST(p_size AS STRING)) END AS manufacturer_product_code, CAST(p_size % 25 AS BIGINT) AS manufacturer_id FROM part""",
+    "b_names": "SELECT DISTINCT p_name AS name, CAST(1 AS BIGINT) AS selected_id FROM part",
+    "b_approved": "SELECT CONCAT(n_name, ' AG') AS raw, n_name AS canonical FROM nation UNION ALL SELECT 'Works', 'Works'",
+    "b_evidence": """
+SELECT o_orderkey AS evidence_id, CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN o_orderkey % 19 = 0 THEN 'NOT_FOUND' ELSE 'FOUND' END AS name_state,
+ CONCAT('C', CAST(p_size AS STRING)) AS code, CASE o_orderkey % 6 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'NOT_FOUND' ELSE 'FOUND' END AS code_state,
+ CASE WHEN o_orderkey % 29 = 0 THEN '1995-02-31' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS issue_date, CASE WHEN o_orderkey % 31 = 0 THEN 'UNREADABLE' ELSE 'FOUND' END AS issue_date_state,
+ CAST(o_orderkey % 5 AS STRING) AS revision, 'FOUND' AS revision_state, CASE WHEN o_orderkey % 37 = 0 THEN 2 ELSE 1 END AS manufacturers,
+ CASE o_orderkey % 8 WHEN 0 THEN 'Unknown maker' WHEN 1 THEN 'Works' ELSE CONCAT(n_name, ' AG') END AS manufacturer, CASE WHEN o_orderkey % 41 = 0 THEN 'NOT_FOUND' ELSE 'FOUND' END AS manufacturer_state,
+ CASE o_orderkey % 3 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'REQUIRES_HUMAN_REVIEW' ELSE 'READY_FOR_HUMAN_REVIEW' END AS validation_status,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'APPROVED' ELSE 'PENDING' END AS review_status, o_orderkey % 7 = 0 AS has_safety
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = o_custkey""",
+    "b_batch_items": """
+SELECT doc_id AS position, doc_id AS manifest_id, CASE WHEN doc_id % 43 = 0 THEN 'FAILED' WHEN doc_id % 2 = 0 THEN 'NEEDS_REVIEW' ELSE 'COMPLETE' END AS status,
+ CAST(1 AS INT) AS logical_sds_count, CONCAT(CAST(doc_id AS STRING), CASE WHEN doc_id % 47 = 0 THEN '_DOC-002.json' ELSE '_DOC-001.json' END) AS json_file,
+ CONCAT(source, CASE WHEN doc_id % 53 = 0 THEN '/' ELSE '-' END, CAST(doc_id AS STRING), '.pdf') AS source_file, CONCAT(MD5(text), MD5(text)) AS sha256_expected,
+ CASE WHEN doc_id % 59 = 0 THEN CAST(NULL AS STRING) WHEN doc_id % 61 = 0 THEN CONCAT(MD5(lang), MD5(text)) ELSE CONCAT(MD5(text), MD5(text)) END AS sha256,
+ CASE WHEN doc_id % 67 = 0 THEN CAST(NULL AS STRING) WHEN doc_id % 71 = 0 THEN 'other.pdf' ELSE CONCAT(source, CASE WHEN doc_id % 53 = 0 THEN '/' ELSE '-' END, CAST(doc_id AS STRING), '.pdf') END AS json_name,
+ CONCAT(MD5(text), MD5(text)) AS json_sha256, CASE WHEN doc_id % 73 = 0 THEN '' ELSE source END AS product_name, CASE WHEN lang = 'es' THEN CAST(NULL AS STRING) ELSE lang END AS product_code,
+ CAST(CONCAT(CAST(1990 + n_chars % 20 AS STRING), '-0', CAST(1 + n_chars % 9 AS STRING), '-1', CAST(n_chars % 10 AS STRING)) AS DATE) AS issue_date, CAST(n_chars % 3 AS STRING) AS revision,
+ CASE WHEN n_chars % 5 = 0 THEN 'Other' ELSE 'Maker' END AS manufacturer FROM documents""",
+    "b_batch_products": """
+SELECT CONCAT(source, '/', lang) AS product_id, CASE WHEN lang = 'fr' THEN CONCAT(source, ' ', lang) ELSE source END AS product_name, CASE WHEN lang = 'es' THEN CAST(NULL AS STRING) ELSE lang END AS manufacturer_product_code,
+ CASE WHEN source LIKE '%3' THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS manufacturer_id FROM (SELECT DISTINCT source, lang FROM documents WHERE source NOT LIKE '%7') t""",
+    "b_batch_documents": """
+SELECT CONCAT(source, '/', lang) AS product_id, CASE WHEN ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1 AND source NOT LIKE '%4' THEN 'CURRENT' ELSE 'ARCHIVED' END AS document_status,
+ CAST(CONCAT(CAST(1990 + n_chars % 20 AS STRING), '-0', CAST(1 + n_chars % 9 AS STRING), '-1', CAST(n_chars % 10 AS STRING)) AS DATE) AS issue_date, CAST(n_chars % 3 AS STRING) AS revision,
+ CONCAT(MD5(text), MD5(text)) AS sha256 FROM documents WHERE n_chars % 4 < 3""",
     "b_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('KARTA CHARAKTERYSTYKI', CHR(10),
  CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE CONCAT('Data aktualizacji: ',

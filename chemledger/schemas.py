@@ -127,6 +127,7 @@ UNIQUE_KEYS: tuple[tuple[str, tuple[str, ...], str | None], ...] = (
     ("sds_documents", ("product_id",), "document_status = 'CURRENT'"),
     ("bhp_decisions", ("sds_id",), "record_status = 'CURRENT'"),
     ("bhp_decisions", ("evidence_id",), None),
+    ("sds_documents", ("sds_id", "product_id"), None),
     ("sds_invalidation", ("invalidated_sds_id",), None),
     ("physical_reviews", ("status",), "status = 'DRAFT'"),
     ("physical_review_items", ("review_id", "product_id", "location_id"), None),
@@ -147,6 +148,14 @@ REFERENCES: tuple[tuple[str, tuple[str, ...], str, tuple[str, ...]], ...] = (
     ("physical_review_items", ("review_id",), "physical_reviews", ("review_id",)),
     ("physical_review_items", ("product_id",), "products", ("product_id",)),
     ("physical_review_items", ("location_id",), "usage_locations", ("location_id",)),
+    ("physical_review_items", ("baseline_unit_id",), "unit_of_measure", ("unit_id",)),
+    ("product_history", ("product_id",), "products", ("product_id",)),
+    ("product_identity_changes", ("product_id",), "products", ("product_id",)),
+    ("usage_location_history", ("location_id",), "usage_locations", ("location_id",)),
+    ("product_usage_location_history", ("product_id",), "products", ("product_id",)),
+    ("product_usage_location_history", ("location_id",), "usage_locations", ("location_id",)),
+    ("product_usage_location_history", ("peak_quantity_unit_id",), "unit_of_measure", ("unit_id",)),
+    ("product_usage_location_history", ("monthly_consumption_unit_id",), "unit_of_measure", ("unit_id",)),
 )
 CHECKS: tuple[tuple[str, str, str], ...] = (
     ("usage_locations", "location_code_format", "location_code IS NULL OR location_code RLIKE '^[A-Z0-9][A-Z0-9_-]{0,31}$'"),
@@ -155,6 +164,8 @@ CHECKS: tuple[tuple[str, str, str], ...] = (
      "monthly_consumption_value IS NULL OR monthly_consumption_value >= 0"),
     ("product_usage_locations", "monthly_consumption_pair",
      "(monthly_consumption_value IS NULL) = (monthly_consumption_unit_id IS NULL)"),
+    ("product_usage_location_history", "monthly_consumption_pair",
+     "(monthly_consumption_value IS NULL) = (monthly_consumption_unit_id IS NULL)"),
     ("sds_invalidation", "reason_not_blank", "length(trim(reason)) > 0"),
     ("sds_invalidation", "distinct_restored", "restored_sds_id IS NULL OR restored_sds_id <> invalidated_sds_id"),
     ("physical_reviews", "finalized_at_matches_status", "(status = 'FINAL') = (finalized_at IS NOT NULL)"),
