@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chemledger import schemas
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
-from chemledger.operators import audits, batch, dashboard, facts, history, identity, locations, registry_reads, reviews, supervisory
+from chemledger.operators import audits, batch, dashboard, extraction, facts, history, identity, locations, registry_reads, reviews, supervisory, transitions
 
 Query = Callable[[Registry], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -814,6 +814,326 @@ def entry_lists(reg):
     return raw(reg, "part").select("p_partkey", F.array_join(text.entries(F.concat(F.lit(" \n "), F.col("p_name"), F.lit(" \r\n\n\t"), F.col("p_brand"), F.lit("\n"))), ";").alias("entries"))
 
 
+# --- extraction from rendered pages; the columns that a page was rendered from are what it must give back
+
+PAGES = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+
+
+def rules(reg) -> DataFrame:
+    return extraction.rule_table(reg.spark)
+
+
+@query("page_lines", "SELECT source_id, page_no, CAST(i - 1 AS INT) AS line_no, lines[i] AS line, TRIM(lines[i]) = '' AS blank, LENGTH(lines[i]) - LENGTH(LTRIM(lines[i])) AS indent FROM (SELECT source_id, page_no, lines, UNNEST(RANGE(1, LEN(lines) + 1)) AS i FROM (SELECT source_id, page_no, STRING_SPLIT(text, CHR(10)) AS lines FROM b_pages) t) u")
+def page_lines(reg):
+    return extraction.page_lines(reg.pages)
+
+
+@query("page_readability", "SELECT source_id, COUNT(*) AS pages, 'READABLE' AS readability_status FROM b_pages GROUP BY source_id")
+def page_readability(reg):
+    return extraction.readability(reg.pages)
+
+
+@query("page_segments", f"SELECT o_orderkey AS source_id, p AS page_no, CASE WHEN p = 2 AND o_orderkey % 5 = 4 THEN 2 ELSE 1 END AS document_no, CASE WHEN p = 2 AND o_orderkey % 5 = 4 THEN 2 ELSE 1 END AS page_from, CASE WHEN p = 1 AND o_orderkey % 5 = 4 THEN 1 ELSE 2 END AS page_to FROM {PAGES}, (SELECT UNNEST([1, 2]) AS p) t")
+def page_segments(reg):
+    return extraction.segments(extraction.labelled_lines(reg.pages))
+
+
+@query("source_language", f"SELECT o_orderkey AS source_id, 'pl' AS language FROM {PAGES}")
+def source_language(reg):
+    return extraction.source_language(reg.pages)
+
+
+LABELS = f"""lines AS (SELECT source_id, page_no, i - 1 AS line_no, lines[i] AS line FROM (SELECT source_id, page_no, lines, UNNEST(RANGE(1, LEN(lines) + 1)) AS i FROM (SELECT source_id, page_no, STRING_SPLIT(text, CHR(10)) AS lines FROM b_pages) t) u),
+marked AS (SELECT *, NULLIF(REGEXP_EXTRACT(line, '^SEKCJA (\\d+):', 1), '') AS own_section, NULLIF(REGEXP_EXTRACT(line, '^(1\\.[1-4]) ', 1), '') AS own_sub FROM lines),
+sections AS (SELECT *, LAST_VALUE(own_section IGNORE NULLS) OVER w AS section, CASE WHEN own_section IS NOT NULL THEN 'none' ELSE own_sub END AS heading FROM marked WINDOW w AS (PARTITION BY source_id, page_no ORDER BY line_no)),
+labelled AS (SELECT *, LAST_VALUE(heading IGNORE NULLS) OVER (PARTITION BY source_id, page_no ORDER BY line_no) AS sub, MIN(CASE WHEN own_section IS NOT NULL THEN line_no END) OVER (PARTITION BY source_id, page_no) AS first_section,
+ MAX(CASE WHEN TRIM(line) <> '' THEN line_no END) OVER (PARTITION BY source_id, page_no) AS last_line FROM sections)"""
+
+
+@query("line_sections", f"WITH {LABELS} SELECT source_id, page_no, CAST(line_no AS INT) AS line_no, section, CASE WHEN sub IN ('1.1', '1.3') THEN sub END AS subsection FROM labelled")
+def line_sections(reg):
+    return extraction.labelled_lines(reg.pages).select("source_id", "page_no", "line_no", "section", "subsection")
+
+
+@query("context_lines", f"""WITH {LABELS}, placed AS (SELECT source_id, page_no, line_no, TRIM(line) AS line, UNNEST(LIST_FILTER([CASE WHEN sub IN ('1.1', '1.3') THEN sub END, CASE WHEN line_no < COALESCE(first_section, 30) THEN 'HEADER' END, CASE WHEN line_no > last_line - 16 THEN 'FOOTER' END], lambda x: x IS NOT NULL)) AS context FROM labelled WHERE TRIM(line) <> '')
+ SELECT source_id, page_no, CAST(line_no AS INT) AS line_no, line, context, LEAD(line) OVER (PARTITION BY source_id, page_no, context ORDER BY line_no) AS next_line FROM placed""")
+def context_lines(reg):
+    return extraction.context_lines(extraction.labelled_lines(reg.pages))
+
+
+STATES = f"""base AS (SELECT o_orderkey AS source_id, o_orderkey % 5 AS v, c_name, n_name, o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey % 9 AS VARCHAR) || '.0' AS version FROM {PAGES}),
+documents_ AS (SELECT base.*, 'DOC-001' AS document_key FROM base UNION ALL SELECT base.*, 'DOC-002' FROM base WHERE v = 4),
+states AS (
+ SELECT source_id, document_key, 'product_name' AS field, 'FOUND' AS state, CASE document_key WHEN 'DOC-001' THEN c_name ELSE c_name || ' B' END AS value FROM documents_
+ UNION ALL SELECT source_id, document_key, 'product_code', CASE WHEN document_key = 'DOC-002' THEN 'NOT_FOUND' WHEN v = 3 THEN 'UNREADABLE' ELSE 'FOUND' END, CASE WHEN document_key = 'DOC-001' AND v <> 3 THEN 'K' || CAST(o_custkey AS VARCHAR) END FROM documents_
+ UNION ALL SELECT source_id, document_key, 'issue_date', CASE WHEN document_key = 'DOC-002' OR v = 1 THEN 'NOT_FOUND' ELSE 'FOUND' END, CASE WHEN document_key = 'DOC-001' AND v <> 1 THEN day END FROM documents_
+ UNION ALL SELECT source_id, document_key, 'revision', CASE WHEN v = 2 THEN 'AMBIGUOUS' ELSE 'FOUND' END, CASE WHEN v <> 2 THEN version END FROM documents_
+ UNION ALL SELECT source_id, document_key, 'EU_REPRESENTATIVE', CASE WHEN document_key = 'DOC-001' THEN 'FOUND' ELSE 'NOT_FOUND' END, CASE WHEN document_key = 'DOC-001' THEN n_name END FROM documents_
+ UNION ALL SELECT source_id, document_key, UNNEST(['MANUFACTURER_EXPORTER', 'SUPPLIER']), 'NOT_FOUND', NULL FROM documents_)"""
+
+
+@query("field_states", f"WITH {STATES} SELECT * FROM states")
+def field_states(reg):
+    return extraction.field_states(reg.pages, rules(reg))
+
+
+@query("documents_assembled", f"""WITH {STATES} SELECT source_id, document_key, {', '.join(f"MAX(CASE WHEN field = '{f}' THEN {c} END) AS {n}" for f in ('product_name', 'product_code', 'issue_date', 'revision') for c, n in (('value', f), ('state', f + '_state')))},
+ COUNT(CASE WHEN field IN ('EU_REPRESENTATIVE', 'MANUFACTURER_EXPORTER', 'SUPPLIER') AND state = 'FOUND' THEN 1 END) AS parties FROM states GROUP BY source_id, document_key""")
+def documents_assembled(reg):
+    return extraction.documents(extraction.field_states(reg.pages, rules(reg)))
+
+
+@query("rule_hits", f"""WITH base AS (SELECT o_orderkey AS source_id, o_orderkey % 5 AS v, c_name, n_name, o_custkey, STRFTIME(o_orderdate, '%d.%m.%Y') AS dotted, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey % 9 AS VARCHAR) || '.0' AS version FROM {PAGES})
+ SELECT source_id, 1 AS page_no, '1.1' AS context, 'A-001' AS alias_id, c_name AS raw, c_name AS value, 'Nazwa produktu: ' || c_name AS source_text FROM base
+ UNION ALL SELECT source_id, 2, '1.1', 'A-001', c_name || ' B', c_name || ' B', 'Nazwa produktu: ' || c_name || ' B' FROM base WHERE v = 4
+ UNION ALL SELECT source_id, 1, '1.1', 'A-002', CASE WHEN v = 3 THEN 'K�' ELSE 'K' END || CAST(o_custkey AS VARCHAR), CASE WHEN v = 3 THEN 'K�' ELSE 'K' END || CAST(o_custkey AS VARCHAR), 'Kod produktu: ' || CASE WHEN v = 3 THEN 'K�' ELSE 'K' END || CAST(o_custkey AS VARCHAR) FROM base
+ UNION ALL SELECT source_id, 1, '1.3', 'A-004', n_name, n_name, 'EU Only Representative: ' || n_name FROM base
+ UNION ALL SELECT source_id, 1, 'HEADER', 'A-011', dotted, day, 'Data aktualizacji: ' || dotted FROM base WHERE v <> 1
+ UNION ALL SELECT source_id, 1, UNNEST(['HEADER', 'FOOTER']), 'A-006', version, version, 'Wersja: ' || version FROM base
+ UNION ALL SELECT source_id, 2, 'FOOTER', 'A-006', CASE WHEN v = 2 THEN '77.7' ELSE version END, CASE WHEN v = 2 THEN '77.7' ELSE version END, 'Wersja: ' || CASE WHEN v = 2 THEN '77.7' ELSE version END FROM base""")
+def rule_hits(reg):
+    return extraction.rule_hits(extraction.context_lines(extraction.labelled_lines(reg.pages)), rules(reg)).select("source_id", "page_no", "context", "alias_id", "raw", "value", "source_text")
+
+
+# --- transitions: one query for each new table, for the history, and for what is refused
+
+REVISIONS = """checked AS (SELECT r.*, CASE WHEN r.product_id NOT IN (SELECT product_id FROM b_products) THEN 'PRODUCT_NOT_FOUND' WHEN TRIM(r.relative_path) = '' THEN 'SOURCE_PATH_REQUIRED' WHEN r.issue_date IS NULL OR TRIM(r.revision) = '' THEN 'ISSUE_DATE_AND_REVISION_REQUIRED'
+ WHEN r.sds_id IN (SELECT sds_id FROM b_sds_documents) THEN 'SDS_ID_TAKEN' END AS why FROM b_revision_requests r), accepted AS (SELECT * FROM checked WHERE why IS NULL)"""
+PRODUCTS = "p.product_id, p.product_name, p.manufacturer_product_code, p.manufacturer_id, p.use_description, p.use_restriction, {} AS usage_status, p.waste_type, p.waste_code"
+HISTORY_ROW = "SELECT SHA256(CAST(a.product_id AS VARCHAR) || '/' || CAST(a.request_id AS VARCHAR)) AS history_id, a.product_id, {} AS usage_status, p.use_description, p.use_restriction, p.waste_type, p.waste_code, a.at AS changed_at"
+
+
+def revised(reg):
+    return transitions.register_revisions(reg.products, reg.sds_documents, reg.revision_requests)
+
+
+@query("revisions_documents", f"""WITH {REVISIONS} SELECT sds_id, product_id, original_filename, relative_path, issue_date, revision, CASE WHEN document_status = 'CURRENT' AND product_id IN (SELECT product_id FROM accepted) THEN 'ARCHIVED' ELSE document_status END AS document_status, registered_at, file_status FROM b_sds_documents
+ UNION ALL SELECT sds_id, product_id, CASE WHEN original_filename <> '' THEN original_filename ELSE REGEXP_EXTRACT(relative_path, '([^/]*)$', 1) END, relative_path, issue_date, revision, 'CURRENT', accepted.at, 'AVAILABLE' FROM accepted""")
+def revisions_documents(reg):
+    return revised(reg).tables["sds_documents"]
+
+
+@query("revisions_products", f"WITH {REVISIONS} SELECT {PRODUCTS.format(chr(67) + 'ASE WHEN a.product_id IS NOT NULL THEN ' + repr('PENDING_APPROVAL') + ' ELSE p.usage_status END')} FROM b_products p LEFT JOIN accepted a ON a.product_id = p.product_id")
+def revisions_products(reg):
+    return revised(reg).tables["products"]
+
+
+@query("revisions_history", f"WITH {REVISIONS} {HISTORY_ROW.format(repr('PENDING_APPROVAL'))} FROM accepted a JOIN b_products p ON p.product_id = a.product_id")
+def revisions_history(reg):
+    return revised(reg).history
+
+
+@query("revisions_rejected", f"WITH {REVISIONS} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def revisions_rejected(reg):
+    return revised(reg).rejected
+
+
+DECIDED = """checked AS (SELECT r.*, CASE WHEN TRIM(r.original_filename) = '' THEN 'ORIGINAL_FILENAME_REQUIRED' WHEN p.product_id IS NULL THEN 'PRODUCT_NOT_FOUND' WHEN s.sds_id IS NULL THEN 'SDS_NOT_FOUND' WHEN s.product_id <> r.product_id THEN 'SDS_OF_ANOTHER_PRODUCT'
+ WHEN s.document_status <> 'CURRENT' THEN 'SDS_NOT_CURRENT' WHEN r.sds_id NOT IN (SELECT sds_id FROM b_safety_profiles) THEN 'SAFETY_DATA_MISSING' WHEN p.use_description IS NULL OR p.use_restriction IS NULL THEN 'USE_DATA_MISSING' WHEN r.evidence_relative_path LIKE '%.txt' THEN 'EVIDENCE_FORMAT' END AS why
+ FROM b_decision_requests r LEFT JOIN b_products p ON p.product_id = r.product_id LEFT JOIN b_sds_documents s ON s.sds_id = r.sds_id), accepted AS (SELECT * FROM checked WHERE why IS NULL)"""
+
+
+def decided(reg):
+    return transitions.register_decisions(reg.products, reg.sds_documents, reg.safety_profiles, reg.bhp_decisions, reg.decision_evidence, reg.decision_requests)
+
+
+@query("decisions_registered", f"""WITH {DECIDED} SELECT decision_id, product_id, sds_id, decision_status, notes, registered_at, CASE WHEN record_status = 'CURRENT' AND sds_id IN (SELECT sds_id FROM accepted) THEN 'SUPERSEDED' ELSE record_status END AS record_status, evidence_id FROM b_bhp_decisions
+ UNION ALL SELECT request_id, product_id, sds_id, decision_status, notes, accepted.at, 'CURRENT', request_id FROM accepted""")
+def decisions_registered(reg):
+    return decided(reg).tables["bhp_decisions"]
+
+
+@query("decisions_evidence", f"""WITH {DECIDED} SELECT evidence_id, original_filename, relative_path, evidence_type, file_format, file_status FROM b_decision_evidence UNION ALL
+ SELECT request_id, original_filename, evidence_relative_path, CASE product_id % 5 WHEN 0 THEN 'EMAIL' WHEN 2 THEN 'PHOTO_SCAN' ELSE 'DOCUMENT' END, CASE product_id % 5 WHEN 0 THEN 'MSG' WHEN 2 THEN 'JPEG' ELSE 'PDF' END, 'AVAILABLE' FROM accepted""")
+def decisions_evidence(reg):
+    return decided(reg).tables["decision_evidence"]
+
+
+STATUS_GIVEN = "CASE a.decision_status WHEN 'APPROVED' THEN 'ACTIVE' ELSE 'REJECTED' END"
+
+
+@query("decisions_products", f"WITH {DECIDED} SELECT {PRODUCTS.format(f'CASE WHEN a.product_id IS NULL THEN p.usage_status ELSE {STATUS_GIVEN} END')} FROM b_products p LEFT JOIN accepted a ON a.product_id = p.product_id")
+def decisions_products(reg):
+    return decided(reg).tables["products"]
+
+
+@query("decisions_history", f"WITH {DECIDED} {HISTORY_ROW.format(STATUS_GIVEN)} FROM accepted a JOIN b_products p ON p.product_id = a.product_id")
+def decisions_history(reg):
+    return decided(reg).history
+
+
+@query("decisions_rejected", f"WITH {DECIDED} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def decisions_rejected(reg):
+    return decided(reg).rejected
+
+
+WITHDRAWAL = """checked AS (SELECT r.*, p.usage_status AS old_status, CASE WHEN TRIM(reason_text) = '' THEN 'REASON_REQUIRED'
+ WHEN expected_status NOT IN ('CURRENT', 'ARCHIVED') OR (mode = 'ARCHIVED_ONLY') <> (expected_status = 'ARCHIVED') OR (mode = 'RESTORE_ARCHIVED') <> (restored_sds_id IS NOT NULL) OR COALESCE(restored_sds_id = r.sds_id, FALSE) THEN 'MODE_DOES_NOT_FIT'
+ WHEN p.product_id IS NULL THEN 'STALE_PRODUCT' WHEN t.sds_id IS NULL OR t.product_id <> r.product_id OR t.document_status <> r.expected_status THEN 'STALE_DOCUMENT'
+ WHEN (SELECT MIN(sds_id) FROM b_sds_documents c WHERE c.product_id = r.product_id AND c.document_status = 'CURRENT') IS DISTINCT FROM expected_current_sds_id THEN 'STALE_CURRENT'
+ WHEN r.sds_id IN (SELECT invalidated_sds_id FROM b_sds_invalidation) THEN 'ALREADY_INVALIDATED' WHEN mode = 'RESTORE_ARCHIVED' AND (b.sds_id IS NULL OR b.product_id <> r.product_id OR b.document_status <> 'ARCHIVED') THEN 'STALE_RESTORED' END AS why
+ FROM b_invalidation_requests r LEFT JOIN b_products p ON p.product_id = r.product_id LEFT JOIN b_sds_documents t ON t.sds_id = r.sds_id LEFT JOIN b_sds_documents b ON b.sds_id = r.restored_sds_id),
+accepted AS (SELECT * FROM checked WHERE why IS NULL), waits AS (SELECT * FROM accepted WHERE expected_status = 'CURRENT' AND old_status <> 'PENDING_APPROVAL')"""
+
+
+def withdrawn(reg):
+    return transitions.invalidate(reg.products, reg.sds_documents, reg.bhp_decisions, reg.sds_invalidation, reg.invalidation_requests)
+
+
+@query("invalidation_documents", f"""WITH {WITHDRAWAL} SELECT sds_id, product_id, original_filename, relative_path, issue_date, revision, CASE WHEN sds_id IN (SELECT sds_id FROM accepted) THEN 'INVALIDATED' WHEN sds_id IN (SELECT restored_sds_id FROM accepted WHERE restored_sds_id IS NOT NULL) THEN 'CURRENT' ELSE document_status END AS document_status,
+ registered_at, file_status FROM b_sds_documents""")
+def invalidation_documents(reg):
+    return withdrawn(reg).tables["sds_documents"]
+
+
+@query("invalidation_decisions", f"""WITH {WITHDRAWAL} SELECT decision_id, product_id, sds_id, decision_status, notes, registered_at, CASE WHEN record_status = 'CURRENT' AND sds_id IN (SELECT sds_id FROM accepted WHERE expected_status = 'CURRENT' UNION SELECT restored_sds_id FROM accepted WHERE expected_status = 'CURRENT' AND restored_sds_id IS NOT NULL)
+ THEN 'SUPERSEDED' ELSE record_status END AS record_status, evidence_id FROM b_bhp_decisions""")
+def invalidation_decisions(reg):
+    return withdrawn(reg).tables["bhp_decisions"]
+
+
+@query("invalidation_products", f"WITH {WITHDRAWAL} SELECT {PRODUCTS.format(chr(67) + 'ASE WHEN a.product_id IS NOT NULL THEN ' + repr('PENDING_APPROVAL') + ' ELSE p.usage_status END')} FROM b_products p LEFT JOIN waits a ON a.product_id = p.product_id")
+def invalidation_products(reg):
+    return withdrawn(reg).tables["products"]
+
+
+@query("invalidation_audit", f"WITH {WITHDRAWAL} SELECT invalidation_id, product_id, invalidated_sds_id, invalidated_from_status, restored_sds_id, reason, invalidated_at FROM b_sds_invalidation UNION ALL SELECT request_id, product_id, sds_id, expected_status, restored_sds_id, TRIM(reason_text), accepted.at FROM accepted")
+def invalidation_audit(reg):
+    return withdrawn(reg).tables["sds_invalidation"]
+
+
+@query("invalidation_history", f"WITH {WITHDRAWAL} {HISTORY_ROW.format(repr('PENDING_APPROVAL'))} FROM waits a JOIN b_products p ON p.product_id = a.product_id")
+def invalidation_history(reg):
+    return withdrawn(reg).history
+
+
+@query("invalidation_rejected", f"WITH {WITHDRAWAL} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def invalidation_rejected(reg):
+    return withdrawn(reg).rejected
+
+
+def administered(reg):
+    return transitions.update_administrative(reg.products, reg.administrative_requests)
+
+
+@query("administrative_products", "SELECT p.product_id, p.product_name, p.manufacturer_product_code, p.manufacturer_id, " + ", ".join(f"CASE WHEN r.request_id IS NULL THEN p.{c} ELSE r.{c} END AS {c}" for c in ("use_description", "use_restriction", "waste_type", "waste_code")) + ", p.usage_status FROM b_products p LEFT JOIN b_administrative_requests r ON r.product_id = p.product_id")
+def administrative_products(reg):
+    return administered(reg).tables["products"]
+
+
+@query("administrative_history", "SELECT SHA256(CAST(p.product_id AS VARCHAR) || '/' || CAST(r.request_id AS VARCHAR)) AS history_id, p.product_id, p.usage_status, r.use_description, r.use_restriction, r.waste_type, r.waste_code, r.at AS changed_at FROM b_products p JOIN b_administrative_requests r ON r.product_id = p.product_id")
+def administrative_history(reg):
+    return administered(reg).history
+
+
+@query("administrative_rejected", "SELECT request_id, 'PRODUCT_NOT_FOUND' AS reason FROM b_administrative_requests WHERE product_id NOT IN (SELECT product_id FROM b_products)")
+def administrative_rejected(reg):
+    return administered(reg).rejected
+
+
+def relocated(reg):
+    return transitions.set_location_status(reg.usage_locations, reg.location_requests)
+
+
+@query("location_states", "SELECT l.location_id, l.location_code, l.location_name, COALESCE(r.new_status, l.status) AS status FROM b_usage_locations l LEFT JOIN b_location_requests r ON r.location_id = l.location_id AND r.new_status IN ('ACTIVE', 'INACTIVE')")
+def location_states(reg):
+    return relocated(reg).tables["usage_locations"]
+
+
+@query("location_state_history", "SELECT r.request_id AS history_id, r.location_id, r.new_status AS status, r.at AS changed_at FROM b_location_requests r JOIN b_usage_locations l ON l.location_id = r.location_id WHERE r.new_status <> 'CLOSED'")
+def location_state_history(reg):
+    return relocated(reg).history
+
+
+@query("location_rejected", "SELECT request_id, CASE WHEN location_id NOT IN (SELECT location_id FROM b_usage_locations) THEN 'LOCATION_NOT_FOUND' ELSE 'STATUS_NOT_ALLOWED' END AS reason FROM b_location_requests WHERE location_id NOT IN (SELECT location_id FROM b_usage_locations) OR new_status = 'CLOSED'")
+def location_rejected(reg):
+    return relocated(reg).rejected
+
+
+POPULATION = "SELECT a.product_id, a.location_id, a.peak_quantity_value, a.peak_quantity_unit_id FROM b_product_usage_locations a JOIN b_usage_locations l ON l.location_id = a.location_id WHERE l.status = 'ACTIVE'"
+
+
+def opened(reg, only_final: bool):
+    rows = reg.physical_reviews.where("status = 'FINAL'") if only_final else reg.physical_reviews
+    return transitions.create_review(rows, reg.physical_review_items, reviews.review_population(reg), 99999, F.to_date(F.lit("1999-01-01")), F.lit(dt.datetime(1999, 1, 1)).cast("timestamp_ntz"))
+
+
+@query("review_snapshot", f"SELECT review_item_id, review_id, product_id, location_id, baseline_max_quantity, baseline_unit_id, observed_quantity FROM b_physical_review_items UNION ALL SELECT '99999/' || CAST(product_id AS VARCHAR) || '/' || CAST(location_id AS VARCHAR), 99999, product_id, location_id, peak_quantity_value, peak_quantity_unit_id, NULL FROM ({POPULATION}) t")
+def review_snapshot(reg):
+    return opened(reg, True).tables["physical_review_items"]
+
+
+@query("review_opened", "SELECT review_id, review_date, status, created_at, finalized_at FROM b_physical_reviews WHERE status = 'FINAL' UNION ALL SELECT 99999, DATE '1999-01-01', 'DRAFT', TIMESTAMP '1999-01-01 00:00:00', NULL")
+def review_opened(reg):
+    return opened(reg, True).tables["physical_reviews"]
+
+
+@query("review_refused", "SELECT 99999 AS request_id, 'DRAFT_EXISTS' AS reason FROM b_physical_reviews WHERE status = 'DRAFT' LIMIT 1")
+def review_refused(reg):
+    return opened(reg, False).rejected
+
+
+def observed(reg):
+    return transitions.record_observed(reg.physical_reviews, reg.physical_review_items, reg.observation_requests)
+
+
+OBSERVED = """asked AS (SELECT q.request_id, q.review_item_id, q.observed_quantity, CASE WHEN i.review_item_id IS NULL THEN 'ITEM_NOT_FOUND' WHEN r.status <> 'DRAFT' THEN 'REVIEW_IS_FINAL' WHEN q.observed_quantity < 0 THEN 'NEGATIVE_QUANTITY' END AS reason
+ FROM b_observation_requests q LEFT JOIN b_physical_review_items i ON i.review_item_id = q.review_item_id LEFT JOIN b_physical_reviews r ON r.review_id = i.review_id)"""
+
+
+@query("review_observed", f"WITH {OBSERVED} SELECT i.review_item_id, i.review_id, i.product_id, i.location_id, i.baseline_max_quantity, i.baseline_unit_id, CASE WHEN a.request_id IS NULL THEN i.observed_quantity ELSE a.observed_quantity END AS observed_quantity FROM b_physical_review_items i LEFT JOIN asked a ON a.review_item_id = i.review_item_id AND a.reason IS NULL")
+def review_observed(reg):
+    return observed(reg).tables["physical_review_items"]
+
+
+@query("review_observed_rejected", f"WITH {OBSERVED} SELECT request_id, reason FROM asked WHERE reason IS NOT NULL")
+def review_observed_rejected(reg):
+    return observed(reg).rejected
+
+
+DRAFT = "(SELECT MAX(review_id) FROM b_physical_reviews)"
+
+
+def draft_id(reg) -> int:
+    return reg.physical_reviews.agg(F.max("review_id")).first()[0]
+
+
+@query("review_finalized", "SELECT review_id, review_date, 'FINAL' AS status, created_at, CASE WHEN status = 'FINAL' THEN finalized_at ELSE TIMESTAMP '1999-01-01 00:00:00' END AS finalized_at FROM b_physical_reviews")
+def review_finalized(reg):
+    return transitions.finalize_review(reg.physical_reviews, draft_id(reg), F.lit(dt.datetime(1999, 1, 1)).cast("timestamp_ntz"))
+
+
+@query("review_discarded", f"SELECT * FROM b_physical_review_items WHERE review_id <> {DRAFT}")
+def review_discarded(reg):
+    return transitions.discard_draft(reg.physical_reviews, reg.physical_review_items, draft_id(reg))[1]
+
+
+BLOCKED = "SELECT product_id FROM b_sds_invalidation UNION SELECT product_id FROM b_physical_review_items"
+
+
+def deleted(reg):
+    tables = {t: getattr(reg, t) for t in ("products", "sds_documents", "bhp_decisions", "product_usage_locations", "product_history", "sds_invalidation")}
+    return transitions.delete_products(tables | {"physical_review_items": reg.physical_review_items.where("location_id % 10 = 0")}, reg.delete_requests)
+
+
+GOING = "going AS (SELECT product_id FROM b_delete_requests WHERE product_id IN (SELECT product_id FROM b_products) AND product_id NOT IN (SELECT product_id FROM b_sds_invalidation UNION SELECT product_id FROM b_physical_review_items WHERE location_id % 10 = 0))"
+
+
+@query("products_deleted", f"WITH {GOING} SELECT product_id FROM b_products WHERE product_id NOT IN (SELECT product_id FROM going)")
+def products_deleted(reg):
+    return deleted(reg).tables["products"].select("product_id")
+
+
+@query("documents_deleted", f"WITH {GOING} SELECT sds_id FROM b_sds_documents WHERE product_id NOT IN (SELECT product_id FROM going)")
+def documents_deleted(reg):
+    return deleted(reg).tables["sds_documents"].select("sds_id")
+
+
+@query("deletions_rejected", f"WITH {GOING} SELECT request_id, CASE WHEN product_id IN (SELECT product_id FROM b_products) THEN 'STILL_REFERENCED' ELSE 'PRODUCT_NOT_FOUND' END AS reason FROM b_delete_requests WHERE product_id NOT IN (SELECT product_id FROM going)")
+def deletions_rejected(reg):
+    return deleted(reg).rejected
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, build=build: build(Registry(spark, sf_dir)) for name, build in QUERIES.items()}
 

@@ -163,6 +163,32 @@ SELECT CONCAT(source, '/', lang) AS product_id, CASE WHEN lang = 'fr' THEN CONCA
 SELECT CONCAT(source, '/', lang) AS product_id, CASE WHEN ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1 AND source NOT LIKE '%4' THEN 'CURRENT' ELSE 'ARCHIVED' END AS document_status,
  CAST(CONCAT(CAST(1990 + n_chars % 20 AS STRING), '-0', CAST(1 + n_chars % 9 AS STRING), '-1', CAST(n_chars % 10 AS STRING)) AS DATE) AS issue_date, CAST(n_chars % 3 AS STRING) AS revision,
  CONCAT(MD5(text), MD5(text)) AS sha256 FROM documents WHERE n_chars % 4 < 3""",
+    "b_revision_requests": """
+SELECT product_id * 10 + 1 AS request_id, CASE WHEN product_id % 29 = 0 THEN product_id + 100000000 ELSE product_id END AS product_id, 1000000000 + product_id AS sds_id,
+ CASE WHEN product_id % 4 = 0 THEN '' ELSE CONCAT('new-', CAST(product_id AS STRING), '.pdf') END AS original_filename, CASE WHEN product_id % 15 = 0 THEN ' ' ELSE CONCAT('new/', CAST(product_id AS STRING), '.pdf') END AS relative_path,
+ CASE WHEN product_id % 17 = 0 THEN CAST(NULL AS DATE) ELSE DATE '1999-01-01' END AS issue_date, CASE WHEN product_id % 19 = 0 THEN ' ' ELSE '9' END AS revision, (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_products""",
+    "b_decision_requests": """
+SELECT product_id * 10 + 2 AS request_id, product_id, CASE WHEN product_id % 6 = 0 THEN MIN(sds_id) ELSE MAX(CASE WHEN document_status = 'CURRENT' THEN sds_id END) END AS sds_id,
+ CASE WHEN product_id % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS decision_status, CAST(NULL AS STRING) AS notes,
+ CONCAT('new/', CAST(product_id AS STRING), CASE product_id % 5 WHEN 0 THEN '.MSG' WHEN 1 THEN '.txt' WHEN 2 THEN '.jpeg' ELSE '.pdf' END) AS evidence_relative_path,
+ CASE WHEN product_id % 14 = 0 THEN ' ' ELSE 'scan' END AS original_filename, (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_sds_documents GROUP BY product_id""",
+    "b_invalidation_requests": """
+SELECT product_id * 10 + 3 AS request_id, product_id, CASE WHEN product_id % 3 = 0 THEN current_id ELSE archived_id END AS sds_id,
+ CASE WHEN product_id % 8 = 0 THEN 'INVALIDATED' WHEN product_id % 3 = 0 THEN 'CURRENT' ELSE 'ARCHIVED' END AS expected_status,
+ CASE WHEN product_id % 10 = 0 THEN CAST(NULL AS BIGINT) ELSE current_id END AS expected_current_sds_id,
+ CASE WHEN product_id % 3 <> 0 THEN 'ARCHIVED_ONLY' WHEN product_id % 2 = 0 THEN 'RESTORE_ARCHIVED' ELSE 'NO_CURRENT' END AS mode,
+ CASE WHEN product_id % 3 = 0 AND product_id % 2 = 0 THEN archived_id END AS restored_sds_id, CASE WHEN product_id % 31 = 0 THEN ' ' ELSE ' wrong card ' END AS reason_text, (SELECT MAX(o_orderdate) FROM orders) AS at
+FROM (SELECT product_id, MIN(CASE WHEN document_status = 'CURRENT' THEN sds_id END) AS current_id, MIN(CASE WHEN document_status = 'ARCHIVED' THEN sds_id END) AS archived_id FROM b_sds_documents GROUP BY product_id) t""",
+    "b_administrative_requests": """
+SELECT product_id * 10 + 4 AS request_id, CASE WHEN product_id % 7 = 0 THEN -product_id - 1 ELSE product_id END AS product_id, CASE WHEN product_id % 3 = 0 THEN CAST(NULL AS STRING) ELSE 'new use' END AS use_description,
+ 'new limit' AS use_restriction, 'W' AS waste_type, CAST(product_id AS STRING) AS waste_code, (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_products WHERE usage_status <> 'INACTIVE'""",
+    "b_location_requests": """
+SELECT location_id * 10 + 5 AS request_id, CASE WHEN location_id % 9 = 0 THEN -location_id - 1 ELSE location_id END AS location_id, CASE location_id % 4 WHEN 0 THEN 'INACTIVE' WHEN 1 THEN 'CLOSED' ELSE 'ACTIVE' END AS new_status,
+ (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_usage_locations""",
+    "b_observation_requests": """
+SELECT CONCAT('q', review_item_id) AS request_id, CASE WHEN product_id % 13 = 0 THEN CONCAT(review_item_id, '?') ELSE review_item_id END AS review_item_id,
+ CAST(CASE WHEN location_id % 11 = 0 THEN -1 ELSE baseline_max_quantity + 1 END AS DECIMAL(18,6)) AS observed_quantity FROM b_physical_review_items""",
+    "b_delete_requests": "SELECT product_id * 10 + 6 AS request_id, CASE WHEN product_id % 12 = 0 THEN -product_id - 1 ELSE product_id END AS product_id FROM b_products",
     "b_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('KARTA CHARAKTERYSTYKI', CHR(10),
  CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE CONCAT('Data aktualizacji: ',
