@@ -83,8 +83,8 @@ def with_file_present(rows: DataFrame, listing: DataFrame, path: str, out: str,
     """Plain boolean used by the supervisory list: a path that leaves its root is not available, a ``..`` that stays inside is resolved, and backslashes are
     ordinary characters."""
     usable = F.coalesce((F.col(path) != "") & ~F.startswith(F.col(path), F.lit("/")) & (resolved(F.col(path)) != ""), F.lit(False))
-    sizes = listing_sizes(listing)
+    sizes = listing.select(resolved(F.col("relative_path")).alias("_listed")).distinct()
     spread_key = F.concat(F.lit("\u0000"), F.col(spread).cast("string"))
     joined = rows.withColumn("_wanted", F.when(usable, resolved(F.col(path))).otherwise(spread_key)).join(
         sizes, F.col("_wanted") == F.col("_listed"), "left")
-    return joined.withColumn(out, F.col("_listed").isNotNull()).drop("_wanted", "_listed", "_size")
+    return joined.withColumn(out, F.col("_listed").isNotNull()).drop("_wanted", "_listed")
