@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chemledger import schemas
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
-from chemledger.operators import audits, batch, dashboard, extraction, facts, history, identity, locations, registry_reads, reviews, supervisory, transitions
+from chemledger.operators import audits, batch, dashboard, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
 
 Query = Callable[[Registry], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1134,6 +1134,141 @@ def deletions_rejected(reg):
     return deleted(reg).rejected
 
 
+# --- more transitions
+
+CODES = """checked AS (SELECT r.*, p.product_name, p.manufacturer_id, CASE WHEN TRIM(r.code) = '' THEN 'CODE_REQUIRED' WHEN p.product_id IS NULL THEN 'PRODUCT_NOT_FOUND' WHEN p.manufacturer_product_code IS NOT NULL THEN 'CODE_KNOWN' END AS why
+ FROM b_code_requests r LEFT JOIN b_products p ON p.product_id = r.product_id)"""
+
+
+def coded(reg):
+    return registration.complete_codes(reg.products, reg.code_requests)
+
+
+@query("codes_completed", f"WITH {CODES} SELECT p.product_id, COALESCE(TRIM(c.code), p.manufacturer_product_code) AS manufacturer_product_code FROM b_products p LEFT JOIN checked c ON c.product_id = p.product_id AND c.why IS NULL")
+def codes_completed(reg):
+    return coded(reg).tables["products"].select("product_id", "manufacturer_product_code")
+
+
+@query("codes_audit", f"WITH {CODES} SELECT request_id AS change_id, product_id, 'CODE_COMPLETION' AS change_kind, product_name AS old_product_name, product_name AS new_product_name, NULL AS old_manufacturer_product_code, TRIM(code) AS new_manufacturer_product_code, manufacturer_id AS old_manufacturer_id, manufacturer_id AS new_manufacturer_id, checked.at AS changed_at FROM checked WHERE why IS NULL")
+def codes_audit(reg):
+    return coded(reg).history
+
+
+@query("codes_rejected", f"WITH {CODES} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def codes_rejected(reg):
+    return coded(reg).rejected
+
+
+CORRECTED = """makers AS (SELECT manufacturer_name, COUNT(*) AS n, MIN(manufacturer_id) AS id FROM b_manufacturers_twice GROUP BY manufacturer_name),
+asked AS (SELECT r.*, p.product_name AS old_name, p.manufacturer_product_code AS old_code, CAST(p.manufacturer_id AS VARCHAR) AS old_maker, p.product_id AS found, m.n, COALESCE(CAST(m.id AS VARCHAR), SHA256(r.manufacturer_name)) AS maker
+ FROM b_correction_requests r LEFT JOIN b_products p ON p.product_id = r.product_id LEFT JOIN makers m ON m.manufacturer_name = r.manufacturer_name),
+checked AS (SELECT *, CASE WHEN found IS NULL THEN 'PRODUCT_NOT_FOUND' WHEN old_code IS NULL AND code IS NOT NULL THEN 'CODE_COMPLETION_IS_SEPARATE' WHEN n > 1 THEN 'MANUFACTURER_AMBIGUOUS'
+ WHEN product_name = old_name AND code IS NOT DISTINCT FROM old_code AND maker = old_maker THEN 'NO_CHANGE' END AS why FROM asked)"""
+
+
+def corrected(reg):
+    return registration.correct_identities(reg.products, reg.manufacturers_twice, reg.correction_requests)
+
+
+@query("corrections_products", f"WITH {CORRECTED} SELECT p.product_id, CASE WHEN c.request_id IS NULL THEN p.product_name ELSE c.product_name END AS product_name, CASE WHEN c.request_id IS NULL THEN p.manufacturer_product_code ELSE c.code END AS manufacturer_product_code, CASE WHEN c.request_id IS NULL THEN CAST(p.manufacturer_id AS VARCHAR) ELSE c.maker END AS manufacturer_id FROM b_products p LEFT JOIN checked c ON c.product_id = p.product_id AND c.why IS NULL")
+def corrections_products(reg):
+    return corrected(reg).tables["products"].select("product_id", "product_name", "manufacturer_product_code", "manufacturer_id")
+
+
+@query("corrections_manufacturers", f"WITH {CORRECTED} SELECT CAST(manufacturer_id AS VARCHAR) AS manufacturer_id, manufacturer_name FROM b_manufacturers_twice UNION ALL SELECT DISTINCT maker, manufacturer_name FROM checked WHERE why IS NULL AND n IS NULL")
+def corrections_manufacturers(reg):
+    return corrected(reg).tables["manufacturers"]
+
+
+@query("corrections_audit", f"WITH {CORRECTED} SELECT request_id AS change_id, product_id, 'CORRECTION' AS change_kind, old_name AS old_product_name, product_name AS new_product_name, old_code AS old_manufacturer_product_code, code AS new_manufacturer_product_code, CAST(old_maker AS BIGINT) AS old_manufacturer_id, maker AS new_manufacturer_id, checked.at AS changed_at FROM checked WHERE why IS NULL")
+def corrections_audit(reg):
+    return corrected(reg).history
+
+
+@query("corrections_rejected", f"WITH {CORRECTED} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def corrections_rejected(reg):
+    return corrected(reg).rejected
+
+
+@query("resolved_identities", """WITH makers AS (SELECT manufacturer_name, COUNT(*) AS n, MIN(manufacturer_id) AS id FROM b_manufacturers_twice GROUP BY manufacturer_name),
+a AS (SELECT r.*, m.n, CASE WHEN COALESCE(m.n, 0) < 2 THEN COALESCE(CAST(m.id AS VARCHAR), SHA256(r.manufacturer_name)) END AS maker FROM b_correction_requests r LEFT JOIN makers m ON m.manufacturer_name = r.manufacturer_name),
+b AS (SELECT a.*, (SELECT CAST(MIN(p.product_id) AS VARCHAR) FROM b_products p WHERE p.product_name = a.product_name AND p.manufacturer_product_code = a.code AND CAST(p.manufacturer_id AS VARCHAR) = a.maker) AS found FROM a)
+SELECT request_id, maker AS manufacturer_id, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'LINKED' ELSE 'CREATED' END AS manufacturer_action, CASE WHEN maker IS NOT NULL THEN COALESCE(found, SHA256(product_name || CHR(1) || COALESCE(code, CHR(0)) || CHR(1) || maker)) END AS product_id,
+ CASE WHEN maker IS NULL THEN 'REJECTED' WHEN found IS NOT NULL THEN 'LINKED' ELSE 'CREATED' END AS product_action FROM b""")
+def resolved_identities(reg):
+    return registration.resolve_or_create(reg.products, reg.manufacturers_twice, reg.correction_requests)
+
+
+CODED = "CASE WHEN REGEXP_FULL_MATCH(UPPER(TRIM({0})), '[A-Z0-9][A-Z0-9_-]{{0,31}}') THEN UPPER(TRIM({0})) END"
+PLACES = f"""asked AS (SELECT *, {CODED.format('location_code')} AS code FROM b_new_locations), checked AS (SELECT *, CASE WHEN code IS NULL THEN 'CODE_FORMAT' WHEN code IN (SELECT location_code FROM b_usage_locations WHERE location_code IS NOT NULL)
+ OR request_id <> MIN(request_id) OVER (PARTITION BY code) THEN 'CODE_TAKEN' END AS why FROM asked)"""
+
+
+@query("locations_created", f"WITH {PLACES} SELECT location_id, location_code, location_name, status FROM b_usage_locations UNION ALL SELECT location_id, code, location_name, 'ACTIVE' FROM checked WHERE why IS NULL")
+def locations_created(reg):
+    return registration.create_locations(reg.usage_locations, reg.new_locations).tables["usage_locations"]
+
+
+@query("locations_refused", f"WITH {PLACES} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def locations_refused(reg):
+    return registration.create_locations(reg.usage_locations, reg.new_locations).rejected
+
+
+LEGACY = f"""asked AS (SELECT r.request_id, r.location_id, {CODED.format('r.location_code')} AS code, l.location_id AS found, l.location_code AS old FROM b_legacy_codes r LEFT JOIN b_usage_locations l ON l.location_id = r.location_id),
+checked AS (SELECT *, CASE WHEN found IS NULL THEN 'LOCATION_NOT_FOUND' WHEN old IS NOT NULL THEN 'CODE_ASSIGNED' WHEN code IS NULL THEN 'CODE_FORMAT' WHEN code IN (SELECT location_code FROM b_usage_locations WHERE location_code IS NOT NULL) OR request_id <> MIN(request_id) OVER (PARTITION BY code) THEN 'CODE_TAKEN' END AS why FROM asked)"""
+
+
+@query("legacy_codes", f"WITH {LEGACY} SELECT l.location_id, COALESCE(c.code, l.location_code) AS location_code FROM b_usage_locations l LEFT JOIN checked c ON c.location_id = l.location_id AND c.why IS NULL")
+def legacy_codes(reg):
+    return registration.assign_legacy_codes(reg.usage_locations, reg.legacy_codes).tables["usage_locations"].select("location_id", "location_code")
+
+
+@query("legacy_codes_rejected", f"WITH {LEGACY} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def legacy_codes_rejected(reg):
+    return registration.assign_legacy_codes(reg.usage_locations, reg.legacy_codes).rejected
+
+
+def quantity_sql(requests: str, new: bool) -> str:
+    place = "WHEN l.location_id IS NULL THEN 'LOCATION_NOT_FOUND' WHEN l.status <> 'ACTIVE' THEN 'LOCATION_INACTIVE' " if new else ""
+    there = "WHEN a.product_id IS NOT NULL THEN 'ALREADY_ASSIGNED'" if new else "WHEN a.product_id IS NULL THEN 'ASSIGNMENT_NOT_FOUND'"
+    active = "(SELECT unit_id FROM b_units_some WHERE status = 'ACTIVE')"
+    return f"""checked AS (SELECT r.*, CASE {place}WHEN r.peak_quantity_value < 0 OR COALESCE(r.monthly_consumption_value < 0, FALSE) THEN 'QUANTITY_NOT_ALLOWED' WHEN (r.monthly_consumption_value IS NULL) <> (r.monthly_consumption_unit_id IS NULL) THEN 'MONTHLY_PAIR'
+ WHEN r.peak_quantity_unit_id NOT IN {active} OR COALESCE(r.monthly_consumption_unit_id NOT IN {active}, FALSE) THEN 'UNIT_INACTIVE' {there} END AS why
+ FROM {requests} r LEFT JOIN b_usage_locations l ON l.location_id = r.location_id LEFT JOIN b_product_usage_locations a ON a.product_id = r.product_id AND a.location_id = r.location_id)"""
+
+
+QUANTITY_COLUMNS = ", ".join(registration.QUANTITIES)
+
+
+def measured(reg, new: bool):
+    return registration.set_quantities(reg.product_usage_locations, reg.usage_locations, reg.units_some, reg.assign_requests if new else reg.quantity_requests, new)
+
+
+@query("quantities_updated", f"WITH {quantity_sql('b_quantity_requests', False)} SELECT p.product_id, p.location_id, {', '.join(f'CASE WHEN c.request_id IS NULL THEN p.{q} ELSE c.{q} END AS {q}' for q in registration.QUANTITIES)} FROM b_product_usage_locations p LEFT JOIN checked c ON c.product_id = p.product_id AND c.location_id = p.location_id AND c.why IS NULL")
+def quantities_updated(reg):
+    return measured(reg, False).tables["product_usage_locations"]
+
+
+@query("quantities_rejected", f"WITH {quantity_sql('b_quantity_requests', False)} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def quantities_rejected(reg):
+    return measured(reg, False).rejected
+
+
+@query("quantities_assigned", f"WITH {quantity_sql('b_assign_requests', True)} SELECT product_id, location_id, {QUANTITY_COLUMNS} FROM b_product_usage_locations UNION ALL SELECT product_id, location_id, {QUANTITY_COLUMNS} FROM checked WHERE why IS NULL")
+def quantities_assigned(reg):
+    return measured(reg, True).tables["product_usage_locations"]
+
+
+@query("assignment_history", f"WITH {quantity_sql('b_assign_requests', True)} SELECT request_id AS history_id, product_id, location_id, {QUANTITY_COLUMNS}, checked.at AS changed_at FROM checked WHERE why IS NULL")
+def assignment_history(reg):
+    return measured(reg, True).history
+
+
+@query("assignments_rejected", f"WITH {quantity_sql('b_assign_requests', True)} SELECT request_id, why AS reason FROM checked WHERE why IS NOT NULL")
+def assignments_rejected(reg):
+    return measured(reg, True).rejected
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, build=build: build(Registry(spark, sf_dir)) for name, build in QUERIES.items()}
 

@@ -189,6 +189,26 @@ SELECT location_id * 10 + 5 AS request_id, CASE WHEN location_id % 9 = 0 THEN -l
 SELECT CONCAT('q', review_item_id) AS request_id, CASE WHEN product_id % 13 = 0 THEN CONCAT(review_item_id, '?') ELSE review_item_id END AS review_item_id,
  CAST(CASE WHEN location_id % 11 = 0 THEN -1 ELSE baseline_max_quantity + 1 END AS DECIMAL(18,6)) AS observed_quantity FROM b_physical_review_items""",
     "b_delete_requests": "SELECT product_id * 10 + 6 AS request_id, CASE WHEN product_id % 12 = 0 THEN -product_id - 1 ELSE product_id END AS product_id FROM b_products",
+    "b_code_requests": """
+SELECT product_id * 10 + 7 AS request_id, CASE WHEN product_id % 12 = 0 THEN -product_id - 1 ELSE product_id END AS product_id, CASE WHEN product_id % 8 = 0 THEN ' ' ELSE CONCAT(' C', CAST(product_id AS STRING)) END AS code,
+ (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_products""",
+    "b_correction_requests": """
+SELECT p.product_id * 10 + 8 AS request_id, CASE WHEN p.product_id % 13 = 0 THEN -p.product_id - 1 ELSE p.product_id END AS product_id, CASE WHEN p.product_id % 3 = 0 THEN p.product_name ELSE CONCAT(p.product_name, ' II') END AS product_name,
+ CASE WHEN p.product_id % 7 = 0 THEN 'X' ELSE p.manufacturer_product_code END AS code, CASE p.product_id % 4 WHEN 0 THEN m.manufacturer_name WHEN 1 THEN 'Newcomer' WHEN 2 THEN 'Twice' ELSE m.manufacturer_name END AS manufacturer_name,
+ (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_products p JOIN b_manufacturers m ON m.manufacturer_id = p.manufacturer_id""",
+    "b_manufacturers_twice": "SELECT manufacturer_id, manufacturer_name FROM b_manufacturers UNION ALL SELECT 900, 'Twice' FROM region WHERE r_regionkey < 2",
+    "b_new_locations": """
+SELECT location_id * 10 + 9 AS request_id, location_id + 50000 AS location_id, location_name, CASE location_id % 5 WHEN 0 THEN ' no good' WHEN 1 THEN CONCAT(' n-', CAST(location_id AS STRING)) WHEN 2 THEN 'same' WHEN 3 THEN location_code ELSE 'N_2' END AS location_code FROM b_usage_locations""",
+    "b_legacy_codes": """
+SELECT location_id * 10 + 1 AS request_id, CASE WHEN location_id % 6 = 0 THEN -location_id - 1 ELSE location_id END AS location_id, CASE WHEN location_id % 4 = 0 THEN '?' ELSE CONCAT('old', CAST(location_id % 50 AS STRING)) END AS location_code FROM b_usage_locations""",
+    "b_units_some": "SELECT unit_id, code, name, category, CASE WHEN unit_id = 'F' THEN 'ACTIVE' ELSE 'INACTIVE' END AS status FROM b_units",
+    "b_quantity_requests": """
+SELECT CONCAT(CAST(product_id AS STRING), '-', CAST(location_id AS STRING)) AS request_id, product_id, CASE WHEN product_id % 5 = 0 THEN location_id ELSE -location_id - 1 END AS location_id,
+ CAST(CASE WHEN product_id % 10 = 0 THEN -1 ELSE peak_quantity_value + 1 END AS DECIMAL(18,6)) AS peak_quantity_value, peak_quantity_unit_id, monthly_consumption_value,
+ CASE WHEN location_id % 7 = 0 THEN CAST(NULL AS STRING) ELSE monthly_consumption_unit_id END AS monthly_consumption_unit_id, (SELECT MAX(o_orderdate) FROM orders) AS at FROM b_product_usage_locations""",
+    "b_assign_requests": """
+SELECT product_id AS request_id, product_id, location_id, CAST(5 AS DECIMAL(18,6)) AS peak_quantity_value, CASE WHEN product_id % 9 = 0 THEN 'O' ELSE 'F' END AS peak_quantity_unit_id, CAST(NULL AS DECIMAL(18,6)) AS monthly_consumption_value,
+ CAST(NULL AS STRING) AS monthly_consumption_unit_id, (SELECT MAX(o_orderdate) FROM orders) AS at FROM (SELECT product_id, product_id % 120 AS location_id FROM b_products) t""",
     "b_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('KARTA CHARAKTERYSTYKI', CHR(10),
  CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE CONCAT('Data aktualizacji: ',
