@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chemledger import schemas
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
-from chemledger.operators import audits, batch, dashboard, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
+from chemledger.operators import audits, batch, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
 
 Query = Callable[[Registry], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1269,6 +1269,69 @@ def assignments_rejected(reg):
     return measured(reg, True).rejected
 
 
+# --- evidence, gates and the section-wise draft
+
+def evidence_fields(reg) -> DataFrame:
+    """The header fields of the bound evidence in long form, each with one proof where it was found."""
+    names = ("name", "code", "issue_date", "revision")
+    field = lambda n: F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), F.col(f"{n}_state").alias("state"))
+    rows = reg.evidence.select("evidence_id", F.explode(F.array(*map(field, names))).alias("f")).select("evidence_id", "f.*")
+    proof = F.struct(F.lit(1).alias("page"), F.lit("1").alias("section"), F.when(F.col("field").isin("name", "code"), "1.1").alias("subsection"), F.col("field").alias("label"), F.col("value").alias("source_text"))
+    return rows.withColumns({"domain_value": F.when(F.col("evidence_id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.lower("value")), "has_domain": F.col("evidence_id") % 3 == 0, "evidence": F.when(F.col("state") == "FOUND", F.array(proof)).otherwise(F.array().cast("array<struct<page:int,section:string,subsection:string,label:string,source_text:string>>"))})
+
+
+FIELDS = "fields AS (" + " UNION ALL ".join(f"SELECT evidence_id, '{n}' AS field, {n} AS value, {n}_state AS state, '{'1 / 1.1' if n in ('name', 'code') else '1'} / {n}' AS context FROM b_evidence" for n in ("name", "code", "issue_date", "revision")) + ")"
+
+
+@query("evidence_flat", f"WITH {FIELDS} SELECT evidence_id, field, CASE WHEN evidence_id % 3 = 0 THEN CASE WHEN evidence_id % 4 = 0 THEN NULL ELSE LOWER(value) END ELSE value END AS value, state, CASE WHEN state = 'FOUND' THEN 1 END AS page, CASE WHEN state = 'FOUND' THEN context ELSE '' END AS context, CASE WHEN state = 'FOUND' THEN value END AS source_text FROM fields")
+def evidence_flat(reg):
+    return evidence.flat(evidence_fields(reg))
+
+
+@query("value_provenance", f"WITH {FIELDS}, p AS (SELECT *, CASE WHEN state = 'FOUND' THEN CASE WHEN evidence_id % 3 = 0 THEN CASE WHEN evidence_id % 4 = 0 THEN NULL ELSE LOWER(value) END ELSE value END END AS proposed, CASE WHEN evidence_id % 5 = 0 THEN NULL WHEN evidence_id % 5 = 1 THEN 'x' ELSE value END AS chosen FROM fields) "
+       "SELECT evidence_id, field, CASE WHEN chosen IS NULL THEN CASE WHEN proposed IS NULL THEN 'NO_DECISION' ELSE 'NO_DECISION_PROPOSED' END WHEN chosen IS NOT DISTINCT FROM proposed THEN 'FROM_EVIDENCE' ELSE 'BY_HAND' END AS provenance FROM p")
+def value_provenance(reg):
+    chosen = F.when(F.col("evidence_id") % 5 == 0, F.lit(None).cast("string")).when(F.col("evidence_id") % 5 == 1, "x").otherwise(F.col("value"))
+    return evidence_fields(reg).select("evidence_id", "field", evidence.provenance(chosen, F.col("value"), F.col("domain_value"), F.col("has_domain"), F.col("state")).alias("provenance"))
+
+
+@query("header_completeness", "SELECT evidence_id, name_state = 'FOUND' AND issue_date_state = 'FOUND' AND manufacturers = 1 AND manufacturer_state = 'FOUND' AND code_state <> 'AMBIGUOUS' AS complete FROM b_evidence")
+def header_completeness(reg):
+    named = evidence_fields(reg).select("evidence_id", F.when(F.col("field") == "name", "product_name").when(F.col("field") == "code", "product_code").otherwise(F.col("field")).alias("field"), "state", F.size("evidence").alias("proofs"))
+    makers = reg.evidence.select("evidence_id", F.lit("MANUFACTURER").alias("field"), F.col("manufacturer_state").alias("state"), F.explode(F.sequence(F.lit(1), F.col("manufacturers"))).alias("proofs"))
+    return evidence.header_complete(named.unionByName(makers))
+
+
+@query("proof_issues", "SELECT source_id, field, page_no, CASE WHEN page_no = 3 THEN 'PAGE_OUTSIDE_SOURCE' WHEN source_text = '' THEN 'QUOTE_EMPTY' ELSE 'QUOTE_NOT_ON_PAGE' END AS issue FROM b_proofs WHERE page_no = 3 OR source_text = '' OR source_text = 'Nazwa produktu: other'")
+def proof_issues(reg):
+    return evidence.proof_issues(reg.proofs, reg.pages)
+
+
+ROLES = ("MANUFACTURER", "MANUFACTURER_EXPORTER", "SUPPLIER", "IMPORTER", "DISTRIBUTOR", "EU_REPRESENTATIVE", "OTHER")
+
+
+@query("role_gate", f"""WITH p AS (SELECT source_id, MAX(CASE WHEN role NOT IN {ROLES} THEN 1 ELSE 0 END) = 1 AS invalid, MAX(CASE WHEN role = 'MANUFACTURER' THEN 1 ELSE 0 END) = 0 AS missing, COUNT(*) > COUNT(DISTINCT role || '|' || LOWER(name)) AS twice FROM b_parties GROUP BY source_id)
+ SELECT source_id, CONCAT_WS(';', CASE WHEN invalid THEN 'INVALID_ROLE' END, CASE WHEN twice THEN 'DUPLICATE_PARTY' END, CASE WHEN missing THEN 'MANUFACTURER_MISSING' END) AS issues, CASE WHEN invalid THEN 'FAIL' ELSE 'PASS' END AS status FROM p""")
+def role_gate(reg):
+    return evidence.role_issues(reg.parties, ROLES)
+
+
+def own_section(reg, number: int) -> DataFrame:
+    return evidence.section_texts(reg.safety_pages).select("source_id", evidence.section(F.col("text"), number).alias("text"))
+
+
+@query("safety_draft", """SELECT o_orderkey AS source_id, 'Mieszanina ' || CAST(o_custkey AS VARCHAR) AS product_definition, CASE WHEN o_orderkey % 3 = 0 THEN 'NO' END AS hazardous_classification_status, o_orderpriority AS clp_classification_text, CASE WHEN o_orderkey % 3 <> 0 THEN 'Uwaga' END AS signal_word,
+ CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'H225;H' || CAST(300 + o_orderkey % 100 AS VARCHAR) END AS hazard_statements, 'NO_DATA' AS pbt_status, 'NO_DATA' AS vpvb_status, 'NO_DATA' AS endocrine_section_2_status FROM orders""")
+def safety_draft(reg):
+    return evidence.safety_draft(own_section(reg, 2))
+
+
+@query("components", """SELECT o_orderkey AS source_id, 1 AS ordinal, 'Part ' || CAST(o_custkey AS VARCHAR) AS component_name, CAST(100 + o_orderkey % 900 AS VARCHAR) || '-00-0' AS cas_number, '200-' || CAST(o_orderkey % 100 AS VARCHAR) || '-1' AS ec_number, '01-' || CAST(o_orderkey AS VARCHAR) AS reach_registration_number,
+ 'Flam. Liq. 2, H225' AS classification_text, 'H225' AS hazard_statements FROM orders UNION ALL SELECT o_orderkey, 2, 'Flam. Liq. 2, H225', '7-11-9', '300-' || CAST(o_orderkey % 100 AS VARCHAR) || '-2', NULL, NULL, '' FROM orders WHERE o_orderkey % 2 = 0""")
+def components(reg):
+    return evidence.components(own_section(reg, 3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, build=build: build(Registry(spark, sf_dir)) for name, build in QUERIES.items()}
 

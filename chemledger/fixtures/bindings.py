@@ -209,6 +209,18 @@ SELECT CONCAT(CAST(product_id AS STRING), '-', CAST(location_id AS STRING)) AS r
     "b_assign_requests": """
 SELECT product_id AS request_id, product_id, location_id, CAST(5 AS DECIMAL(18,6)) AS peak_quantity_value, CASE WHEN product_id % 9 = 0 THEN 'O' ELSE 'F' END AS peak_quantity_unit_id, CAST(NULL AS DECIMAL(18,6)) AS monthly_consumption_value,
  CAST(NULL AS STRING) AS monthly_consumption_unit_id, (SELECT MAX(o_orderdate) FROM orders) AS at FROM (SELECT product_id, product_id % 120 AS location_id FROM b_products) t""",
+    "b_safety_pages": """
+SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('SEKCJA 1: X', CHR(10), 'H999', CHR(10), 'SEKCJA 2: ZAGROŻENIA', CHR(10), 'Definicja produktu: Mieszanina ', CAST(o_custkey AS STRING), CHR(10), 'Klasyfikacja CLP: ', o_orderpriority, CHR(10),
+ CASE WHEN o_orderkey % 3 = 0 THEN 'Produkt nie został sklasyfikowany' ELSE CONCAT('Hasło ostrzegawcze: Uwaga', CHR(10), 'H225 H', CAST(300 + o_orderkey % 100 AS STRING), ' H225') END) AS text FROM orders
+UNION ALL
+SELECT o_orderkey, 2, CONCAT('SEKCJA 3: SKŁAD', CHR(10), 'Identyfikatory', CHR(10), 'Part ', CAST(o_custkey AS STRING), CHR(10), 'REACH #: 01-', CAST(o_orderkey AS STRING), CHR(10), 'WE: 200-', CAST(o_orderkey % 100 AS STRING), '-1', CHR(10),
+ 'CAS: ', CAST(100 + o_orderkey % 900 AS STRING), '-00-0', CHR(10), 'Flam. Liq. 2, H225', CHR(10), CASE WHEN o_orderkey % 2 = 0 THEN CONCAT('WE: 300-', CAST(o_orderkey % 100 AS STRING), '-2', CHR(10), 'CAS: 7-11-9', CHR(10), '<10', CHR(10)) ELSE '' END, 'SEKCJA 4: Y', CHR(10), 'H111') FROM orders""",
+    "b_proofs": """
+SELECT o_orderkey AS source_id, 'product_name' AS field, CASE WHEN o_orderkey % 50 = 0 THEN 3 ELSE 1 END AS page_no,
+ CASE WHEN o_orderkey % 40 = 1 THEN '' WHEN o_orderkey % 30 = 2 THEN 'Nazwa produktu: other' ELSE CONCAT('1.1 Identyfikatory', CHR(10), ' Nazwa produktu: ', c_name) END AS source_text FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "b_parties": """
+SELECT o_orderkey AS source_id, CASE o_orderkey % 4 WHEN 0 THEN 'MANUFACTURER' WHEN 1 THEN 'SUPPLIER' WHEN 2 THEN 'OWNER' ELSE 'MANUFACTURER' END AS role, o_orderpriority AS name FROM orders
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'MANUFACTURER' ELSE 'SUPPLIER' END, LOWER(o_orderpriority) FROM orders""",
     "b_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('KARTA CHARAKTERYSTYKI', CHR(10),
  CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE CONCAT('Data aktualizacji: ',
