@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from .common import BASE, mix64, powers
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 INVERSE = pow(BASE, -1, 1 << 64)
 
 _space = np.zeros(256, bool)
