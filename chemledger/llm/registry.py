@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .ann import op6_nearest
 from .decontaminate import op10_decontaminate
 from .neardup import op7_neardup
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffixes": oracles.BYTES, "op5_seeds": oracles.WORDS}
