@@ -99,7 +99,7 @@ def drawn(kind_: Column, entity: Column, attempt: Column, key: str) -> Column:
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(entity) == 0, checked).otherwise(digits)
-    octet = lambda n: F.regexp_extract(F.lpad(F.conv(F.substring(s, F.lit(8 * n + 1), F.lit(8)), 16, 10), 12, "0"), "(.*)", 1).cast("long")
+    octet = lambda n: F.conv(F.substring(s, F.lit(8 * n + 1), F.lit(8)), 16, 10).cast("long")
     ip = F.concat_ws(".", *[(octet(n) % (223 if n == 0 else 254) + 1).cast("string") for n in range(4)])
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     host, top = F.regexp_replace(domain, r"\.[^.]*$", ""), F.substring_index(domain, ".", -1)
