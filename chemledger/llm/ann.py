@@ -16,7 +16,7 @@ from . import common
 SAMPLE, LIST_ROWS, MAX_LISTS = 20_000, 256, 4_096
 REPLICAS, BOUNDARY = 2, 1.05
 DEGREE, BEAM, MOST_LISTS, PRUNE = 24, 160, 96, 1.25
-PAGE, QUERY_PAGE = 4_096, 1_024
+TOGETHER, PAGE, QUERY_PAGE = 32, 16_384, 1_024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -171,8 +171,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
 
     ``vectors`` and ``queries``: vec_id long, vector array<float or double> of one length; general, as the reference has no vectors. A query's own row is no
     candidate. Centroids are fitted on the ``sample`` vectors whose hashed vec_id comes first; every vector is indexed. There are as many lists as give
-    about ``list_rows`` to each, ``max_lists`` at most, which bounds what tasks hold of the index. A list longer than PAGE is searched page by page and
-    queries of a popular list in pages too, so no task holds a whole list.
+    about ``list_rows`` to each, ``max_lists`` at most, which bounds what tasks hold of the index. TOGETHER lists stand on one shelf; a shelf longer than
+    PAGE is searched page by page, and queries of a popular shelf in pages too, so no task holds a whole list however long.
 
     Vectors that are null, zero, or hold nulls or non-finite numbers take no part on either side. Ties go to the smaller vec_id. Rows that repeat a vec_id
     count once per different vector found. Other columns are ignored. Without vectors or queries there are no rows.
@@ -186,22 +186,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     graph = Graph.of(balanced_centroids(lifted(np.stack(rows.to_list()), norm), min(max_lists, -(-n // list_rows))))
     post = common.written(posted(good, graph, norm), "postings")
     ask = common.written(probed(asked, graph, most, prune), "probes")
-    # at most max_lists rows each
-    pages = post.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("pages"))
-    askers = ask.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_PAGE).cast("int").alias("askers"))
-    plan = F.broadcast(pages.join(askers, "list"))
+    shelf = F.floor(F.col("list") / TOGETHER).cast("int").alias("shelf")
+    post, ask = post.select(shelf, "*"), ask.select(shelf, "*")
+    # at most max_lists / TOGETHER rows each
+    pages = post.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("pages"))
+    askers = ask.groupBy("shelf").agg(F.ceil(F.count_distinct("vec_id") / QUERY_PAGE).cast("int").alias("askers"))
+    plan = F.broadcast(pages.join(askers, "shelf"))
     hashed = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = post.join(plan, "list").withColumn("page", hashed("pages")).withColumn("asker", each("askers")).select("list", "page", "asker", "vec_id", "vector")
-    right = ask.join(plan, "list").withColumn("asker", hashed("askers")).withColumn("page", each("pages")).select("list", "page", "asker", "vec_id", "vector")
+    columns = ["shelf", "page", "asker", "list", "vec_id", "vector"]
+    left = post.join(plan, "shelf").withColumn("page", hashed("pages")).withColumn("asker", each("askers")).select(*columns)
+    right = ask.join(plan, "shelf").withColumn("asker", hashed("askers")).withColumn("page", each("pages")).select(*columns)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        found = block_best(b["vec_id"].to_numpy(), np.stack(b["vector"].to_list()), a["vec_id"].to_numpy(), np.stack(a["vector"].to_list()), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    keys = ["list", "page", "asker"]
+        """The best of a page of lists that stand together, list by list, for the queries that ask for each."""
+        asked_by, found = dict(tuple(b.groupby("list"))), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for name, rows in a.groupby("list"):
+            if name in asked_by:
+                q = asked_by[name]
+                found.append(block_best(q["vec_id"].to_numpy(), np.stack(q["vector"].to_list()), rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_list()), k))
+        q_id, v_id, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = pd.DataFrame({"query_id": q_id, "vec_id": v_id, "score": score}).drop_duplicates()
+        rows = rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return rows[rows.groupby("query_id").cumcount() < k]
+
+    keys = ["shelf", "page", "asker"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
