@@ -17,7 +17,7 @@ def test_listings_and_fingerprints(spark, tmp_path):
     for name, data in {"a/b/x.pdf": b"%PDF-1.7", "a/y.PDF.txt": b"no", "z.pdf": b"x", "a/m.MSG": b"mail", "a/empty.png": b""}.items():
         (tmp_path / name).write_bytes(data)
     assert [r["relative_path"] for r in files.list_pdfs(spark, str(tmp_path)).collect()] == ["a/b/x.pdf", "z.pdf"]
-    assert [r["relative_path"] for r in files.list_evidence(spark, str(tmp_path)).collect()] == ["a/b/x.pdf", "a/m.MSG"]
+    assert [r["relative_path"] for r in files.list_evidence(spark, str(tmp_path)).collect()] == ["a/b/x.pdf", "a/m.MSG", "z.pdf"]
     marks = {r["relative_path"]: (r["sha256"], r["is_pdf"]) for r in files.fingerprints(spark, str(tmp_path)).collect()}
     assert marks["a/b/x.pdf"] == (hashlib.sha256(b"%PDF-1.7").hexdigest(), True) and not marks["a/m.MSG"][1]
 
