@@ -1332,6 +1332,30 @@ def components(reg):
     return evidence.components(own_section(reg, 3))
 
 
+# --- sources of evidence and frozen decisions
+
+@query("source_binding", """WITH m AS (SELECT json_file, COUNT(*) AS n, MIN(source_file) AS name, MIN(sha256) AS sha FROM b_bound_manifest GROUP BY json_file)
+ SELECT s.json_file, CASE WHEN s.file_name IS NULL OR CONTAINS(s.file_name, '/') OR NOT ENDS_WITH(LOWER(s.file_name), '.pdf') OR LENGTH(s.sha256) <> 64 THEN 'INVALID_SOURCE' WHEN m.n > 1 OR m.name <> s.file_name OR m.sha <> s.sha256 THEN 'PDF_MISMATCH'
+ WHEN m.n IS NOT NULL AND t.file_name IS NOT NULL THEN CASE WHEN t.is_pdf AND t.sha256 = s.sha256 THEN 'AUTO_BOUND' ELSE 'PDF_MISMATCH' END WHEN f.json_file IS NULL THEN 'FALLBACK_REQUIRED' WHEN f.file_name = 'given.PDF' AND f.sha256 = s.sha256 THEN 'MANUAL_BOUND' ELSE 'PDF_MISMATCH' END AS status
+ FROM b_bound_sources s LEFT JOIN m ON m.json_file = s.json_file LEFT JOIN b_bound_stored t ON t.file_name = s.file_name LEFT JOIN b_bound_fallback f ON f.json_file = s.json_file""")
+def source_binding(reg):
+    return batch.source_binding(reg.bound_sources, reg.bound_manifest, reg.bound_stored, reg.bound_fallback)
+
+
+@query("frozen_decisions", """WITH now AS (SELECT evidence_id, CASE WHEN issue_date_state = 'FOUND' THEN TRY_CAST(issue_date AS DATE) END AS day, revision, validation_status = 'BLOCKED' AS blocked FROM b_evidence),
+ makers AS (SELECT manufacturer_name, COUNT(*) AS n, MIN(manufacturer_id) AS id FROM b_makers GROUP BY manufacturer_name)
+ SELECT d.decision_id, CASE WHEN NOT d.approved THEN 'BATCH_DECISION_NOT_APPROVED' WHEN d.json_sha256 = 'j0' AND d.evidence_id <> 0 THEN 'SOURCE_CHANGED' WHEN d.pdf_sha256 = 'p0' AND d.evidence_id <> 0 THEN 'PDF_MISMATCH'
+ WHEN n.revision <> d.revision OR n.day IS DISTINCT FROM d.issue_date OR n.blocked THEN 'BATCH_DECISION_MISMATCH' WHEN COALESCE(m.n, 0) <> 1 THEN 'MANUFACTURER_NOT_UNIQUE'
+ WHEN d.canonical IS NULL OR NOT (d.existing_manufacturer = d.canonical OR CONTAINS(LOWER(d.existing_manufacturer), LOWER(SPLIT_PART(d.canonical, ' ', 1)))) THEN 'LINK_TARGET_NOT_APPROVED'
+ WHEN EXISTS (SELECT 1 FROM b_goods g WHERE g.product_name = d.product_name AND g.manufacturer_id = m.id AND (d.product_code IS NULL OR g.manufacturer_product_code = d.product_code)) THEN 'STALE_RESOLUTION' ELSE 'READY' END AS verdict
+ FROM b_frozen d JOIN now n ON n.evidence_id = d.evidence_id LEFT JOIN makers m ON m.manufacturer_name = d.existing_manufacturer""")
+def frozen_decisions(reg):
+    plans = identity.identity_plan(reg.evidence, reg.makers, reg.goods, reg.approved)
+    plans = plans.withColumns({"json_sha256": F.concat(F.lit("j"), F.col("evidence_id").cast("string")), "pdf_sha256": F.concat(F.lit("p"), F.col("evidence_id").cast("string"))})
+    names = plans.where("canonical is not null").select(F.col("canonical").alias("name")).distinct()
+    return batch.frozen_check(reg.frozen, plans, reg.makers, identity.manufacturer_candidates(names, reg.makers), reg.goods)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, build=build: build(Registry(spark, sf_dir)) for name, build in QUERIES.items()}
 

@@ -221,6 +221,15 @@ SELECT o_orderkey AS source_id, 'product_name' AS field, CASE WHEN o_orderkey %
     "b_parties": """
 SELECT o_orderkey AS source_id, CASE o_orderkey % 4 WHEN 0 THEN 'MANUFACTURER' WHEN 1 THEN 'SUPPLIER' WHEN 2 THEN 'OWNER' ELSE 'MANUFACTURER' END AS role, o_orderpriority AS name FROM orders
 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'MANUFACTURER' ELSE 'SUPPLIER' END, LOWER(o_orderpriority) FROM orders""",
+    "b_bound_sources": "SELECT json_file, CASE WHEN position % 97 = 0 THEN 'notes.txt' ELSE json_name END AS file_name, json_sha256 AS sha256 FROM b_batch_items",
+    "b_bound_manifest": "SELECT json_file, source_file, sha256_expected AS sha256 FROM b_batch_items WHERE position % 9 <> 0 UNION ALL SELECT json_file, source_file, sha256_expected FROM b_batch_items WHERE position % 83 = 0",
+    "b_bound_stored": "SELECT source_file AS file_name, COALESCE(sha256, '') AS sha256, position % 11 <> 0 AS is_pdf FROM b_batch_items WHERE position % 7 <> 0",
+    "b_bound_fallback": "SELECT json_file, CASE WHEN position % 6 = 0 THEN 'a/b.pdf' ELSE 'given.PDF' END AS file_name, CASE WHEN position % 4 = 0 THEN json_sha256 ELSE sha256 END AS sha256, TRUE AS is_pdf FROM b_batch_items WHERE position % 2 = 0",
+    "b_frozen": """
+SELECT evidence_id * 10 AS decision_id, evidence_id, evidence_id % 11 <> 0 AS approved, CONCAT('j', CAST(CASE WHEN evidence_id % 13 = 0 THEN 0 ELSE evidence_id END AS STRING)) AS json_sha256, CONCAT('p', CAST(CASE WHEN evidence_id % 17 = 0 THEN 0 ELSE evidence_id END AS STRING)) AS pdf_sha256,
+ CASE WHEN name_state = 'FOUND' THEN name END AS product_name, CASE WHEN code_state = 'FOUND' THEN code END AS product_code, CAST(CASE WHEN issue_date_state = 'FOUND' AND evidence_id % 29 <> 0 THEN issue_date END AS DATE) AS issue_date,
+ CASE WHEN evidence_id % 19 = 1 THEN '?' ELSE revision END AS revision, CASE WHEN manufacturers = 1 AND manufacturer_state = 'FOUND' THEN CASE WHEN evidence_id % 8 = 0 THEN 'Unknown maker' WHEN evidence_id % 8 = 1 THEN 'Works' ELSE SUBSTRING(manufacturer, 1, LENGTH(manufacturer) - 3) END END AS canonical,
+ CASE WHEN evidence_id % 3 = 0 THEN 'NATION_7' ELSE 'NATION_1' END AS existing_manufacturer FROM b_evidence""",
     "b_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('KARTA CHARAKTERYSTYKI', CHR(10),
  CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE CONCAT('Data aktualizacji: ',

@@ -97,3 +97,49 @@ def batch_gate(classified: DataFrame) -> DataFrame:
     blocked = F.col("classification").startswith("BLOCKED")
     ready = F.col("classification").isin("READY_CREATE", "READY_ADD_REVISION")
     return classified.agg(F.count_if(blocked).alias("blocked"), F.count_if(ready).alias("ready"), F.when(F.count_if(blocked) > 0, "STOPPED").otherwise("OPEN").alias("gate"))
+
+
+def source_binding(sources: DataFrame, manifest: DataFrame, stored: DataFrame, fallback: DataFrame) -> DataFrame:
+    """``json_file`` and the outcome of finding the PDF that an evidence file speaks of.
+
+    INVALID_SOURCE: no plain PDF name or no hash. PDF_MISMATCH: several manifest entries, another name or hash than the manifest's, or a file that is no PDF of that hash.
+    AUTO_BOUND: the stored file fits. MANUAL_BOUND: none is stored, and the file given by hand fits. FALLBACK_REQUIRED: none of these.
+
+    ``sources``: json_file, file_name, sha256. ``manifest``: json_file, source_file, sha256. ``stored``: file_name, sha256, is_pdf. ``fallback``: json_file, file_name, sha256, is_pdf.
+    """
+    entries = manifest.groupBy("json_file").agg(F.count(F.lit(1)).alias("entries"), F.min("source_file").alias("m_name"), F.min("sha256").alias("m_sha"))
+    files = stored.select("file_name", F.struct("sha256", "is_pdf").alias("held"))
+    given = fallback.select("json_file", F.struct("file_name", "sha256", "is_pdf").alias("given"))
+    rows = sources.join(entries, "json_file", "left").join(files, "file_name", "left").join(given, "json_file", "left")
+    hashed = lambda c: F.coalesce(c.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    pdf = lambda c: F.coalesce(F.lower(c).endswith(".pdf"), F.lit(False))
+    valid = plain_file_name(F.col("json_file")) & plain_file_name(F.col("file_name")) & pdf(F.col("file_name")) & hashed(F.col("sha256"))
+    differs = ~F.col("m_name").eqNullSafe(F.col("file_name")) | ~hashed(F.col("m_sha")) | ~F.lower("m_sha").eqNullSafe(F.lower("sha256"))
+    fits = lambda f: F.col(f"{f}.is_pdf") & (F.lower(f"{f}.sha256") == F.lower("sha256"))
+    listed = F.col("entries").isNotNull()
+    status = (F.when(~valid, "INVALID_SOURCE").when(listed & ((F.col("entries") > 1) | differs), "PDF_MISMATCH").when(listed & F.col("held").isNotNull(), F.when(fits("held"), "AUTO_BOUND").otherwise("PDF_MISMATCH"))
+              .when(F.col("given").isNull(), "FALLBACK_REQUIRED").when(plain_file_name(F.col("given.file_name")) & pdf(F.col("given.file_name")) & fits("given"), "MANUAL_BOUND").otherwise("PDF_MISMATCH"))
+    return rows.select("json_file", status.alias("status"))
+
+
+def frozen_check(decisions: DataFrame, plans: DataFrame, manufacturers: DataFrame, candidates: DataFrame, products: DataFrame) -> DataFrame:
+    """``decision_id`` and the first reason why a frozen decision no longer fits, or READY.
+
+    ``decisions``: decision_id, evidence_id, approved, json_sha256, pdf_sha256, product_name, product_code, issue_date, revision, canonical, existing_manufacturer.
+    ``plans``: evidence_id, json_sha256, pdf_sha256 (of the files as they are) and the identity plan. ``candidates``: name, manufacturer_id, as manufacturer_candidates gives them.
+    """
+    fresh = plans.select("evidence_id", F.struct("json_sha256", "pdf_sha256", "product_name", "product_code", "issue_date", "revision", "canonical", "blockers").alias("now"))
+    makers = manufacturers.groupBy(F.col("manufacturer_name").alias("existing_manufacturer")).agg(F.count(F.lit(1)).alias("makers"), F.min("manufacturer_id").alias("selected_id"))
+    offered = candidates.select(F.col("name").alias("canonical"), F.col("manufacturer_id").alias("selected_id"), F.lit(True).alias("offered")).distinct()
+    own = products.groupBy("product_name", F.col("manufacturer_id").alias("selected_id"))
+    any_code = own.agg(F.lit(True).alias("any_code"))
+    this_code = products.groupBy("product_name", F.col("manufacturer_id").alias("selected_id"), F.col("manufacturer_product_code").alias("product_code")).agg(F.lit(True).alias("this_code"))
+    rows = decisions.join(fresh, "evidence_id", "left").join(makers, "existing_manufacturer", "left").join(offered, ["canonical", "selected_id"], "left")
+    rows = rows.join(any_code, ["product_name", "selected_id"], "left").join(this_code, ["product_name", "selected_id", "product_code"], "left")
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"now.{c}"))
+    identity = same("product_name") & same("product_code") & same("issue_date") & same("revision") & same("canonical")
+    taken = F.coalesce(F.when(F.col("product_code").isNull(), F.col("any_code")).otherwise(F.col("this_code")), F.lit(False))
+    reason = (F.when(~F.coalesce("approved", F.lit(False)), "BATCH_DECISION_NOT_APPROVED").when(~same("json_sha256"), "SOURCE_CHANGED").when(~same("pdf_sha256"), "PDF_MISMATCH")
+              .when(~identity | F.col("now.blockers").contains("EXTRACTION_VALIDATION_BLOCKED"), "BATCH_DECISION_MISMATCH").when(F.coalesce("makers", F.lit(0)) != 1, "MANUFACTURER_NOT_UNIQUE")
+              .when(F.col("offered").isNull(), "LINK_TARGET_NOT_APPROVED").when(taken, "STALE_RESOLUTION").otherwise("READY"))
+    return rows.select("decision_id", reason.alias("verdict"))
