@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import os
+import site
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it by their own path. Once for each Spark context."""
+    home = Path(__file__).resolve().parents[2]
+    found = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()] if p}
+    if home in found or (spark.sparkContext.master.startswith("local") and Path.cwd() == home):
+        return
+    name = f"chemledger-{spark.sparkContext.applicationId}.zip"
+    if any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
+        return
+    path = Path(tempfile.mkdtemp(prefix="sds-package-")) / name
+    with zipfile.ZipFile(path, "w") as out:
+        for module in (home / "chemledger").rglob("*.py"):
+            out.write(module, module.relative_to(home))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table, read through Spark so that any path Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sds_texts(docs: DataFrame) -> DataFrame:
     """The ``documents`` rows as sheet texts: ``sds_id`` and ``text``."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("sds_id"), F.col("text").cast("string").alias("text"))
 
 
