@@ -193,6 +193,56 @@ def test_copies_of_a_variant_are_found(spark):
     assert len({got[i]["class_id"] for i in range(31, 38)}) == 1
 
 
+def shortened(seed: int, groups: int, copies: int) -> list[str]:
+    """Long texts, each with copies that lack some passages of it, and pairs among these that are 0.8 alike to the shingle."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"{rng.choice(WORDS)}{k}" for k in range(204)]
+        out.append(base)
+        for _ in range(copies):
+            lost = {k for _ in range(rng.randint(1, 5)) for at in [rng.randrange(204)] for k in range(at, min(204, at + rng.randint(4, 25)))}
+            out.append([w for k, w in enumerate(base) if k not in lost])
+        out += [base[:104], base[:84]]  # 100 and 80 shingles: exactly 0.8
+    return [" ".join(w) for w in out]
+
+
+def brute_classes(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """The least place of each text's class, from all pairs; shingles must not repeat inside a text."""
+    sets = [{tuple(w[x : x + 5]) for x in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(texts), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [number[y] for y in x]] = 1
+    both, size = held @ held.T, held.sum(1)
+    linked = both >= similarity * (size[:, None] + size - both) - 1e-3
+    low = np.arange(len(texts))
+    while True:
+        new = np.where(linked, low, len(texts)).min(1)
+        if (new == low).all():
+            return low.tolist()
+        low = new
+
+
+def test_shortened_copies_are_as_in_brute_force(spark):
+    texts = shortened(11, 1, 1_000)
+    want = brute_classes(texts)
+    assert len(set(want)) > 8
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "sds_id long, text string")))
+    assert [got[i]["class_id"] for i in range(len(texts))] == want
+
+
+def test_tiles_hold_every_pair_of_roots(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 7)
+    rows = [(b, bytes([b, i]), bytes([9 if i < 30 else i])) for b in range(3) for i in range(50)]
+    tiles: dict[int, list] = {}
+    for r in neardup._tiled(spark.createDataFrame(rows, "bucket long, node binary, root binary")).collect():
+        tiles.setdefault(r["tile"], []).append(r)
+    met = {frozenset((bytes(x["node"]), bytes(y["node"]))) for t in tiles.values() for x in t for y in t if x["second"] != y["second"] or len({z["second"] for z in t}) == 1}
+    assert all(frozenset((a, b)) in met for i, a, x in rows for j, b, y in rows if i == j and x != y)
+    assert max(map(len, tiles.values())) < 40
+
+
 def test_probability_jaccard():
     one, other = [b"a b c d e f g h i j", b"a b c d e a b c d e", b"", b"x"], [b"a b c d e f g h i k", b"a b c d e", b"", b"x"]
     shared = 5 / 7
