@@ -3,7 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 from chemledger.llm import registry
 
-from .test_llm import corpus, prose
+from .test_llm import brute_classes, corpus, prose, shortened
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -41,5 +41,12 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_one_of_each_class_of_shortened_copies_stays(spark):
+    texts = shortened(11, 1, 300)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == sorted(set(brute_classes(texts)))
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
