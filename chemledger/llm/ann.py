@@ -15,7 +15,8 @@ from . import common
 
 SAMPLE, LIST_ROWS, MAX_LISTS = 20_000, 256, 4_096
 REPLICAS, BOUNDARY = 2, 1.05
-DEGREE, BEAM, MOST_LISTS, PRUNE = 24, 160, 96, 1.25
+DEGREE, BEAM, LEAST_LISTS, PRUNE = 24, 160, 96, 1.25
+TRIALS, RECALL = 64, 0.95
 TOGETHER, PAGE, QUERY_PAGE = 32, 16_384, 1_024
 
 
@@ -88,9 +89,16 @@ class Graph:
         return Graph(centroids, links, np.array(entries))
 
     def search(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """For each query its nearest lists found, nearest first, with their squared distances; all queries of a batch step together."""
+        """For each query its nearest lists found, nearest first, with their squared distances; all queries of a batch step together.
+
+        A beam as wide as the centroids compares them all: on vectors without structure a narrower one misses a quarter of the nearest lists.
+        """
         n, c = len(q), len(self.centroids)
         beam = min(beam, c)
+        if beam == c:
+            d = _distances(q, self.centroids)
+            order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+            return order, np.take_along_axis(d, order, axis=1)
         seen = np.zeros((n, c), bool)
         done = np.zeros((n, c), bool)
         found = np.full((n, c), np.inf)
@@ -117,6 +125,15 @@ class Graph:
         return order, np.take_along_axis(found, order, axis=1)
 
 
+def _homes(x: np.ndarray, graph: Graph, norm: float, replicas: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``replicas`` nearest lists of each vector, nearest first, and which of them it stands in."""
+    d = _distances(lifted(x, norm), graph.centroids)
+    k = min(replicas, d.shape[1])
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    own = np.take_along_axis(d, near, axis=1)
+    return near, (own <= own[:, :1] * boundary**2) | (np.arange(k) == 0)
+
+
 def posted(vectors: DataFrame, graph: Graph, norm: float, replicas: int = REPLICAS, boundary: float = BOUNDARY) -> DataFrame:
     """``list``, ``vec_id``, ``vector``: each vector in its nearest list, and near a boundary in up to ``replicas`` lists within ``boundary`` times that distance."""
 
@@ -124,25 +141,22 @@ def posted(vectors: DataFrame, graph: Graph, norm: float, replicas: int = REPLIC
         for b in batches:
             for at in range(0, len(b), 2_000):
                 part = b.slice(at, 2_000)
-                d = _distances(lifted(_rows(part.column(1)), norm), graph.centroids)
-                k = min(replicas, d.shape[1])
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                own = np.take_along_axis(d, near, axis=1)
-                i, j = np.nonzero((own <= own[:, :1] * boundary**2) | (np.arange(k) == 0))
+                near, stands = _homes(_rows(part.column(1)), graph, norm, replicas, boundary)
+                i, j = np.nonzero(stands)
                 yield pa.RecordBatch.from_arrays([pa.array(near[i, j].astype(np.int32)), *[c.take(pa.array(i)) for c in part.columns]], ["list", "vec_id", "vector"])
 
     return vectors.mapInArrow(run, "list int, vec_id long, vector array<double>")
 
 
-def probed(queries: DataFrame, graph: Graph, most: int = MOST_LISTS, prune: float = PRUNE) -> DataFrame:
-    """``list``, ``vec_id``, ``vector``: each query at the lists that the graph finds within ``prune`` times the distance of the nearest, ``most`` at most."""
+def probed(queries: DataFrame, graph: Graph, most: int = LEAST_LISTS, prune: float = PRUNE) -> DataFrame:
+    """``list``, ``vec_id``, ``vector``: each query at the lists within ``prune`` times the distance of the nearest, ``most`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.slice(at, 500)
                 x = _rows(part.column(1))
-                near, d = graph.search(np.column_stack([x, np.zeros(len(x))]))
+                near, d = graph.search(np.column_stack([x, np.zeros(len(x))]), len(graph.centroids))
                 near, d = near[:, :most], d[:, :most]
                 i, j = np.nonzero(np.isfinite(d) & ((d <= d[:, :1] * prune**2) | (np.arange(d.shape[1]) == 0)))
                 yield pa.RecordBatch.from_arrays([pa.array(near[i, j].astype(np.int32)), *[c.take(pa.array(i)) for c in part.columns]], ["list", "vec_id", "vector"])
@@ -166,7 +180,44 @@ def block_best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray,
     return q_id[i[nth < k]], v_id[j[nth < k]], score[nth < k]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, most: int = MOST_LISTS, prune: float = PRUNE) -> DataFrame:
+def reach(good: DataFrame, asked: DataFrame, graph: Graph, norm: float, k: int, recall: float = RECALL, trials: int = TRIALS) -> tuple[int, float]:
+    """How many lists, and up to what ratio to the nearest list's distance, queries need for ``recall``; LEAST_LISTS and PRUNE at least.
+
+    Measured on the ``trials`` queries whose hashed vec_id comes first, by brute force over all vectors: the lists that hold their true neighbours are
+    ranked by distance. Number and ratio leave out half of what may be lost each. So the share of lists that is searched follows the data, whatever their number.
+    """
+    rows = asked.orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(trials).toPandas().drop_duplicates("vec_id")
+    if not len(rows):
+        return LEAST_LISTS, PRUNE
+    q_id, q = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_list())
+    d = _distances(np.column_stack([q, np.zeros(len(q))]), graph.centroids)
+    place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+    ratio = np.sqrt(d / np.maximum(d.min(1, keepdims=True), 1e-300))
+    row_of = {v: n for n, v in enumerate(q_id.tolist())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 2_000):
+                part = b.slice(at, 2_000)
+                v_id, v = part.column(0).to_numpy(), _rows(part.column(1))
+                found_q, found_v, score = block_best(q_id, q, v_id, v, k)
+                of = {x: n for n, x in enumerate(v_id.tolist())}
+                i, j = np.array([row_of[x] for x in found_q.tolist()], int), np.array([of[x] for x in found_v.tolist()], int)
+                near, stands = _homes(v[j], graph, norm, REPLICAS, BOUNDARY)
+                best = np.where(stands, place[i[:, None], near], len(graph.centroids)).argmin(1)
+                at_list = near[np.arange(len(j)), best]
+                yield pa.RecordBatch.from_arrays([pa.array(found_q), pa.array(found_v), pa.array(score), pa.array(place[i, at_list]), pa.array(ratio[i, at_list])], ["query_id", "vec_id", "score", "place", "ratio"])
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = good.mapInArrow(run, "query_id long, vec_id long, score double, place long, ratio double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    need = true.select("place", "ratio").toPandas()  # trials x k rows
+    if not len(need):
+        return LEAST_LISTS, PRUNE
+    share = 1 - (1 - recall) / 2
+    return max(LEAST_LISTS, int(np.quantile(need["place"], share, method="higher")) + 1), max(PRUNE, float(np.quantile(need["ratio"], share, method="higher")) * (1 + 1e-9))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, most: int | None = None, prune: float | None = None) -> DataFrame:
     """The ``k`` vectors of largest inner product found for each query: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
 
     ``vectors`` and ``queries``: vec_id long, vector array<float or double> of one length; general, as the reference has no vectors. A query's own row is no
@@ -174,6 +225,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     about ``list_rows`` to each, ``max_lists`` at most, which bounds what tasks hold of the index. TOGETHER lists stand on one shelf; a shelf longer than
     PAGE is searched page by page, and queries of a popular shelf in pages too, so no task holds a whole list however long.
 
+    How many lists a query searches, and how far, is measured on some queries (``reach``) unless ``most`` and ``prune`` say so.
+
     Vectors that are null, zero, or hold nulls or non-finite numbers take no part on either side. Ties go to the smaller vec_id. Rows that repeat a vec_id
     count once per different vector found. Other columns are ignored. Without vectors or queries there are no rows.
     """
@@ -185,6 +238,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
     graph = Graph.of(balanced_centroids(lifted(np.stack(rows.to_list()), norm), min(max_lists, -(-n // list_rows))))
     post = common.written(posted(good, graph, norm), "postings")
+    if most is None or prune is None:
+        lists, ratio = reach(good, asked, graph, norm, k)
+        most, prune = lists if most is None else most, ratio if prune is None else prune
     ask = common.written(probed(asked, graph, most, prune), "probes")
     shelf = F.floor(F.col("list") / TOGETHER).cast("int").alias("shelf")
     post, ask = post.select(shelf, "*"), ask.select(shelf, "*")

@@ -392,6 +392,17 @@ def test_nearest(spark):
     assert few.count() == 4
 
 
+def test_recall_does_not_fall_with_the_number_of_lists(spark):
+    x = np.random.default_rng(8).normal(size=(4_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    hits = 0
+    for r in ann.nearest(df, df.where("vec_id % 40 = 0"), list_rows=2).collect():
+        score = x @ x[r["query_id"]]
+        score[r["query_id"]] = -np.inf
+        hits += r["vec_id"] in np.argsort(-score)[:20]
+    assert hits / 2_000 >= 0.9
+
+
 def test_hashes_do_not_depend_on_place():
     from chemledger.llm import text
 
