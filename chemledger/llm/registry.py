@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import op13_alignment
 from .ann import op6_nearest
 from .decontaminate import op10_decontaminate
+from .manifest import op11_manifest
 from .neardup import op7_neardup
 from .pieces import op1_pieces
 from .quality import op8_quality
 from .seeds import op5_seeds
 from .sharding import op3_shard
+from .simhash import op12_simhash
 from .suffixes import op2_suffixes
 from .surrogates import op9_surrogates
 from .toxicity import op4_toxicity
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_surrogates": op9_surrogates,
         "op10_decontaminate": op10_decontaminate,
+        "op11_manifest": op11_manifest,
+        "op12_simhash": op12_simhash,
+        "op13_alignment": op13_alignment,
     }
 
 
