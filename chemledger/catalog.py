@@ -9,33 +9,17 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chemledger import schemas
+from chemledger import catalog_batches, schemas  # noqa: F401 - registers its queries
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
 from chemledger.operators import audits, batch, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
-
-Query = Callable[[Registry], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from chemledger.queryset import QUERIES, SQL, joined, query
 
 HERE = facts.Filters(dt.date(1994, 1, 1), dt.date(1996, 12, 31), location_id=5)
 HERE_OR_NOWHERE = facts.Filters(dt.date(1994, 1, 1), dt.date(1996, 12, 31), location_id=5, include_no_active_location=True)
 APPROVED = facts.Filters(dt.date(1994, 1, 1), dt.date(1996, 12, 31), sds_status="CURRENT_PRESENT", bhp_status="APPROVED")
 
 
-def query(name: str, sql: str) -> Callable[[Query], Query]:
-    def add(build: Query) -> Query:
-        QUERIES[name], SQL[name] = build, sql
-        return build
-
-    return add
-
-
-def joined(*columns: str) -> dict[str, F.Column]:
-    """Array columns as text, for results that are compared by value."""
-    return {c: F.array_join(c, "; ") for c in columns}
-
-
 # Product facts written once, as the read model defines them: one row for each product, CURRENT tested in the join conditions.
 FACTS = """
 base AS (

@@ -209,6 +209,32 @@ SELECT CONCAT(CAST(product_id AS STRING), '-', CAST(location_id AS STRING)) AS r
     "b_assign_requests": """
 SELECT product_id AS request_id, product_id, location_id, CAST(5 AS DECIMAL(18,6)) AS peak_quantity_value, CASE WHEN product_id % 9 = 0 THEN 'O' ELSE 'F' END AS peak_quantity_unit_id, CAST(NULL AS DECIMAL(18,6)) AS monthly_consumption_value,
  CAST(NULL AS STRING) AS monthly_consumption_unit_id, (SELECT MAX(o_orderdate) FROM orders) AS at FROM (SELECT product_id, product_id % 120 AS location_id FROM b_products) t""",
+    "b_many_revisions": """
+SELECT o_orderkey * 10 + 1 AS request_id, o_orderkey % 89 AS seq, CASE WHEN o_custkey % 29 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS product_id,
+ 1000000000 + CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS sds_id, CONCAT('new-', CAST(o_orderkey AS STRING), '.pdf') AS original_filename,
+ CASE WHEN o_orderkey % 15 = 1 THEN ' ' ELSE CONCAT('new/', CAST(o_orderkey AS STRING), '.pdf') END AS relative_path, CAST(o_orderdate AS DATE) AS issue_date, CAST(o_orderkey % 7 AS STRING) AS revision, o_orderdate AS at FROM orders""",
+    "b_many_decisions": """
+SELECT o.o_orderkey * 10 + 2 AS request_id, o.o_orderkey % 89 AS seq, o.o_custkey AS product_id, CASE WHEN o.o_orderkey % 9 = 0 THEN o.o_orderkey ELSE c.sds_id END AS sds_id,
+ CASE WHEN o.o_orderkey % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS decision_status, CAST(NULL AS STRING) AS notes, CONCAT('new/', CAST(o.o_orderkey AS STRING), '.pdf') AS evidence_relative_path,
+ CASE WHEN o.o_orderkey % 14 = 0 THEN ' ' ELSE 'scan' END AS original_filename, o.o_orderdate AS at FROM orders o LEFT JOIN b_sds_documents c ON c.product_id = o.o_custkey AND c.document_status = 'CURRENT'""",
+    "b_many_withdrawals": """
+SELECT sds_id * 10 + 3 AS request_id, rn AS seq, product_id, CASE rn % 4 WHEN 2 THEN cur WHEN 3 THEN before ELSE sds_id END AS sds_id, CASE WHEN rn % 4 IN (2, 3) THEN 'CURRENT' ELSE 'ARCHIVED' END AS expected_status,
+ CASE rn % 4 WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 3 THEN before ELSE cur END AS expected_current_sds_id, CASE rn % 4 WHEN 2 THEN 'RESTORE_ARCHIVED' WHEN 3 THEN 'NO_CURRENT' ELSE 'ARCHIVED_ONLY' END AS mode,
+ CASE WHEN rn % 4 = 2 THEN sds_id END AS restored_sds_id, CASE WHEN sds_id % 31 = 0 THEN ' ' ELSE ' wrong card ' END AS reason_text, registered_at AS at
+FROM (SELECT d.*, c.cur, LAG(d.sds_id) OVER (PARTITION BY d.product_id ORDER BY d.sds_id) AS before, ROW_NUMBER() OVER (PARTITION BY d.product_id ORDER BY d.sds_id) AS rn FROM b_sds_documents d
+ LEFT JOIN (SELECT product_id, sds_id AS cur FROM b_sds_documents WHERE document_status = 'CURRENT') c ON c.product_id = d.product_id) t""",
+    "b_many_administrative": """
+SELECT o_orderkey * 10 + 4 AS request_id, o_orderkey % 89 AS seq, CASE WHEN o_orderkey % 23 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS product_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE o_orderpriority END AS use_description,
+ o_orderstatus AS use_restriction, 'W' AS waste_type, CAST(o_orderkey AS STRING) AS waste_code, o_orderdate AS at FROM orders""",
+    "b_many_corrections": """
+SELECT o_orderkey * 10 + 8 AS request_id, o_orderkey % 89 AS seq, o_custkey AS product_id, CASE WHEN o_orderkey % 3 = 0 THEN p.product_name ELSE CONCAT(p.product_name, ' II') END AS product_name,
+ CASE WHEN o_orderkey % 17 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 7 = 0 THEN 'X' ELSE p.manufacturer_product_code END AS code,
+ CASE o_orderkey % 5 WHEN 1 THEN 'Newcomer' WHEN 2 THEN 'Twice' ELSE m.manufacturer_name END AS manufacturer_name, o_orderdate AS at
+FROM orders JOIN b_products p ON p.product_id = o_custkey JOIN b_manufacturers m ON m.manufacturer_id = p.manufacturer_id""",
+    "b_many_quantities": """
+SELECT CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(l_extendedprice AS INT) AS STRING)) AS request_id, l_orderkey % 89 AS seq, o_custkey AS product_id, CAST(o_custkey % 90 + l_linenumber % 2 AS BIGINT) AS location_id,
+ CAST(CASE WHEN l_linenumber = 4 THEN -1 ELSE l_orderkey % 50 END AS DECIMAL(18,6)) AS peak_quantity_value, CASE WHEN l_orderkey % 9 = 0 THEN 'O' ELSE 'F' END AS peak_quantity_unit_id, CAST(NULL AS DECIMAL(18,6)) AS monthly_consumption_value,
+ CAST(NULL AS STRING) AS monthly_consumption_unit_id, o_orderdate AS at FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "b_safety_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('SEKCJA 1: X', CHR(10), 'H999', CHR(10), 'SEKCJA 2: ZAGROŻENIA', CHR(10), 'Definicja produktu: Mieszanina ', CAST(o_custkey AS STRING), CHR(10), 'Klasyfikacja CLP: ', o_orderpriority, CHR(10),
  CASE WHEN o_orderkey % 3 = 0 THEN 'Produkt nie został sklasyfikowany' ELSE CONCAT('Hasło ostrzegawcze: Uwaga', CHR(10), 'H225 H', CAST(300 + o_orderkey % 100 AS STRING), ' H225') END) AS text FROM orders
@@ -277,6 +303,8 @@ def oracle(sql: str, extra: dict[str, str] | None = None) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body

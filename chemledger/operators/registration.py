@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chemledger.functions.text import location_code
-from chemledger.operators.transitions import Outcome, _split
+from chemledger.operators.transitions import Outcome, _split, last_of, turn, turn_columns
 
 
 def new_id(*parts: str) -> Column:
@@ -14,23 +14,27 @@ def new_id(*parts: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(p).cast("string"), F.lit("\u0000")) for p in parts]), 256)
 
 
-def _changes(before: DataFrame, accepted: DataFrame, kind: str) -> DataFrame:
-    """Audit rows: what a product was called before and after. ``accepted``: request_id, product_id, new_name, new_code, new_manufacturer_id, at."""
-    old = before.select("product_id", F.col("product_name").alias("old_product_name"), F.col("manufacturer_product_code").alias("old_manufacturer_product_code"), F.col("manufacturer_id").alias("old_manufacturer_id"))
-    return accepted.join(old, "product_id").select(
-        F.col("request_id").alias("change_id"), "product_id", F.lit(kind).alias("change_kind"), "old_product_name", F.col("new_name").alias("new_product_name"), "old_manufacturer_product_code",
-        F.col("new_code").alias("new_manufacturer_product_code"), "old_manufacturer_id", F.col("new_manufacturer_id"), F.col("at").alias("changed_at"))
+def _changes(accepted: DataFrame, kind: str) -> DataFrame:
+    """Audit rows: what a product was called before and after. ``accepted``: request_id, product_id, at, and structs ``old`` and ``new`` of product_name, manufacturer_product_code, manufacturer_id."""
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("product_name", "manufacturer_product_code", "manufacturer_id") for side in ("old", "new")]
+    return accepted.select(F.col("request_id").alias("change_id"), "product_id", F.lit(kind).alias("change_kind"), *sides, F.col("at").alias("changed_at"))
+
+
+def _first_of(checked: DataFrame, requests: DataFrame, key: str, late: str) -> DataFrame:
+    """Requests of which only the first in order for each ``key`` is accepted; later ones get the reason ``late``."""
+    first = checked.where("reason is null").groupBy(key).agg(F.min(turn(requests)).alias("first"))
+    return checked.join(first, key, "left").withColumn("reason", F.coalesce("reason", F.when(turn(requests) != F.col("first"), late))).drop("first")
 
 
 def complete_codes(products: DataFrame, requests: DataFrame) -> Outcome:
-    """Give products without a code theirs. ``requests``: request_id, product_id, code, at."""
+    """Give products without a code theirs; the first request in order for a product does, for later ones the code is known. ``requests``: request_id, product_id, code, at."""
     known = products.select("product_id", F.struct("product_name", "manufacturer_product_code", "manufacturer_id").alias("old"))
     reason = F.when(F.coalesce(F.trim("code"), F.lit("")) == "", "CODE_REQUIRED").when(F.col("old").isNull(), "PRODUCT_NOT_FOUND").when(F.col("old.manufacturer_product_code").isNotNull(), "CODE_KNOWN")
-    accepted, rejected = _split(requests.join(known, "product_id", "left").withColumn("reason", reason))
+    accepted, rejected = _split(_first_of(requests.join(known, "product_id", "left").withColumn("reason", reason), requests, "product_id", "CODE_KNOWN"))
     given = accepted.select("product_id", F.trim("code").alias("given"))
     rows = products.join(given, "product_id", "left").withColumn("manufacturer_product_code", F.coalesce("given", "manufacturer_product_code")).select(*products.columns)
-    audit = accepted.select("request_id", "product_id", F.col("old.product_name").alias("new_name"), F.trim("code").alias("new_code"), F.col("old.manufacturer_id").alias("new_manufacturer_id"), "at")
-    return Outcome({"products": rows}, _changes(products, audit, "CODE_COMPLETION"), rejected)
+    audit = accepted.withColumn("new", F.col("old").withField("manufacturer_product_code", F.trim("code")))
+    return Outcome({"products": rows}, _changes(audit, "CODE_COMPLETION"), rejected)
 
 
 def _makers(manufacturers: DataFrame) -> DataFrame:
@@ -38,21 +42,30 @@ def _makers(manufacturers: DataFrame) -> DataFrame:
 
 
 def correct_identities(products: DataFrame, manufacturers: DataFrame, requests: DataFrame) -> Outcome:
-    """New name, code and manufacturer of products; an unknown manufacturer is created once. ``requests``: request_id, product_id, product_name, code, manufacturer_name, at."""
-    own = products.select("product_id", F.struct("product_name", "manufacturer_product_code", "manufacturer_id").alias("old"))
+    """New name, code and manufacturer of products; an unknown manufacturer is created once. ``requests``: request_id, product_id, product_name, code, manufacturer_name, at.
+
+    Several requests for a product follow each other: each is compared with what the one before left. A product that has lost its code stays without one, as
+    giving it a code is a transition of its own; so a request passes if it has no code, or if the product has one and no request before it took that away.
+    A request that changes nothing leaves what it asks for too, so the state before a request is what the last passing one asks for.
+    """
+    own = products.select("product_id", F.struct("product_name", "manufacturer_product_code", "manufacturer_id").alias("kept"))
     asked = requests.withColumnRenamed("manufacturer_name", "wanted_maker").join(own, "product_id", "left").join(_makers(manufacturers), "wanted_maker", "left")
-    asked = asked.withColumn("new_manufacturer_id", F.coalesce(F.col("maker_id").cast("string"), new_id("wanted_maker")))
-    same = F.struct(F.col("product_name"), F.col("code").alias("manufacturer_product_code"), F.col("new_manufacturer_id")).eqNullSafe(F.struct(F.col("old.product_name"), F.col("old.manufacturer_product_code").alias("manufacturer_product_code"), F.col("old.manufacturer_id").cast("string").alias("new_manufacturer_id")))
-    reason = (F.when(F.col("old").isNull(), "PRODUCT_NOT_FOUND").when(F.col("old.manufacturer_product_code").isNull() & F.col("code").isNotNull(), "CODE_COMPLETION_IS_SEPARATE")
-              .when(F.col("makers") > 1, "MANUFACTURER_AMBIGUOUS").when(same, "NO_CHANGE"))
+    asked = asked.withColumn("new", F.struct("product_name", F.col("code").alias("manufacturer_product_code"), F.coalesce(F.col("maker_id").cast("string"), new_id("wanted_maker")).alias("manufacturer_id")))
+    asked = asked.withColumn("kept", F.col("kept").withField("manufacturer_id", F.col("kept.manufacturer_id").cast("string")))
+    before = Window.partitionBy("product_id").orderBy(turn(requests)).rowsBetween(Window.unboundedPreceding, -1)
+    fit = F.col("kept").isNotNull() & (F.coalesce("makers", F.lit(0)) < 2)
+    asked = asked.withColumn("codeless", F.col("kept.manufacturer_product_code").isNull() | F.coalesce(F.max(fit & F.col("code").isNull()).over(before), F.lit(False)))
+    separate = F.col("codeless") & F.col("code").isNotNull()
+    asked = asked.withColumn("old", F.coalesce(F.last(F.when(fit & ~separate, F.col("new")), ignorenulls=True).over(before), "kept"))
+    reason = (F.when(F.col("kept").isNull(), "PRODUCT_NOT_FOUND").when(separate, "CODE_COMPLETION_IS_SEPARATE")
+              .when(F.col("makers") > 1, "MANUFACTURER_AMBIGUOUS").when(F.col("new").eqNullSafe(F.col("old")), "NO_CHANGE"))
     accepted, rejected = _split(asked.withColumn("reason", reason))
-    given = accepted.select("product_id", F.col("product_name").alias("g_name"), F.col("code").alias("g_code"), F.col("new_manufacturer_id").alias("g_maker"), F.lit(True).alias("given"))
-    pick = lambda new, old: F.when(F.col("given"), F.col(new)).otherwise(F.col(old).cast("string"))
-    rows = products.join(given, "product_id", "left").withColumns({"product_name": pick("g_name", "product_name"), "manufacturer_product_code": pick("g_code", "manufacturer_product_code"), "manufacturer_id": pick("g_maker", "manufacturer_id")}).select(*products.columns)
-    created = accepted.where("makers is null").select(F.col("new_manufacturer_id").alias("manufacturer_id"), F.col("wanted_maker").alias("manufacturer_name")).distinct()
+    given = last_of(accepted.select("product_id", "new", *turn_columns(requests)), "product_id").select("product_id", "new", F.lit(True).alias("given"))
+    pick = lambda c: F.when(F.col("given"), F.col(f"new.{c}")).otherwise(F.col(c).cast("string"))
+    rows = products.join(given, "product_id", "left").withColumns({c: pick(c) for c in ("product_name", "manufacturer_product_code", "manufacturer_id")}).select(*products.columns)
+    created = accepted.where("makers is null").select(F.col("new.manufacturer_id").alias("manufacturer_id"), F.col("wanted_maker").alias("manufacturer_name")).distinct()
     makers = manufacturers.select(F.col("manufacturer_id").cast("string").alias("manufacturer_id"), "manufacturer_name").unionByName(created)
-    audit = accepted.select("request_id", "product_id", F.col("product_name").alias("new_name"), F.col("code").alias("new_code"), "new_manufacturer_id", "at")
-    return Outcome({"products": rows, "manufacturers": makers}, _changes(products, audit, "CORRECTION"), rejected)
+    return Outcome({"products": rows, "manufacturers": makers}, _changes(accepted, "CORRECTION"), rejected)
 
 
 def resolve_or_create(products: DataFrame, manufacturers: DataFrame, requests: DataFrame) -> DataFrame:
@@ -100,7 +113,8 @@ QUANTITIES = ("peak_quantity_value", "peak_quantity_unit_id", "monthly_consumpti
 def set_quantities(assignments: DataFrame, locations: DataFrame, units: DataFrame, requests: DataFrame, new: bool) -> Outcome:
     """Quantities of a product at a location: assigned (``new``, to ACTIVE locations) or updated. Units must be ACTIVE, quantities not negative, monthly value and unit both given or both not.
 
-    ``requests``: request_id, product_id, location_id, the four quantity columns, at.
+    ``requests``: request_id, product_id, location_id, the four quantity columns, at. The first request in order assigns a place, for later ones it is
+    assigned; of several updates the last stays.
     """
     place = locations.select("location_id", F.col("status").alias("place"))
     usable = units.where("status = 'ACTIVE'").select("unit_id")
@@ -112,11 +126,15 @@ def set_quantities(assignments: DataFrame, locations: DataFrame, units: DataFram
     reason = (F.when(F.lit(new) & F.col("place").isNull(), "LOCATION_NOT_FOUND").when(F.lit(new) & (F.col("place") != "ACTIVE"), "LOCATION_INACTIVE").when(negative, "QUANTITY_NOT_ALLOWED").when(pair, "MONTHLY_PAIR")
               .when(F.col("peak_ok").isNull() | (F.col("monthly_consumption_unit_id").isNotNull() & F.col("monthly_ok").isNull()), "UNIT_INACTIVE")
               .when(F.lit(new) & F.col("there"), "ALREADY_ASSIGNED").when(F.lit(not new) & F.col("there").isNull(), "ASSIGNMENT_NOT_FOUND"))
-    accepted, rejected = _split(checked.withColumn("reason", reason))
+    checked = checked.withColumn("reason", reason)
+    if new:
+        place = F.struct("product_id", "location_id")
+        checked = _first_of(checked.withColumn("place_key", place), requests, "place_key", "ALREADY_ASSIGNED").drop("place_key")
+    accepted, rejected = _split(checked)
     if new:
         rows = assignments.unionByName(accepted.select(*assignments.columns))
     else:
-        given = accepted.select("product_id", "location_id", *[F.col(c).alias(f"given_{c}") for c in QUANTITIES], F.lit(True).alias("given"))
+        given = last_of(accepted, "product_id", "location_id").select("product_id", "location_id", *[F.col(c).alias(f"given_{c}") for c in QUANTITIES], F.lit(True).alias("given"))
         rows = assignments.join(given, ["product_id", "location_id"], "left").withColumns({c: F.when(F.col("given"), F.col(f"given_{c}")).otherwise(F.col(c)) for c in QUANTITIES}).select(*assignments.columns)
     history = accepted.select(F.col("request_id").alias("history_id"), "product_id", "location_id", *QUANTITIES, F.col("at").alias("changed_at"))
     return Outcome({"product_usage_locations": rows}, history, rejected)

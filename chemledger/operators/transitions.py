@@ -1,12 +1,16 @@
 """State transitions as batch operators: state and requests in; new state, history rows and rejected requests with a reason out.
 
-A batch holds one request for each product. Every result is a left join of the state with the accepted requests; nothing is changed in place.
+A batch may hold several requests for one entity. They take effect one after the other, in order of ``seq`` where requests have that column, then of
+``request_id``, which is unique, so that the result is that of as many batches of one request. Nothing is changed in place. Where acceptance does not hang on earlier requests
+the last or first request of an entity is found by an aggregate, which a hot entity does not slow down; only withdrawals are replayed one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,40 +28,71 @@ def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null").select("request_id", "reason")
 
 
+def turn_columns(requests: DataFrame) -> list[str]:
+    return [c for c in ("seq", "request_id") if c in requests.columns]
+
+
+def turn(requests: DataFrame) -> Column:
+    """The place of a request in its batch."""
+    return F.struct(*turn_columns(requests))
+
+
+def last_of(accepted: DataFrame, *key: str) -> DataFrame:
+    """Of the accepted requests the last for each ``key``, with all columns."""
+    rest = [c for c in accepted.columns if c not in key]
+    return accepted.groupBy(*key).agg(F.max_by(F.struct(*rest), turn(accepted)).alias("x")).select(*key, "x.*")
+
+
+def _is_last(accepted: DataFrame, *key: str) -> DataFrame:
+    """The accepted requests with ``last``: none for the same ``key`` comes later."""
+    latest = accepted.groupBy(*key).agg(F.max(turn(accepted)).alias("latest"))
+    return accepted.join(latest, list(key)).withColumn("last", turn(accepted) == F.col("latest")).drop("latest")
+
+
 def _with_status(products: DataFrame, changes: DataFrame) -> DataFrame:
-    """Products with the status that ``changes`` (product_id, new_status) gives them."""
+    """Products with the status that ``changes`` (one row each: product_id, new_status) give them."""
     return products.join(changes, "product_id", "left").withColumn("usage_status", F.coalesce("new_status", "usage_status")).drop("new_status")
 
 
+def _history_id() -> Column:
+    return F.sha2(F.concat_ws("/", F.col("product_id").cast("string"), F.col("request_id").cast("string")), 256)
+
+
 def _history(products: DataFrame, changes: DataFrame) -> DataFrame:
     kept = [c for c in ("use_description", "use_restriction", "waste_type", "waste_code") if c in products.columns]
-    rows = products.join(changes, "product_id").select(F.sha2(F.concat_ws("/", F.col("product_id").cast("string"), F.col("request_id").cast("string")), 256).alias("history_id"), "product_id", F.col("new_status").alias("usage_status"), *kept, F.col("at").alias("changed_at"))
-    return rows
+    return products.select("product_id", *kept).join(changes, "product_id").select(_history_id().alias("history_id"), "product_id", F.col("new_status").alias("usage_status"), *kept, F.col("at").alias("changed_at"))
 
 
 def register_revisions(products: DataFrame, documents: DataFrame, requests: DataFrame) -> Outcome:
-    """A new CURRENT document for each product: the old one is archived, the product waits for approval again, and a history row says so.
+    """A new CURRENT document for a product: the one before is archived, the product waits for approval again, and a history row says so.
 
-    ``requests``: request_id, product_id, sds_id, original_filename, relative_path, issue_date, revision, at.
+    ``requests``: request_id, product_id, sds_id, original_filename, relative_path, issue_date, revision, at. Of several for one product the last one's
+    document is CURRENT in the end, those before are archived. Of several for one ``sds_id`` the first that is in order takes it.
     """
     known = products.select("product_id", F.lit(True).alias("known"))
-    taken = documents.select("sds_id", F.lit(True).alias("taken"))
+    taken = documents.select("sds_id", F.lit(True).alias("taken")).distinct()
     reason = (F.when(F.col("known").isNull(), "PRODUCT_NOT_FOUND").when(F.coalesce(F.trim("relative_path"), F.lit("")) == "", "SOURCE_PATH_REQUIRED")
               .when(F.col("issue_date").isNull() | (F.coalesce(F.trim("revision"), F.lit("")) == ""), "ISSUE_DATE_AND_REVISION_REQUIRED").when(F.col("taken"), "SDS_ID_TAKEN"))
-    accepted, rejected = _split(requests.join(known, "product_id", "left").join(taken, "sds_id", "left").withColumn("reason", reason).drop("known", "taken"))
-    touched = accepted.select("product_id", F.lit(True).alias("touched"))
+    checked = requests.join(known, "product_id", "left").join(taken, "sds_id", "left").withColumn("reason", reason).drop("known", "taken")
+    takes = checked.where("reason is null").groupBy("sds_id").agg(F.min(turn(requests)).alias("first"))
+    checked = checked.join(takes, "sds_id", "left").withColumn("reason", F.coalesce("reason", F.when(turn(requests) != F.col("first"), "SDS_ID_TAKEN"))).drop("first")
+    accepted, rejected = _split(checked)
+    touched = accepted.select("product_id", F.lit(True).alias("touched")).distinct()
     status = F.when(F.col("touched") & (F.col("document_status") == "CURRENT"), "ARCHIVED").otherwise(F.col("document_status"))
     old = documents.join(touched, "product_id", "left").withColumn("document_status", status).select(*documents.columns)
     name = F.coalesce(F.when(F.trim("original_filename") != "", F.col("original_filename")), F.regexp_extract("relative_path", r"([^/]*)$", 1))
-    new = accepted.select("sds_id", "product_id", name.alias("original_filename"), "relative_path", "issue_date", "revision", F.lit("CURRENT").alias("document_status"), F.col("at").alias("registered_at"), F.lit("AVAILABLE").alias("file_status"))
-    changes = accepted.select("product_id", F.lit("PENDING_APPROVAL").alias("new_status"))
+    new = _is_last(accepted, "product_id").select(
+        "sds_id", "product_id", name.alias("original_filename"), "relative_path", "issue_date", "revision", F.when(F.col("last"), "CURRENT").otherwise("ARCHIVED").alias("document_status"),
+        F.col("at").alias("registered_at"), F.lit("AVAILABLE").alias("file_status"))
+    changes = touched.select("product_id", F.lit("PENDING_APPROVAL").alias("new_status"))
     return Outcome({"sds_documents": old.unionByName(new.select(*documents.columns)), "products": _with_status(products, changes)}, _history(products, accepted.withColumn("new_status", F.lit("PENDING_APPROVAL"))), rejected)
 
 
 def register_decisions(products: DataFrame, documents: DataFrame, profiles: DataFrame, decisions: DataFrame, evidence: DataFrame, requests: DataFrame) -> Outcome:
     """A new CURRENT decision on a product's CURRENT document; the one before is superseded and the product becomes ACTIVE or REJECTED.
 
-    ``requests``: request_id, product_id, sds_id, decision_status, notes, evidence_relative_path, original_filename, at. The ids of the new rows are the request's.
+    ``requests``: request_id, product_id, sds_id, decision_status, notes, evidence_relative_path, original_filename, at. The ids of the new rows are the
+    request's. Of several on one document the last stays CURRENT, and the last for a product gives its status.
     """
     from chemledger.functions.text import evidence_type
 
@@ -69,65 +104,126 @@ def register_decisions(products: DataFrame, documents: DataFrame, profiles: Data
               .when(F.col("owner") != F.col("product_id"), "SDS_OF_ANOTHER_PRODUCT").when(F.col("document_status") != "CURRENT", "SDS_NOT_CURRENT").when(F.col("profiled").isNull(), "SAFETY_DATA_MISSING")
               .when(~F.col("described"), "USE_DATA_MISSING").when(evidence_type(F.col("evidence_relative_path")).isNull(), "EVIDENCE_FORMAT"))
     accepted, rejected = _split(checked.withColumn("reason", reason).drop("described", "owner", "document_status", "profiled"))
-    touched = accepted.select("sds_id", F.lit(True).alias("touched"))
+    touched = accepted.select("sds_id", F.lit(True).alias("touched")).distinct()
     record = F.when(F.col("touched") & (F.col("record_status") == "CURRENT"), "SUPERSEDED").otherwise(F.col("record_status"))
     old = decisions.join(touched, "sds_id", "left").withColumn("record_status", record).select(*decisions.columns)
-    new = accepted.select(F.col("request_id").alias("decision_id"), "product_id", "sds_id", "decision_status", "notes", F.col("at").alias("registered_at"), F.lit("CURRENT").alias("record_status"), F.col("request_id").alias("evidence_id"))
+    new = _is_last(accepted, "sds_id").select(
+        F.col("request_id").alias("decision_id"), "product_id", "sds_id", "decision_status", "notes", F.col("at").alias("registered_at"), F.when(F.col("last"), "CURRENT").otherwise("SUPERSEDED").alias("record_status"),
+        F.col("request_id").alias("evidence_id"))
     proof = accepted.select(F.col("request_id").alias("evidence_id"), "original_filename", F.col("evidence_relative_path").alias("relative_path"), evidence_type(F.col("evidence_relative_path")).alias("evidence_type"),
                             F.upper(F.regexp_extract("evidence_relative_path", r"\.([^./]+)$", 1)).alias("file_format"), F.lit("AVAILABLE").alias("file_status"))
     status = F.when(F.col("decision_status") == "APPROVED", "ACTIVE").otherwise("REJECTED")
-    changes = accepted.select("product_id", status.alias("new_status"))
+    changes = last_of(accepted, "product_id").select("product_id", status.alias("new_status"))
     return Outcome({"bhp_decisions": old.unionByName(new.select(*decisions.columns)), "decision_evidence": evidence.unionByName(proof.select(*evidence.columns)), "products": _with_status(products, changes)},
                    _history(products, accepted.withColumn("new_status", status)), rejected)
 
 
+@dataclass
+class _Withdrawals:
+    """What withdrawals have changed of one product so far."""
+
+    status: str | None
+    current: set
+    documents: dict
+
+    def reason(self, r: dict) -> str | None:
+        """Why a withdrawal is refused in this state, or None."""
+        if not (r["reason_text"] or "").strip(" "):
+            return "REASON_REQUIRED"
+        if not r["fits"]:
+            return "MODE_DOES_NOT_FIT"
+        if self.status is None:
+            return "STALE_PRODUCT"
+        now = self.documents.get(r["sds_id"], r["target_status"])
+        if r["target_product"] is None or r["target_product"] != r["product_id"] or now != r["expected_status"]:
+            return "STALE_DOCUMENT"
+        if min(self.current, default=None) != r["expected_current_sds_id"]:
+            return "STALE_CURRENT"
+        if r["done"]:
+            return "ALREADY_INVALIDATED"
+        if r["mode"] == "RESTORE_ARCHIVED" and (r["restored_product"] != r["product_id"] or self.documents.get(r["restored_sds_id"], r["restored_status"]) != "ARCHIVED"):
+            return "STALE_RESTORED"
+        return None
+
+    def take(self, r: dict) -> bool:
+        """Carry a withdrawal out; True if the product has to wait for approval because of it."""
+        self.documents[r["sds_id"]] = "INVALIDATED"
+        self.current.discard(r["sds_id"])
+        if r["restored_sds_id"] is not None:
+            self.documents[r["restored_sds_id"]] = "CURRENT"
+            self.current.add(r["restored_sds_id"])
+        waits = r["expected_status"] == "CURRENT" and self.status != "PENDING_APPROVAL"
+        if r["expected_status"] == "CURRENT":
+            self.status = "PENDING_APPROVAL"
+        return waits
+
+
+def _replayed(asked: DataFrame) -> DataFrame:
+    """``request_id``, ``reason`` and ``waits`` of withdrawals, each product's carried out in order. A task holds the changes of one product at a time, however many requests it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, product, begun = None, None, False
+        for rows in batches:
+            reasons, waits = [], []
+            for r in rows.to_pylist():
+                if not begun or r["product_id"] != product:
+                    state, product, begun = _Withdrawals(r["old_status"], set(r["current"] or []), {}), r["product_id"], True
+                why = state.reason(r)
+                reasons.append(why)
+                waits.append(why is None and state.take(r))
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("request_id")), pa.array(reasons, pa.string()), pa.array(waits, pa.bool_())], ["request_id", "reason", "waits"])
+
+    return asked.repartition("product_id").sortWithinPartitions("product_id", turn(asked)).mapInArrow(run, f"request_id {dict(asked.dtypes)['request_id']}, reason string, waits boolean")
+
+
 def invalidate(products: DataFrame, documents: DataFrame, decisions: DataFrame, audit: DataFrame, requests: DataFrame) -> Outcome:
     """Withdraw a document, alone or with an archived one restored in its place. The request says what it expects, and is stale if the state is another.
 
     ``requests``: request_id, product_id, sds_id, expected_status, expected_current_sds_id, mode (ARCHIVED_ONLY, NO_CURRENT, RESTORE_ARCHIVED), restored_sds_id, reason_text, at.
+    What a request finds is what those before it have left: a document restored by one can be withdrawn by the next.
     """
     def look(key: str, out: str) -> DataFrame:
         return documents.select(F.col("product_id").alias(f"{out}_product"), F.col("sds_id").alias(key), F.col("document_status").alias(f"{out}_status"))
 
-    current = documents.where("document_status = 'CURRENT'").groupBy("product_id").agg(F.min("sds_id").alias("current_sds_id"))
+    current = documents.where("document_status = 'CURRENT'").groupBy("product_id").agg(F.collect_set("sds_id").alias("current"))
     done = audit.select(F.col("invalidated_sds_id").alias("sds_id"), F.lit(True).alias("done")).distinct()
-    checked = (requests.join(products.select("product_id", F.col("usage_status").alias("old_status")), "product_id", "left").join(look("sds_id", "target"), "sds_id", "left")
-               .join(look("restored_sds_id", "restored"), "restored_sds_id", "left").join(current, "product_id", "left").join(done, "sds_id", "left"))
-    gone = F.col("target_status").isNull() | (F.col("target_product") != F.col("product_id")) | (F.col("target_status") != F.col("expected_status"))
     restore = F.col("mode") == "RESTORE_ARCHIVED"
-    unfit = F.col("restored_status").isNull() | (F.col("restored_product") != F.col("product_id")) | (F.col("restored_status") != "ARCHIVED")
     shape = ((F.col("mode") == "ARCHIVED_ONLY") != (F.col("expected_status") == "ARCHIVED")) | (restore != F.col("restored_sds_id").isNotNull()) | F.coalesce(F.col("restored_sds_id") == F.col("sds_id"), F.lit(False))
-    reason = (F.when(F.coalesce(F.trim("reason_text"), F.lit("")) == "", "REASON_REQUIRED").when(~F.col("expected_status").isin("CURRENT", "ARCHIVED") | shape, "MODE_DOES_NOT_FIT").when(F.col("old_status").isNull(), "STALE_PRODUCT")
-              .when(gone, "STALE_DOCUMENT").when(~F.col("current_sds_id").eqNullSafe(F.col("expected_current_sds_id")), "STALE_CURRENT").when(F.col("done"), "ALREADY_INVALIDATED").when(restore & unfit, "STALE_RESTORED"))
-    accepted, rejected = _split(checked.withColumn("reason", reason).select(*requests.columns, "old_status", "reason"))
-    moves = accepted.select("sds_id", F.lit("INVALIDATED").alias("to")).unionByName(accepted.where("restored_sds_id is not null").select(F.col("restored_sds_id").alias("sds_id"), F.lit("CURRENT").alias("to")))
+    asked = (requests.join(products.select("product_id", F.col("usage_status").alias("old_status")), "product_id", "left").join(look("sds_id", "target"), "sds_id", "left")
+             .join(look("restored_sds_id", "restored"), "restored_sds_id", "left").join(current, "product_id", "left").join(done, "sds_id", "left"))
+    asked = asked.withColumn("fits", F.coalesce(F.col("expected_status").isin("CURRENT", "ARCHIVED") & ~shape, F.lit(False)))
+    accepted, rejected = _split(requests.join(_replayed(asked), "request_id"))
+    moves = accepted.select("sds_id", F.lit("INVALIDATED").alias("to"), turn(accepted).alias("turn")).unionByName(accepted.where("restored_sds_id is not null").select(F.col("restored_sds_id").alias("sds_id"), F.lit("CURRENT").alias("to"), turn(accepted).alias("turn")))
+    moves = moves.groupBy("sds_id").agg(F.max_by("to", "turn").alias("to"))
     new_documents = documents.join(moves, "sds_id", "left").withColumn("document_status", F.coalesce("to", "document_status")).select(*documents.columns)
     was_current = accepted.where("expected_status = 'CURRENT'")
     affected = was_current.select("sds_id").unionByName(was_current.where("restored_sds_id is not null").select(F.col("restored_sds_id").alias("sds_id"))).distinct().withColumn("touched", F.lit(True))
     record = F.when(F.col("touched") & (F.col("record_status") == "CURRENT"), "SUPERSEDED").otherwise(F.col("record_status"))
     new_decisions = decisions.join(affected, "sds_id", "left").withColumn("record_status", record).select(*decisions.columns)
-    waits = was_current.where("old_status <> 'PENDING_APPROVAL'").withColumn("new_status", F.lit("PENDING_APPROVAL"))
+    waits = accepted.where("waits").withColumn("new_status", F.lit("PENDING_APPROVAL"))
     rows = accepted.select(F.col("request_id").alias("invalidation_id"), "product_id", F.col("sds_id").alias("invalidated_sds_id"), F.col("expected_status").alias("invalidated_from_status"), "restored_sds_id", F.trim("reason_text").alias("reason"), F.col("at").alias("invalidated_at"))
-    tables = {"sds_documents": new_documents, "bhp_decisions": new_decisions, "products": _with_status(products, waits.select("product_id", "new_status")), "sds_invalidation": audit.unionByName(rows.select(*audit.columns))}
+    tables = {"sds_documents": new_documents, "bhp_decisions": new_decisions, "products": _with_status(products, waits.select("product_id", "new_status").distinct()), "sds_invalidation": audit.unionByName(rows.select(*audit.columns))}
     return Outcome(tables, _history(products, waits), rejected)
 
 
 def update_administrative(products: DataFrame, requests: DataFrame) -> Outcome:
-    """New use and waste data of products. ``requests``: request_id, product_id, use_description, use_restriction, waste_type, waste_code, at."""
-    known = products.select("product_id", F.col("usage_status").alias("new_status"))
-    accepted, rejected = _split(requests.join(known, "product_id", "left").withColumn("reason", F.when(F.col("new_status").isNull(), "PRODUCT_NOT_FOUND")))
+    """New use and waste data of products; the last request for one stays, each has its history row. ``requests``: request_id, product_id, use_description, use_restriction, waste_type, waste_code, at."""
+    known = products.select("product_id", F.col("usage_status").alias("status"))
+    accepted, rejected = _split(requests.join(known, "product_id", "left").withColumn("reason", F.when(F.col("status").isNull(), "PRODUCT_NOT_FOUND")))
     columns = ("use_description", "use_restriction", "waste_type", "waste_code")
-    given = accepted.select("product_id", *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("given"))
+    given = last_of(accepted, "product_id").select("product_id", *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("given"))
     rows = products.join(given, "product_id", "left").withColumns({c: F.when(F.col("given"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in columns}).select(*products.columns)
-    return Outcome({"products": rows}, _history(rows, accepted.select("request_id", "product_id", "new_status", "at")), rejected)
+    history = accepted.select(_history_id().alias("history_id"), "product_id", F.col("status").alias("usage_status"), *columns, F.col("at").alias("changed_at"))
+    return Outcome({"products": rows}, history, rejected)
 
 
 def set_location_status(locations: DataFrame, requests: DataFrame) -> Outcome:
-    """Activate or deactivate locations; a history row comes also where nothing changes. ``requests``: request_id, location_id, new_status, at."""
+    """Activate or deactivate locations; the last request for one stays, and a history row comes also where nothing changes. ``requests``: request_id, location_id, new_status, at."""
     known = locations.select("location_id", F.lit(True).alias("known"))
     reason = F.when(F.col("known").isNull(), "LOCATION_NOT_FOUND").when(~F.coalesce(F.col("new_status").isin("ACTIVE", "INACTIVE"), F.lit(False)), "STATUS_NOT_ALLOWED")
     accepted, rejected = _split(requests.join(known, "location_id", "left").withColumn("reason", reason).drop("known"))
-    rows = locations.join(accepted.select("location_id", "new_status"), "location_id", "left").withColumn("status", F.coalesce("new_status", "status")).select(*locations.columns)
+    given = last_of(accepted, "location_id").select("location_id", "new_status")
+    rows = locations.join(given, "location_id", "left").withColumn("status", F.coalesce("new_status", "status")).select(*locations.columns)
     history = accepted.select(F.col("request_id").alias("history_id"), "location_id", F.col("new_status").alias("status"), F.col("at").alias("changed_at"))
     return Outcome({"usage_locations": rows}, history, rejected)
 
@@ -150,11 +246,11 @@ def create_review(reviews: DataFrame, items: DataFrame, population: DataFrame, r
 
 
 def record_observed(reviews: DataFrame, items: DataFrame, requests: DataFrame) -> Outcome:
-    """Observed quantities of items of an open review. ``requests``: request_id, review_item_id, observed_quantity."""
+    """Observed quantities of items of an open review; the last one accepted for an item stays. ``requests``: request_id, review_item_id, observed_quantity."""
     state = items.select("review_item_id", "review_id").join(reviews.select("review_id", F.col("status").alias("review_status")), "review_id").drop("review_id")
     reason = F.when(F.col("review_status").isNull(), "ITEM_NOT_FOUND").when(F.col("review_status") != "DRAFT", "REVIEW_IS_FINAL").when(F.col("observed_quantity") < 0, "NEGATIVE_QUANTITY")
     accepted, rejected = _split(requests.join(state, "review_item_id", "left").withColumn("reason", reason).drop("review_status"))
-    given = accepted.select("review_item_id", F.col("observed_quantity").alias("new_quantity"), F.lit(True).alias("given"))
+    given = last_of(accepted, "review_item_id").select("review_item_id", F.col("observed_quantity").alias("new_quantity"), F.lit(True).alias("given"))
     rows = items.join(given, "review_item_id", "left").withColumn("observed_quantity", F.when(F.col("given"), F.col("new_quantity")).otherwise(F.col("observed_quantity"))).select(*items.columns)
     return Outcome({"physical_review_items": rows}, given.limit(0), rejected)
 
