@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from . import common, text
 
 TOKENIZERS, BYTE_BPE, PIECE_BPE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-HELD_SEGMENTS, HELD_BYTES = 200_000, 32 << 20  # what a worker remembers of segments it has aligned
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how byte-level BPE cuts a text before merging
+HELD_SEGMENTS, HELD_BYTES = 300_000, 48 << 20  # what a worker remembers of segments it has aligned
+USUAL = 1_000  # characters of a segment that the quicker encoder takes
 COMMON_PAIRS = 65_536  # the pairs of highest count are looked up in memory, all others by a join
 # blanks between two characters that are no white space: both tokenizers begin a token there, whatever stands around
 _between = re.compile(r"(?<=\S) (?=\S)")
@@ -37,17 +39,22 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            model = json.load(file)["model"]
         byte = _byte_of()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
+        self.a_bytes = [b""] * (max(model["vocab"].values()) + 1)
+        for token, i in model["vocab"].items():
             if all(c in byte for c in token):
                 self.a_bytes[i] = bytes(byte[c] for c in token)
+        # ids that follow the order of merges are ranks, so that the quicker encoder gives the same ids
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x and i not in set(self.a.get_added_tokens_decoder())}
+        self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if merged == sorted(merged) and all(bytes([k]) in ranks for k in range(256)) else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         n = self.b.get_piece_size()
         piece = [self.b.id_to_piece(i) for i in range(n)]
@@ -56,8 +63,11 @@ class Tokenizers:
         self.cuts = not any(_BLANK in p.lstrip(_BLANK) for p in piece)
         self.a_size, self.b_size = (np.array([len(x) for x in every]) for every in (self.a_bytes, self.b_bytes))
         self.n_b = n
-        self.a_inner, self.a_last = ([f"{i}{c}".encode() for i in range(len(self.a_bytes))] for c in (",", "|"))
-        self.b_inner, self.b_last = ([f"{i}{c}".encode() for i in range(n)] for c in (",", ";"))
+        self.a_parts, self.b_parts = (np.array([f"{i}{c}".encode() for c in ends for i in range(len(every))], object) for every, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
+        self.a_part_size, self.b_part_size = (np.array([len(x) for x in every]) for every in (self.a_parts, self.b_parts))
+
+    def encode_a(self, whole: str, quick: bool) -> list[int]:
+        return self.quick.encode_ordinary(whole) if quick and self.quick else self.a.encode(whole, add_special_tokens=False).ids
 
 
 @lru_cache(1)
@@ -67,54 +77,102 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 @dataclass
 class Aligned:
-    """One segment: its numbers of tokens, its groups as text, and its links as pairs a x (size of B) + b. ``exact``: both tokenizers give its bytes back."""
+    """Segments in both tokenizers: their numbers of tokens, their groups as text, and how many of the ``links``, pairs a x (size of B) + b, each has. ``exact``: both tokenizers give its bytes back."""
 
-    exact: bool
-    n_a: int
-    n_b: int
-    groups: bytes
+    exact: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    groups: list[bytes]
+    n_links: np.ndarray
     links: np.ndarray
 
 
-def align(segments: list[str], t: Tokenizers) -> list[Aligned]:
-    """Each segment, with a blank before it for A (B adds its own), in the tokens of both, cut where both end together."""
-    a_ids = [e.ids for e in t.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-    b_ids = t.b.encode(segments, num_threads=1)
-    out: list[Aligned] = []
-    for s, a, b in zip(segments, a_ids, b_ids, strict=True):
-        whole = b" " + s.encode()
-        if b"".join([t.a_bytes[i] for i in a]) != whole or b"".join([t.b_bytes[i] for i in b]) != whole:
-            out.append(Aligned(False, 0, 0, b"", np.zeros(0, np.int64)))
-            continue
-        x, y = np.array(a), np.array(b)
-        a_end, b_end = np.cumsum(t.a_size[x]), np.cumsum(t.b_size[y])
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_at, b_at = np.searchsorted(a_end, both), np.searchsorted(b_end, both)
-        parts, i, j = [], 0, 0
-        for p, q in zip(a_at.tolist(), b_at.tolist(), strict=True):
-            parts += [*[t.a_inner[k] for k in a[i:p]], t.a_last[a[p]], *[t.b_inner[k] for k in b[j:q]], t.b_last[b[q]]]
-            i, j = p + 1, q + 1
-        out.append(Aligned(True, len(a), len(b), b"".join(parts)[:-1], x[a_at] * t.n_b + y[b_at]))
-    return out
+def _one_run(segments: list[str], t: Tokenizers, quick: bool) -> Aligned | None:
+    """The segments encoded as one text, blanks between them; None unless both tokenizers give its bytes back and end tokens with every segment."""
+    whole = " " + " ".join(segments)
+    a, b = np.array(t.encode_a(whole, quick), np.int64), np.array(t.b.encode(whole[1:]), np.int64)
+    data = whole.encode()
+    if b"".join([t.a_bytes[i] for i in a.tolist()]) != data or b"".join([t.b_bytes[i] for i in b.tolist()]) != data:
+        return None
+    edge = np.cumsum([len(s.encode()) + 1 for s in segments])
+    a_end, b_end = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+    both = np.intersect1d(a_end, b_end, assume_unique=True)
+    last = np.searchsorted(both, edge)
+    if last[-1] >= len(both) or (both[last] != edge).any():
+        return None
+    a_at, b_at = np.searchsorted(a_end, both), np.searchsorted(b_end, both)
+    # tokens of A, then of B, group by group; the last of each side in a group has its own ending
+    a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
+    a_before, b_before = np.append(0, a_at + 1), np.append(0, b_at + 1)
+    a_part, b_part = a.copy(), b.copy()
+    a_part[a_at] += len(t.a_bytes)
+    b_part[b_at] += t.n_b
+    parts, size = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+    a_place, b_place = np.arange(len(a)) + b_before[a_group], np.arange(len(b)) + a_before[b_group + 1]
+    parts[a_place], parts[b_place] = t.a_parts[a_part], t.b_parts[b_part]
+    size[a_place], size[b_place] = t.a_part_size[a_part], t.b_part_size[b_part]
+    text_of, upto = b"".join(parts.tolist()), np.cumsum(size)
+    stop = upto[a_before[last + 1] + b_before[last + 1] - 1].tolist()
+    groups = [text_of[i : j - 1] for i, j in zip([0, *stop[:-1]], stop, strict=True)]
+    per = lambda ends: np.diff(np.append(0, np.searchsorted(ends, edge, "right")))
+    return Aligned(np.ones(len(segments), bool), per(a_end), per(b_end), groups, np.diff(np.append(-1, last)), a[a_at] * t.n_b + b[b_at])
+
+
+def _joined(parts: list[Aligned]) -> Aligned:
+    every = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Aligned(every("exact"), every("n_a"), every("n_b"), [g for p in parts for g in p.groups], every("n_links"), every("links"))
+
+
+def _runs(segments: list[str], t: Tokenizers, quick: bool) -> Aligned:
+    """Segments that may stand in one text: all at once, or in halves down to the ones that a tokenizer does not give back."""
+    zero = np.zeros(len(segments), np.int64)
+    if not segments:
+        return Aligned(zero.astype(bool), zero, zero, [], zero, zero)
+    if (got := _one_run(segments, t, quick)) is not None:
+        return got
+    if len(segments) == 1:
+        return Aligned(zero.astype(bool), zero, zero, [b""], zero, zero[:0])
+    half = len(segments) // 2
+    return _joined([_runs(segments[:half], t, quick), _runs(segments[half:], t, quick)])
+
+
+def align(segments: list[str], t: Tokenizers) -> tuple[list[str], Aligned]:
+    """The segments, in another order, each with a blank before it for A (B adds its own), in the tokens of both, cut where both end together."""
+    usual, other, alone = [], [], []
+    for s in segments:
+        if not t.cuts or not s or s[0].isspace() or s[-1].isspace():
+            alone.append(s)
+        elif len(s) <= USUAL and max(s) < "\u0530":  # scripts whose classes of characters do not hang on the version of a table
+            usual.append(s)
+        else:
+            other.append(s)
+    return usual + other + alone, _joined([_runs(usual, t, True), _runs(other, t, False), *[_runs([s], t, False) for s in alone]])
 
 
 class Memo:
-    """Aligned segments that a worker remembers; it forgets all when they get too many."""
+    """Segments that a worker has aligned and remembers; it forgets all when they get too many."""
 
     def __init__(self, t: Tokenizers):
-        self.t, self.at, self.held, self.bytes = t, {}, [], 0
+        self.t = t
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.at, self.held, self.bytes = {}, Aligned(none.astype(bool), none, none, [], none, none), 0
 
     def places(self, texts: list[str]) -> list[list[int]]:
         """For each text the places in ``held`` of its segments."""
-        if len(self.held) > HELD_SEGMENTS or self.bytes > HELD_BYTES:
-            self.at, self.held, self.bytes = {}, [], 0
+        if len(self.at) > HELD_SEGMENTS or self.bytes > HELD_BYTES:
+            self.forget()
         cut = [_between.split(s) if self.t.cuts else [s] for s in texts]
         new = list(dict.fromkeys(s for own in cut for s in own if s not in self.at))
-        for s, one in zip(new, align(new, self.t), strict=True):
-            self.at[s] = len(self.held)
-            self.held.append(one)
-            self.bytes += 8 * len(s) + one.links.nbytes
-        return [[self.at[s] for s in own] for own in cut]
+        if new:
+            order, more = align(new, self.t)
+            self.at.update(zip(order, range(len(self.at), len(self.at) + len(order)), strict=True))
+            self.held = _joined([self.held, more])
+            self.bytes += sum(map(len, more.groups)) + more.links.nbytes
+        at = self.at
+        return [[at[s] for s in own] for own in cut]
 
 
 def aligned_texts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -125,23 +183,20 @@ def aligned_texts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
         memo = Memo(t)
         for rows, raw in text.chunks(batches):
             places = memo.places([x.decode() for x in raw])
-            usable = [bool(x) and all(memo.held[i].exact for i in own) for x, own in zip(raw, places, strict=True)]
-            places = [own if good else [] for own, good in zip(places, usable, strict=True)]
-            groups = [b";".join([memo.held[i].groups for i in own]) for own in places]
+            held = memo.held
             size = np.fromiter(map(len, places), np.int64, len(places))
-            flat = np.fromiter((i for own in places for i in own), np.int64, int(size.sum()))
-            some, at = np.unique(flat, return_inverse=True)
-            doc = np.repeat(np.arange(len(places)), size)
-            held = [memo.held[i] for i in some.tolist()]
-            n_a, n_b = (np.bincount(doc, np.array(v, np.float64)[at] if held else None, len(places)).astype(np.int64) for v in ([h.n_a for h in held], [h.n_b for h in held]))
-            n_links = np.array([len(h.links) for h in held], np.int64)
-            links, begin = (np.concatenate([h.links for h in held]), np.cumsum(n_links) - n_links) if held else (np.zeros(0, np.int64), n_links)
-            many = n_links[at]
-            place = np.repeat(begin[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            flat, doc = np.fromiter((i for own in places for i in own), np.int64, int(size.sum())), np.repeat(np.arange(len(places)), size)
+            usable = np.array([bool(x) for x in raw]) & (np.bincount(doc, ~held.exact[flat], len(places)) == 0)
+            groups = [";".join([held.groups[i].decode() for i in own]) if good else "" for own, good in zip(places, usable, strict=True)]
+            flat, doc = flat[usable[doc]], doc[usable[doc]]
+            n_a, n_b = (np.bincount(doc, n[flat], len(places)).astype(np.int64) for n in (held.n_a, held.n_b))
+            many, begin = held.n_links[flat], (np.cumsum(held.n_links) - held.n_links)[flat]
+            place = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            links = held.links
             d, pair, times = text.counted(np.repeat(doc, many), links[place])
             edge = pa.array(np.searchsorted(d, np.arange(len(places) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(n_a), pa.array(n_b), pa.array([g.decode() for g in groups], pa.string()), pa.ListArray.from_arrays(edge, pa.array(pair)), pa.ListArray.from_arrays(edge, pa.array(times))],
+                [rows.column(0), rows.column(1), pa.array(n_a), pa.array(n_b), pa.array(groups, pa.string()), pa.ListArray.from_arrays(edge, pa.array(pair)), pa.ListArray.from_arrays(edge, pa.array(times))],
                 ["node", "copies", "n_a", "n_b", "groups", "pairs", "times"])
 
     return texts.select("node", "copies", "text").mapInArrow(run, "node binary, copies long, n_a long, n_b long, groups string, pairs array<long>, times array<long>")

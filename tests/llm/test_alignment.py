@@ -76,8 +76,20 @@ def test_memory_is_given_up(monkeypatch):
     monkeypatch.setattr(al, "HELD_SEGMENTS", 3)
     memo = al.Memo(al.tokenizers(A, B))
     for t in ("one two three four five", "six one two", "one seven"):
-        got = [memo.held[i].groups for i in memo.places([t])[0]]
-        assert b";".join(got) == al.align([t], memo.t)[0].groups
+        got = [memo.held.groups[i] for i in memo.places([t])[0]]
+        assert b";".join(got) == al._runs([t], memo.t, False).groups[0]
+
+
+def test_quick_encoder_is_the_same():
+    """Over random usual characters both encoders of A agree."""
+    rng = random.Random(8)
+    t = al.tokenizers(A, B)
+    assert t.quick and t.cuts
+    for _ in range(3_000):
+        s = "".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(1, 0x530)])) for _ in range(rng.randint(1, 30)))
+        s = "".join(s.split(" "))
+        if s and not s[0].isspace() and not s[-1].isspace():
+            assert t.encode_a(" " + s, True) == t.encode_a(" " + s, False), ascii(s)
 
 
 def test_query(spark, tmp_path):

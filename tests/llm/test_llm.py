@@ -232,15 +232,32 @@ def test_shortened_copies_are_as_in_brute_force(spark):
     assert [got[i]["class_id"] for i in range(len(texts))] == want
 
 
-def test_tiles_hold_every_pair_of_roots(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "TILE", 7)
-    rows = [(b, bytes([b, i]), bytes([9 if i < 30 else i])) for b in range(3) for i in range(50)]
-    tiles: dict[int, list] = {}
-    for r in neardup._tiled(spark.createDataFrame(rows, "bucket long, node binary, root binary")).collect():
-        tiles.setdefault(r["tile"], []).append(r)
-    met = {frozenset((bytes(x["node"]), bytes(y["node"]))) for t in tiles.values() for x in t for y in t if x["second"] != y["second"] or len({z["second"] for z in t}) == 1}
-    assert all(frozenset((a, b)) in met for i, a, x in rows for j, b, y in rows if i == j and x != y)
-    assert max(map(len, tiles.values())) < 40
+def test_likely_partners_of_other_roots(spark):
+    """Members meet the leaders of other roots that agree enough, the best first, and never their own root."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, neardup.FINE).astype(np.uint8)
+    rows, sign = [], {}
+    for i in range(200):
+        own = base.copy()
+        changed = rng.choice(neardup.FINE, int(rng.integers(0, 200)), replace=False)
+        own[changed] = rng.integers(0, 256, len(changed))
+        sign[bytes([i])] = own
+        rows.append((i % 3, bytes([i]), bytes([i % 7]), own.tobytes()))
+    root = {r[1]: r[2] for r in rows}
+    got = [(bytes(r["a"]), bytes(r["b"]), r["agree"]) for r in neardup.likely_partners(spark.createDataFrame(rows, "bucket long, node binary, root binary, sign binary"), 0.8).collect()]
+    assert got and all(root[a] != root[b] and a[0] % 3 == b[0] % 3 and n == (sign[a] == sign[b]).sum() for a, b, n in got)
+    assert max(Counter(b for _, b, _ in got).values()) == neardup.TRIES
+
+
+@pytest.mark.parametrize("copies", [4_000])
+def test_recall_in_large_groups(spark, copies):
+    """Links of a large group of shortened copies that join the same class, against all pairs at exactly 0.8."""
+    texts = shortened(12, 1, copies)
+    want = brute_classes(texts)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "sds_id long, text string")))
+    right = sum(got[i]["class_id"] == w for i, w in enumerate(want))
+    print(f"recall {copies}: {right / len(want):.4f} of texts in their class, {len(set(want))} classes, {len({r['class_id'] for r in got.values()})} found")
+    assert right >= 0.9 * len(want)
 
 
 def test_probability_jaccard():
