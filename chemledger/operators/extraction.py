@@ -118,17 +118,31 @@ def context_lines(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("next_line", F.lead("line").over(Window.partitionBy("source_id", "page_no", "context").orderBy("line_no")))
 
 
-def bound_value(binding: Column, raw: Column) -> Column:
-    """What a binding reads from the text after the label; null where it reads nothing."""
+def reads(binding: str, raw: Column) -> Column:
+    """What one binding reads from the text after the label; null where it reads nothing."""
     token = lambda shape: F.when(raw.rlike(rf"^{shape}(?=\s|$)"), F.regexp_extract(raw, rf"^({shape})", 1))
     day = lambda d: d.cast("string")
-    current = F.trim(F.split(raw, r"(?iU)\s+Data poprzedniego\b", 2).getItem(0))
-    previous = F.when(raw.rlike(r"(?iU)\bData poprzedniego"), F.regexp_extract(raw, r"(?iU)\bData poprzedniego(?: wydania)?\s*:\s*(\d{1,2}/\d{1,2}/\d{4})", 1))
-    named = F.when(current.rlike(r"^\d{1,2},\s*\p{L}+,\s*\d{4}$"), fn.month_name_date(F.regexp_replace(current, r",\s*", " ")))
-    dotted = F.when(raw.rlike(r"^\d{2}\.\d{2}\.\d{4}(?:Wersja\s+\d+(?:\.\d+)?)?$"), fn.dotted_date(F.substring(raw, F.lit(1), F.lit(10))))
-    return (F.when(binding == "version", token(r"[0-9]+(?:\.[0-9]+)?(?:/PL)?")).when(binding == "iso_slash_date", day(F.coalesce(fn.slash_iso_date(raw), dotted)))
-            .when(binding == "dmy_current_date", day(F.coalesce(fn.iso_date(token(r"\d{4}-\d{2}-\d{2}")), fn.dotted_date(token(r"\d{2}\.\d{2}\.\d{4}")), fn.slash_date(token(r"\d{2}/\d{2}/\d{4}")))))
-            .when(binding == "polish_current_date", day(F.coalesce(named, fn.ambiguous_slash_date(current, previous)))).otherwise(F.when(raw != "", raw)))
+    if binding == "version":
+        return token(r"[0-9]+(?:\.[0-9]+)?(?:/PL)?")
+    if binding == "iso_slash_date":
+        dotted = F.when(raw.rlike(r"^\d{2}\.\d{2}\.\d{4}(?:Wersja\s+\d+(?:\.\d+)?)?$"), fn.dotted_date(F.substring(raw, F.lit(1), F.lit(10))))
+        return day(F.coalesce(fn.slash_iso_date(raw), dotted))
+    if binding == "dmy_current_date":
+        return day(F.coalesce(fn.iso_date(token(r"\d{4}-\d{2}-\d{2}")), fn.dotted_date(token(r"\d{2}\.\d{2}\.\d{4}")), fn.slash_date(token(r"\d{2}/\d{2}/\d{4}"))))
+    if binding == "polish_current_date":
+        current = F.trim(F.split(raw, r"(?iU)\s+Data poprzedniego\b", 2).getItem(0))
+        previous = F.when(raw.rlike(r"(?iU)\bData poprzedniego"), F.regexp_extract(raw, r"(?iU)\bData poprzedniego(?: wydania)?\s*:\s*(\d{1,2}/\d{1,2}/\d{4})", 1))
+        named = F.when(current.rlike(r"^\d{1,2},\s*\p{L}+,\s*\d{4}$"), fn.month_name_date(F.regexp_replace(current, r",\s*", " ")))
+        return day(F.coalesce(named, fn.ambiguous_slash_date(current, previous)))
+    return F.when(raw != "", raw)
+
+
+def bound_value(binding: Column, raw: Column) -> Column:
+    """``reads`` for a binding that differs from row to row."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name in ("version", "iso_slash_date", "dmy_current_date", "polish_current_date"):
+        out = out.when(binding == name, reads(name, raw))
+    return out.otherwise(reads("same_line", raw))
 
 
 def rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
