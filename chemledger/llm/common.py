@@ -43,9 +43,11 @@ def sds_texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or one of our own where that is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sds-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -24,15 +24,30 @@ _POSITION_BITS = 28
 def anchored(data: np.ndarray, at: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the windows of joined texts: (position, first window, last window), windows by their first byte.
 
-    A window's anchor is, of the places where a seed fits into it, the one whose next eight bytes hash least, the rightmost of equals.
+    A window's anchor is, of the places where a seed fits into it, the one whose next eight bytes hash least, the rightmost of equals. Longer texts than a
+    position has bits for are read in parts that share window - 1 bytes; windows of one anchor that a cut divides are put together again.
     """
+    if len(data) < 1 << _POSITION_BITS:
+        return _anchored(data, at, window, seed)
+    step, parts = (1 << _POSITION_BITS) - window - 1, []
+    for begin, end in zip(at[:-1].tolist(), (at[1:] - 1).tolist(), strict=True):
+        for a in range(begin, max(begin + 1, end - window + 1), step):
+            piece = data[a : min(a + step + window - 1, end)]
+            got = _anchored(np.append(piece, np.uint8(0x20)), np.array([0, len(piece) + 1]), window, seed)
+            parts.append([x + a for x in got])
+    place, first, last = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    if not len(place):
+        return place, first, last
+    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (first[1:] != last[:-1] + 1)))
+    return place[new], first[new], last[np.append(new[1:], len(place)) - 1]
+
+
+def _anchored(data: np.ndarray, at: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     size, wide = np.diff(at) - 1, window - seed + 1
     count = np.maximum(size - window + 1, 0)
     if not count.any():
         return none, none, none
-    if len(data) >= 1 << _POSITION_BITS:
-        raise ValueError("a text is too long")
     start = np.arange(int(count.sum())) + np.repeat(at[:-1] - (np.cumsum(count) - count), count)
     words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
     low = np.uint64((1 << _POSITION_BITS) - 1)

@@ -260,6 +260,17 @@ def test_recall_in_large_groups(spark, copies):
     assert right >= 0.9 * len(want)
 
 
+def test_long_texts_are_anchored_in_parts(monkeypatch):
+    """Anchors do not hang on where a text longer than a position's bits is cut."""
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (5_000, 0, 230, 150, 1_300)] + [b"x" * 2_000]
+    data, at = suffixes.text.joined(texts)
+    whole = suffixes.anchored(data, at)
+    for bits in (9, 10, 12):
+        monkeypatch.setattr(suffixes, "_POSITION_BITS", bits)
+        assert all((a == b).all() for a, b in zip(suffixes.anchored(data, at), whole, strict=True))
+
+
 def test_probability_jaccard():
     one, other = [b"a b c d e f g h i j", b"a b c d e a b c d e", b"", b"x"], [b"a b c d e f g h i k", b"a b c d e", b"", b"x"]
     shared = 5 / 7
