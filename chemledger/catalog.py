@@ -9,7 +9,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chemledger import catalog_batches, schemas  # noqa: F401 - registers its queries
+from chemledger import catalog_batches, catalog_sheets, schemas  # noqa: F401 - the first two register their queries
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
 from chemledger.operators import audits, batch, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions

@@ -235,6 +235,34 @@ FROM orders JOIN b_products p ON p.product_id = o_custkey JOIN b_manufacturers m
 SELECT CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS STRING)) AS request_id, l_orderkey % 89 AS seq, o_custkey AS product_id, CAST(o_custkey % 90 + l_linenumber % 2 AS BIGINT) AS location_id,
  CAST(CASE WHEN l_linenumber = 4 THEN -1 ELSE l_orderkey % 50 END AS DECIMAL(18,6)) AS peak_quantity_value, CASE WHEN l_orderkey % 9 = 0 THEN 'O' ELSE 'F' END AS peak_quantity_unit_id, CAST(NULL AS DECIMAL(18,6)) AS monthly_consumption_value,
  CAST(NULL AS STRING) AS monthly_consumption_unit_id, o_orderdate AS at FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "b_layout_orders": """
+SELECT o_orderkey AS source_id, o_orderkey % 16 AS v, CAST(o_orderkey % 7 AS STRING) AS k, c_name AS name, c_mktsegment AS seg, CAST(o_custkey AS STRING) AS cust, CONCAT(LPAD(CAST(DAY(o_orderdate) AS STRING), 2, '0'), '.', LPAD(CAST(MONTH(o_orderdate) AS STRING), 2, '0'), '.', CAST(YEAR(o_orderdate) AS STRING)) AS dotted, CONCAT(CAST(YEAR(o_orderdate) AS STRING), '-', LPAD(CAST(MONTH(o_orderdate) AS STRING), 2, '0'), '-', LPAD(CAST(DAY(o_orderdate) AS STRING), 2, '0')) AS day
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "b_layout_pages": """
+SELECT source_id, 1 AS page_no, CASE
+ WHEN v = 5 THEN CONCAT('Safety data sheet', CHR(10), 'Revision: ', dotted, 'Version ', k, CHR(10), 'SECTION 1: I', CHR(10), '1.1 X')
+ WHEN v = 6 THEN CONCAT('SEKCJA 1: I', CHR(10), '- 1.3 Szczegóły', CHR(10), '- Producent/Dostawcy:', CHR(10), CHR(10), seg, '     Tel', CHR(10), 'SEKCJA 2: Z')
+ WHEN v = 14 THEN CONCAT('SEKCJA 1: I', CHR(10), '1.1 Identyfikator produktu', CHR(10), 'Nazwa handlowa:', CHR(10), name, CHR(10), 'SEKCJA 2: Z')
+ ELSE CONCAT(
+  CASE v WHEN 0 THEN CONCAT('karta charakterystyki', CHR(10), 'KC Numer: ', cust, CHR(10), 'V1.', k) WHEN 1 THEN CONCAT('Edycja    Data wydania    Data aktualizacji', CHR(10), '00', k, '    01.02.2003    ', dotted)
+   WHEN 8 THEN CONCAT('karta charakterystyki', CHR(10), 'Data aktualizacji: ', day, CHR(10), 'Wydanie ', k) WHEN 9 THEN CONCAT('Data sporządzenia/aktualizacji: 01.02.2003 r. (1) ', dotted, ' r. (2)')
+   WHEN 10 THEN CONCAT('karta charakterystyki', CHR(10), 'Data opracowania:', CHR(10), dotted, CHR(10), 'Data aktualizacji: -', CHR(10), 'Wersja 1.0') ELSE 'x' END,
+  CHR(10), 'SEKCJA 1: I', CHR(10), '1.1 Identyfikator', CHR(10),
+  CASE v WHEN 7 THEN CONCAT('- Nazwa handlowa: ', name, CHR(10), '- Numer artykułu: 12-', cust) WHEN 13 THEN CONCAT('Numery identyfikacyjne produktu', CHR(10), 'A-1 B-', cust, CHR(10), 'opis') ELSE '' END,
+  CHR(10), '1.3 Dane dotyczące dostawcy karty charakterystyki', CHR(10),
+  CASE v WHEN 2 THEN CONCAT('Producent', CHR(10), 'Nazwa lub nazwa handlowa   ', seg, CHR(10), '                           GmbH', CHR(10), 'Droga') WHEN 3 THEN CONCAT('Dostawca      Dystrybutor', CHR(10), seg, '      Inny')
+   WHEN 11 THEN CONCAT('Dostawca:', CHR(10), seg, ' Sp. z o. o.') WHEN 12 THEN CONCAT('- Identyfikacja dystrybutora:', CHR(10), seg, ' GmbH', CHR(10), 'Droga', CHR(10), CHR(10), 'Inny', CHR(10), 'Dom') WHEN 15 THEN CONCAT('Adres: ', seg, ', ul. Długa 5') ELSE '' END,
+  CHR(10), 'SEKCJA 2: Z', CHR(10), CASE v WHEN 4 THEN CONCAT('Data sporządzenia: 01.01.2001 Aktualizacja: ', dotted, ' Wersja: ', k, '.0 (zastępuje 1.0) Strona 1/9') ELSE 'koniec' END) END AS text FROM b_layout_orders""",
+    "b_drafts": """
+SELECT o_orderkey AS source_id, CASE o_orderkey % 12 WHEN 1 THEN REPLACE(good, '"schema_version": "0.1"', '"schema_version": "9"') WHEN 2 THEN REPLACE(good, '"page_count": 2', '"page_count": "2"') WHEN 3 THEN REPLACE(good, '"state": "FOUND", "evidence": [{"page": 1, "source_text": "n"}]', '"state": "MAYBE", "evidence": []')
+  WHEN 4 THEN REPLACE(good, '{"page": 1, "source_text": "n"}', '{"page": 0, "source_text": " "}') WHEN 5 THEN REPLACE(good, '1995-01-31', '1995-02-31') WHEN 6 THEN REPLACE(good, '"role": "MANUFACTURER"', '"role": "FRIEND"') WHEN 7 THEN REPLACE(good, '"from": 2, "to": 2', '"from": 2, "to": 9')
+  WHEN 8 THEN REPLACE(good, '"document_key": "DOC-002"', '"document_key": "DOC-001"') WHEN 9 THEN REPLACE(good, '"review_status": "PENDING_REVIEW"', '"review_status": "APPROVED"') WHEN 10 THEN '{"documents": []}' WHEN 11 THEN CONCAT('[', good, ']') ELSE good END AS body
+FROM (SELECT o_orderkey, CONCAT('{"schema": "SDS-JSON-001", "schema_version": "0.1", "source": {"original_filename": "', c_name, '", "file_sha256": "', MD5(c_name), MD5(c_name), '", "page_count": 2, "language": "pl", "readability_status": "READABLE"}, "documents": [', doc, ', ',
+  REPLACE(REPLACE(doc, 'DOC-001', 'DOC-002'), '"from": 1, "to": 1', '"from": 2, "to": 2'), '], "extraction_report": {"logical_sds_count": 2, "warnings": [], "errors": []}}') AS good
+ FROM (SELECT o_orderkey, c_name, CONCAT('{"document_key": "DOC-001", "page_range": {"from": 1, "to": 1}, "review_status": "PENDING_REVIEW", "product": {"product_name": {"value": "', c_name, '", "state": "FOUND", "evidence": [{"page": 1, "source_text": "n"}]}, ',
+   '"manufacturer_product_code": {"value": null, "state": "NOT_FOUND", "evidence": []}}, "document_metadata": {"issue_date": {"value": "1995-01-31", "state": "FOUND", "evidence": [{"page": 1, "source_text": "d"}]}, "revision": {"value": "1", "state": "FOUND", "evidence": [{"page": 1, "source_text": "r"}]}}, ',
+   '"parties": [{"role": "MANUFACTURER", "name": {"value": "Alfa", "state": "FOUND", "evidence": [{"page": 1, "source_text": "p"}]}}], "safety_profile": {}, "components": [], "validation": {"status": "REQUIRES_HUMAN_REVIEW", "issues": []}}') AS doc
+  FROM orders JOIN customer ON o_custkey = c_custkey) t) u""",
     "b_safety_pages": """
 SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('SEKCJA 1: X', CHR(10), 'H999', CHR(10), 'SEKCJA 2: ZAGROŻENIA', CHR(10), 'Definicja produktu: Mieszanina ', CAST(o_custkey AS STRING), CHR(10), 'Klasyfikacja CLP: ', o_orderpriority, CHR(10),
  CASE WHEN o_orderkey % 3 = 0 THEN 'Produkt nie został sklasyfikowany' ELSE CONCAT('Hasło ostrzegawcze: Uwaga', CHR(10), 'H225 H', CAST(300 + o_orderkey % 100 AS STRING), ' H225') END) AS text FROM orders

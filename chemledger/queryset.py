@@ -18,6 +18,8 @@ def query(name: str, sql: str | None) -> Callable[[Query], Query]:
     """Register a query under ``name``; ``sql`` is None where SQL cannot say it."""
 
     def add(build: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = build
         if sql is not None:
             SQL[name] = sql
