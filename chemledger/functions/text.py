@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Evidence types by suffix, and Polish month names without diacritics, in both grammatical cases and short.
+# Evidence types by suffix, and Polish month names without diacritics, in both grammatical cases, and the one short form.
 EVIDENCE_TYPES = {".msg": "EMAIL", ".pdf": "DOCUMENT", ".jpg": "PHOTO_SCAN", ".jpeg": "PHOTO_SCAN", ".png": "PHOTO_SCAN"}
 MONTHS = (
-    ("stycznia", "styczen", "sty"), ("lutego", "luty", "lut"), ("marca", "marzec", "mar"), ("kwietnia", "kwiecien", "kwi"), ("maja", "maj"), ("czerwca", "czerwiec", "cze"),
-    ("lipca", "lipiec", "lip"), ("sierpnia", "sierpien", "sie"), ("wrzesnia", "wrzesien", "wrz"), ("pazdziernika", "pazdziernik", "paz"), ("listopada", "listopad", "lis"), ("grudnia", "grudzien", "gru"),
+    ("stycznia", "styczen"), ("lutego", "luty"), ("marca", "marzec"), ("kwietnia", "kwiecien"), ("maja", "maj"), ("czerwca", "czerwiec", "cze"),
+    ("lipca", "lipiec"), ("sierpnia", "sierpien"), ("wrzesnia", "wrzesien"), ("pazdziernika", "pazdziernik"), ("listopada", "listopad"), ("grudnia", "grudzien"),
 )
 DIACRITICS, PLAIN = "ąćęłńóśźż", "acelnoszz"
 
