@@ -156,6 +156,33 @@ def folded_corrections_rejected(reg):
     return corrected(reg).rejected
 
 
+BOTH = CORRECTED.replace("b_many_corrections", "sound").replace("RECURSIVE makers", """RECURSIVE plain AS (SELECT r.*, CASE WHEN TRIM(r.relative_path) = '' THEN 'SOURCE_PATH_REQUIRED' WHEN r.sds_id IN (SELECT sds_id FROM b_sds_documents) THEN 'SDS_ID_TAKEN' END AS bad FROM b_many_both r),
+judged AS (SELECT plain.*, CASE WHEN bad IS NOT NULL THEN bad WHEN ROW_NUMBER() OVER (PARTITION BY sds_id, bad IS NULL ORDER BY seq, request_id) > 1 THEN 'SDS_ID_TAKEN' END AS unsound FROM plain),
+sound AS (SELECT * FROM judged WHERE unsound IS NULL),
+makers""") + """, done AS (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.product_id ORDER BY r.seq DESC, r.request_id DESC) AS back FROM sound r JOIN steps s ON s.request_id = r.request_id WHERE s.why IS NULL)"""
+
+
+def corrected_and_registered(reg):
+    return registration.correct_and_register(reg.products, reg.manufacturers_twice, reg.sds_documents, reg.many_both)
+
+
+@query("corrected_revisions_documents", f"""WITH {BOTH} SELECT sds_id, product_id, CASE WHEN document_status = 'CURRENT' AND product_id IN (SELECT product_id FROM done) THEN 'ARCHIVED' ELSE document_status END AS document_status FROM b_sds_documents
+ UNION ALL SELECT sds_id, product_id, CASE WHEN back = 1 THEN 'CURRENT' ELSE 'ARCHIVED' END FROM done""")
+def corrected_revisions_documents(reg):
+    return corrected_and_registered(reg).tables["sds_documents"].select("sds_id", "product_id", "document_status")
+
+
+@query("corrected_revisions_products", f"""WITH {BOTH} SELECT p.product_id, l.product_name, p.usage_status FROM (SELECT product_id, CASE WHEN product_id IN (SELECT product_id FROM done) THEN 'PENDING_APPROVAL' ELSE usage_status END AS usage_status FROM b_products) p
+ JOIN (SELECT product_id, MAX_BY(name, k) AS product_name FROM steps GROUP BY product_id) l ON l.product_id = p.product_id""")
+def corrected_revisions_products(reg):
+    return corrected_and_registered(reg).tables["products"].select("product_id", "product_name", "usage_status")
+
+
+@query("corrected_revisions_rejected", f"WITH {BOTH} SELECT request_id, unsound AS reason FROM judged WHERE unsound IS NOT NULL UNION ALL SELECT request_id, why FROM steps WHERE k > 0 AND why IS NOT NULL")
+def corrected_revisions_rejected(reg):
+    return corrected_and_registered(reg).rejected
+
+
 def quantity_sql(new: bool) -> str:
     late = "WHEN t.product_id IS NOT NULL THEN 'ALREADY_ASSIGNED'" if new else "WHEN t.product_id IS NULL THEN 'ASSIGNMENT_NOT_FOUND'"
     place = "WHEN l.location_id IS NULL THEN 'LOCATION_NOT_FOUND' WHEN l.status <> 'ACTIVE' THEN 'LOCATION_INACTIVE'" if new else ""

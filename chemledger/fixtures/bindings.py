@@ -231,6 +231,8 @@ SELECT o_orderkey * 10 + 8 AS request_id, o_orderkey % 89 AS seq, o_custkey AS p
  CASE WHEN o_orderkey % 17 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 7 = 0 THEN 'X' ELSE p.manufacturer_product_code END AS code,
  CASE o_orderkey % 5 WHEN 1 THEN 'Newcomer' WHEN 2 THEN 'Twice' ELSE m.manufacturer_name END AS manufacturer_name, o_orderdate AS at
 FROM orders JOIN b_products p ON p.product_id = o_custkey JOIN b_manufacturers m ON m.manufacturer_id = p.manufacturer_id""",
+    "b_many_both": """
+SELECT c.*, r.sds_id, r.original_filename, r.relative_path, r.issue_date, r.revision FROM b_many_corrections c JOIN b_many_revisions r ON r.request_id = c.request_id - 7""",
     "b_many_quantities": """
 SELECT CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS STRING)) AS request_id, l_orderkey % 89 AS seq, o_custkey AS product_id, CAST(o_custkey % 90 + l_linenumber % 2 AS BIGINT) AS location_id,
  CAST(CASE WHEN l_linenumber = 4 THEN -1 ELSE l_orderkey % 50 END AS DECIMAL(18,6)) AS peak_quantity_value, CASE WHEN l_orderkey % 9 = 0 THEN 'O' ELSE 'F' END AS peak_quantity_unit_id, CAST(NULL AS DECIMAL(18,6)) AS monthly_consumption_value,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chemledger.functions.text import location_code
-from chemledger.operators.transitions import Outcome, _split, last_of, turn, turn_columns
+from chemledger.operators.transitions import Outcome, _split, last_of, register_revisions, turn, turn_columns
 
 
 def new_id(*parts: str) -> Column:
@@ -68,6 +68,21 @@ def correct_identities(products: DataFrame, manufacturers: DataFrame, requests:
     return Outcome({"products": rows, "manufacturers": makers}, _changes(accepted, "CORRECTION"), rejected)
 
 
+def correct_and_register(products: DataFrame, manufacturers: DataFrame, documents: DataFrame, requests: DataFrame) -> Outcome:
+    """A correction of a product's identity and the revision that shows it, together or not at all: no product is corrected whose revision is refused, and the other way round.
+
+    ``requests``: the columns of ``correct_identities`` and of ``register_revisions``; both take effect in order. A sound revision holds its ``sds_id`` against
+    later requests even if its correction is refused. The history rows are those of the revisions; the audit of the corrections is among the tables.
+    """
+    rejected = register_revisions(products, documents, requests).rejected
+    sound = requests.join(rejected.select("request_id"), "request_id", "left_anti")
+    corrected = correct_identities(products, manufacturers, sound)
+    both = sound.join(corrected.rejected.select("request_id"), "request_id", "left_anti")
+    revised = register_revisions(corrected.tables["products"], documents, both)
+    tables = {**corrected.tables, **revised.tables, "product_identity_changes": corrected.history}
+    return Outcome(tables, revised.history, rejected.unionByName(corrected.rejected))
+
+
 def resolve_or_create(products: DataFrame, manufacturers: DataFrame, requests: DataFrame) -> DataFrame:
     """The manufacturer and product each request means: ``manufacturer_id`` and ``product_id`` with LINKED or CREATED, or a rejection where the manufacturer's name is not unique.
 

@@ -106,3 +106,13 @@ def test_many_requests_for_one_entity(spark, products):
     out = transitions.update_administrative(products, requests)
     assert rows_of(out.tables["products"], "product_id", "use_description") == [("p1", "4999"), ("p2", "u"), ("p3", "u")]
     assert out.history.count() == 5_000
+
+
+def test_correction_and_revision_together(spark, products, documents):
+    makers = spark.createDataFrame([("m", "M")], "manufacturer_id string, manufacturer_name string")
+    rows = [("1", "p1", "A", "c", "M", T0, "n1", "f", "a/f.pdf", dt.date(2024, 1, 1), "1"), ("2", "p1", "B", "c", "M", T0, "n2", "f", " ", dt.date(2024, 1, 1), "1"), ("3", "p2", "name p2", "c", "M", T0, "n3", "f", "a/f.pdf", dt.date(2024, 1, 1), "1"),
+            ("4", "p1", "D", "c", "M", T0, "n1", "f", "a/f.pdf", dt.date(2024, 1, 1), "1")]
+    out = registration.correct_and_register(products, makers, documents, spark.createDataFrame(rows, "request_id string, product_id string, product_name string, code string, manufacturer_name string, at timestamp_ntz, sds_id string, original_filename string, relative_path string, issue_date date, revision string"))
+    assert rows_of(out.rejected, "request_id", "reason") == [("2", "SOURCE_PATH_REQUIRED"), ("3", "NO_CHANGE"), ("4", "SDS_ID_TAKEN")]
+    assert rows_of(out.tables["products"], "product_id", "product_name", "usage_status") == [("p1", "A", "PENDING_APPROVAL"), ("p2", "name p2", "ACTIVE"), ("p3", "name p3", "ACTIVE")]
+    assert rows_of(out.tables["sds_documents"].where("document_status = 'CURRENT'"), "sds_id") == [("n1",), ("p2-0",), ("p3-0",)] and out.history.count() == 1 and out.tables["product_identity_changes"].count() == 1
