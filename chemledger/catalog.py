@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chemledger import catalog_batches, catalog_sheets, schemas  # noqa: F401 - the first two register their queries
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
-from chemledger.operators import audits, batch, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
+from chemledger.operators import approvals, audits, batch, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
 from chemledger.queryset import QUERIES, SQL, joined, query
 
 HERE = facts.Filters(dt.date(1994, 1, 1), dt.date(1996, 12, 31), location_id=5)
@@ -1340,6 +1340,47 @@ def frozen_decisions(reg):
     return batch.frozen_check(reg.frozen, plans, reg.makers, identity.manufacturer_candidates(names, reg.makers), reg.goods)
 
 
+# --- approval of decisions
+
+APPROVED_SQL = f"""plans AS ({{plan}}), snaps AS (SELECT DISTINCT manufacturer_name AS name FROM b_decisions WHERE manufacturer_name IS NOT NULL),
+hits AS (SELECT s.name, m.manufacturer_id AS id, m.manufacturer_name AS called, CASE WHEN m.manufacturer_name = s.name THEN 0 ELSE 1 END AS rank FROM snaps s JOIN b_makers m ON m.manufacturer_name = s.name OR CONTAINS(LOWER(m.manufacturer_name), LOWER(SPLIT_PART(s.name, ' ', 1)))),
+makers_ AS (SELECT name, STRING_AGG(CAST(id AS VARCHAR) || '=' || called, '; ' ORDER BY rank, id) AS makers, MAX(CASE WHEN rank = 0 THEN 1 END) AS exact FROM hits GROUP BY name),
+goods_ AS (SELECT d.decision_id, STRING_AGG(CAST(g.product_id AS VARCHAR) || '=' || COALESCE(g.manufacturer_product_code, ''), '; ' ORDER BY g.product_id) AS goods FROM b_decisions d JOIN b_goods g ON d.manufacturer_action = 'LINK' AND g.product_name = d.product_name AND g.manufacturer_id = d.manufacturer_id AND (d.product_code IS NULL OR d.product_code = g.manufacturer_product_code) GROUP BY d.decision_id),
+seen AS (SELECT d.*, p.product_name AS planned_name, p.product_code AS planned_code, p.canonical, p.manufacturer_status, p.blockers, m.makers, m.exact, g.goods, (SELECT MIN(h.called) FROM hits h WHERE h.name = d.manufacturer_name AND h.id = d.manufacturer_id) AS called, d.product_id IS NOT NULL AND d.manufacturer_action = 'LINK'
+  AND EXISTS (SELECT 1 FROM b_goods x WHERE x.product_id = d.product_id AND x.product_name = d.product_name AND x.manufacturer_id = d.manufacturer_id) AS product_hit, d.manufacturer_action = 'LINK' AS linked, has_safety OR use_description IS NOT NULL OR use_restriction IS NOT NULL AS manual
+ FROM b_decisions d LEFT JOIN plans p ON p.evidence_id = d.evidence_id LEFT JOIN makers_ m ON m.name = d.manufacturer_name LEFT JOIN goods_ g ON g.decision_id = d.decision_id),
+ruled AS (SELECT seen.*, CASE WHEN manufacturer_status IS NULL OR CONTAINS(blockers, 'EXTRACTION_VALIDATION_BLOCKED') THEN 'INVALID_EVIDENCE_JSON'
+ WHEN manufacturer_action = 'DROP' OR product_name IS DISTINCT FROM planned_name OR product_code IS DISTINCT FROM planned_code OR CONTAINS(blockers, 'MANUFACTURER_PRODUCT_CODE_REQUIRES') OR (manufacturer_status <> 'HUMAN_REVIEW' AND manufacturer_name IS DISTINCT FROM canonical) THEN 'DECISION_DOES_NOT_MATCH_DRY_RUN'
+ WHEN manufacturer_status = 'HUMAN_REVIEW' AND (canonical IS NULL OR TRIM(COALESCE(manufacturer_name, '')) = '') THEN 'MANUFACTURER_REQUIRES_HUMAN_REVIEW' WHEN NOT linked AND (exact IS NOT NULL OR manufacturer_id IS NOT NULL OR seen_name IS NOT NULL) THEN 'DECISION_DOES_NOT_MATCH_DRY_RUN'
+ WHEN linked AND called IS NULL THEN 'LINK_TARGET_NOT_APPROVED' WHEN linked AND NOT link_confirmed THEN 'MANUFACTURER_LINK_CONFIRMATION_REQUIRED' WHEN linked AND seen_name <> called THEN 'STALE_MANUFACTURER_SNAPSHOT'
+ WHEN product_action = 'LINK' AND NOT linked THEN 'PRODUCT_LINK_REQUIRES_MANUFACTURER_LINK' WHEN product_action = 'CREATE' AND (goods IS NOT NULL OR product_id IS NOT NULL) THEN 'DECISION_DOES_NOT_MATCH_DRY_RUN' WHEN product_action = 'LINK' AND NOT product_hit THEN 'LINK_TARGET_NOT_APPROVED'
+ WHEN product_action = 'LINK' AND product_code IS NULL AND NOT null_code_confirmed THEN 'NULL_CODE_LINK_CONFIRMATION_REQUIRED'
+ WHEN TRIM(approved_by) = '' OR NOT manufacturer_confirmed OR (manual AND NOT manual_confirmed) OR (has_safety AND NOT safety_confirmed) THEN 'HUMAN_CONFIRMATION_REQUIRED'
+ WHEN (use_description IS NOT NULL OR has_safety) AND TRIM(COALESCE(use_description, '')) = '' THEN 'PLAN_NOT_READY: use_description' WHEN (use_restriction IS NOT NULL OR has_safety) AND TRIM(COALESCE(use_restriction, '')) = '' THEN 'PLAN_NOT_READY: use_restriction'
+ WHEN CONTAINS(original_filename, '/') OR NOT is_pdf THEN 'PDF_REQUIRED' WHEN NOT has_safety AND pdf_sha256 <> source_sha256 THEN 'PDF_MISMATCH' ELSE 'APPROVED' END AS verdict FROM seen)"""
+
+
+def plan_first(sql: str) -> str:
+    """The oracle of the identity plans as one of the tables of another."""
+    return "WITH " + APPROVED_SQL.replace("{plan}", SQL["identity_plan"]) + " " + sql
+
+
+def approved(reg):
+    return approvals.approvals(reg.decisions, identity.identity_plan(reg.evidence, reg.makers, reg.goods, reg.approved), reg.makers, reg.goods)
+
+
+@query("approvals", plan_first("SELECT decision_id, verdict, CASE WHEN verdict = 'APPROVED' THEN COALESCE(makers, '') END AS makers, CASE WHEN verdict = 'APPROVED' THEN COALESCE(goods, '') END AS goods FROM ruled"))
+def approvals_(reg):
+    listed = lambda c, f: F.array_join(F.transform(c, lambda x: F.concat(x["id"].cast("string"), F.lit("="), F.coalesce(x[f], F.lit("")))), "; ").alias(c)
+    return approved(reg).select("decision_id", "verdict", listed("makers", "name"), listed("goods", "code"))
+
+
+@query("stale_approvals", plan_first("SELECT decision_id, CASE WHEN CONTAINS(makers, 'Works NATION_1 ') OR CONTAINS(makers, '=NATION_7') THEN 'STALE' ELSE 'CURRENT' END AS drift FROM ruled WHERE verdict = 'APPROVED'"))
+def stale_approvals(reg):
+    later = reg.makers.withColumn("manufacturer_name", F.when(F.col("manufacturer_name").startswith("Works NATION_1 ") | (F.col("manufacturer_name") == "NATION_7"), F.concat("manufacturer_name", F.lit(" B"))).otherwise(F.col("manufacturer_name")))
+    return approvals.stale_approvals(approved(reg), reg.decisions, later, reg.goods)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, build=build: build(Registry(spark, sf_dir)) for name, build in QUERIES.items()}
 
