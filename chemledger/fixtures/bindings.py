@@ -258,9 +258,9 @@ SELECT source_id, 1 AS page_no, CASE
     "b_decisions": """
 SELECT e.evidence_id * 10 AS decision_id, e.evidence_id, CASE WHEN e.evidence_id % 47 = 2 THEN 'DROP' WHEN m.id IS NULL THEN 'CREATE' ELSE 'LINK' END AS manufacturer_action, CASE WHEN e.evidence_id % 43 = 2 THEN 'Other' ELSE e.maker END AS manufacturer_name,
  CASE WHEN e.evidence_id % 53 = 2 THEN -1 ELSE m.id END AS manufacturer_id, CASE e.evidence_id % 17 WHEN 2 THEN 'Old name' WHEN 4 THEN m.name END AS seen_name, e.evidence_id % 19 <> 2 AS link_confirmed,
- CASE WHEN e.evidence_id % 59 = 2 THEN 'LINK' WHEN MIN(g.product_id) IS NULL THEN 'CREATE' ELSE 'LINK' END AS product_action, CASE WHEN e.evidence_id % 61 = 2 THEN 'Other' ELSE e.product_name END AS product_name, e.product_code, MIN(g.product_id) AS product_id, e.evidence_id % 4 <> 2 AS null_code_confirmed,
+ CASE WHEN e.evidence_id % 59 = 2 THEN 'LINK' WHEN MIN(g.product_id) IS NULL THEN 'CREATE' ELSE 'LINK' END AS product_action, CASE WHEN e.evidence_id % 61 = 2 THEN 'Other' ELSE e.product_name END AS product_name, e.product_code, MIN(g.product_id) AS product_id, e.evidence_id % 4 <> 1 AS null_code_confirmed,
  CASE WHEN e.evidence_id % 23 = 2 THEN ' ' ELSE 'someone' END AS approved_by, e.evidence_id % 29 <> 2 AS manufacturer_confirmed, TRUE AS product_confirmed, TRUE AS pdf_confirmed, e.evidence_id % 31 <> 2 AS manual_confirmed, e.evidence_id % 37 <> 2 AS safety_confirmed,
- CASE WHEN e.evidence_id % 5 = 2 THEN 'use' WHEN e.evidence_id % 13 = 2 THEN ' ' END AS use_description, CASE WHEN e.evidence_id % 5 = 2 THEN 'limit' END AS use_restriction, e.evidence_id % 11 = 2 AS has_safety,
+ CASE WHEN e.evidence_id % 5 = 2 THEN 'use' WHEN e.evidence_id % 13 = 2 THEN ' ' END AS use_description, CASE WHEN e.evidence_id % 5 = 2 AND e.evidence_id % 7 <> 2 THEN 'limit' END AS use_restriction, e.evidence_id % 11 = 2 AS has_safety,
  CASE WHEN e.evidence_id % 41 = 2 THEN 'a/b.pdf' ELSE 'a.PDF' END AS original_filename, e.evidence_id % 71 <> 2 AS is_pdf, CASE WHEN e.evidence_id % 67 = 2 THEN 'y' ELSE 'x' END AS pdf_sha256, 'a.PDF' AS source_filename, 'x' AS source_sha256
 FROM (SELECT evidence_id, REPLACE(manufacturer, ' AG', '') AS maker, CASE WHEN name_state = 'FOUND' THEN name END AS product_name, CASE WHEN code_state = 'FOUND' THEN code END AS product_code FROM b_evidence) e
 LEFT JOIN (SELECT manufacturer_name AS name, MIN(manufacturer_id) AS id FROM b_makers GROUP BY manufacturer_name) m ON m.name = e.maker
