@@ -17,7 +17,7 @@ SAMPLE, LIST_ROWS, MAX_LISTS = 20_000, 256, 4_096
 REPLICAS, BOUNDARY = 2, 1.05
 DEGREE, BEAM, LEAST_LISTS, PRUNE = 24, 160, 96, 1.25
 TRIALS, RECALL = 64, 0.95
-TOGETHER, PAGE, QUERY_PAGE = 32, 16_384, 1_024
+TOGETHER, PAGE, QUERY_PAGE, PAIRS = 32, 16_384, 1_024, 65_536
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7, rounds: int = 8
 
 @dataclass
 class Graph:
-    """Centroids in memory, each linked to its nearest ones; searched by a beam from spread entry points."""
+    """Centroids in memory, each linked to its nearest ones and to the next in a ring, so that each can be reached; searched by a beam from spread entry points."""
 
     centroids: np.ndarray
     links: np.ndarray
@@ -81,6 +81,7 @@ class Graph:
         np.fill_diagonal(d, np.inf)
         k = max(1, min(degree, len(centroids) - 1))
         links = np.argpartition(d, k - 1, axis=1)[:, :k] if len(centroids) > 1 else np.zeros((1, 1), np.int64)
+        links = np.column_stack([links, (np.arange(len(centroids)) + 1) % len(centroids)])
         entries = [0]
         far = _distances(centroids, centroids[:1])[:, 0]
         while len(entries) < min(16, len(centroids)):  # farthest first, so that no part of the graph is out of reach
@@ -89,38 +90,32 @@ class Graph:
         return Graph(centroids, links, np.array(entries))
 
     def search(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """For each query its nearest lists found, nearest first, with their squared distances; all queries of a batch step together.
+        """For each query its ``beam`` nearest lists found, nearest first, with their squared distances; all queries of a batch step together.
 
-        A beam as wide as the centroids compares them all: on vectors without structure a narrower one misses a quarter of the nearest lists.
+        A step follows the links of the nearest lists not yet followed, a sixteenth of the beam of them; it ends when all of the beam are followed.
         """
         n, c = len(q), len(self.centroids)
         beam = min(beam, c)
-        if beam == c:
-            d = _distances(q, self.centroids)
-            order = np.argsort(d, axis=1, kind="stable")[:, :beam]
-            return order, np.take_along_axis(d, order, axis=1)
-        seen = np.zeros((n, c), bool)
+        stride = max(4, beam // 16)
         done = np.zeros((n, c), bool)
         found = np.full((n, c), np.inf)
         rows = np.arange(n)[:, None]
-        start = np.broadcast_to(self.entries, (n, len(self.entries)))
-        seen[rows, start] = True
         found[:, self.entries] = _distances(q, self.centroids[self.entries])
         while True:
-            best = np.argpartition(found, beam - 1, axis=1)[:, :beam] if beam < c else np.broadcast_to(np.arange(c), (n, c))
+            best = np.argpartition(found, beam - 1, axis=1)[:, :beam]
             value = np.where(done[rows, best], np.inf, found[rows, best])
-            pick = np.take_along_axis(best, np.argsort(value, axis=1)[:, :4], axis=1)
-            open_ = np.isfinite(found[rows, pick]) & ~done[rows, pick]
+            pick = np.argpartition(value, min(stride, beam) - 1, axis=1)[:, :stride]
+            open_ = np.isfinite(np.take_along_axis(value, pick, axis=1))
             if not open_.any():
                 break
-            done[rows, pick] |= open_
-            r, node = np.nonzero(open_)[0], pick[open_]
-            rr, nn = np.repeat(r, self.links.shape[1]), self.links[node].ravel()
-            fresh = ~seen[rr, nn]
-            key = np.unique(rr[fresh] * c + nn[fresh])
-            rr, nn = key // c, key % c
-            seen[rr, nn] = True
-            found[rr, nn] = ((q[rr] - self.centroids[nn]) ** 2).sum(1)
+            row, node = np.nonzero(open_)[0], np.take_along_axis(best, pick, axis=1)[open_]
+            done[row, node] = True
+            fresh = np.zeros((n, c), bool)
+            fresh[row[:, None], self.links[node]] = True
+            row, node = np.nonzero(fresh & np.isinf(found))
+            for at in range(0, len(row), PAIRS):
+                r, m = row[at : at + PAIRS], node[at : at + PAIRS]
+                found[r, m] = ((q[r] - self.centroids[m]) ** 2).sum(1)
         order = np.argsort(found, axis=1, kind="stable")[:, :beam]
         return order, np.take_along_axis(found, order, axis=1)
 
@@ -148,15 +143,15 @@ def posted(vectors: DataFrame, graph: Graph, norm: float, replicas: int = REPLIC
     return vectors.mapInArrow(run, "list int, vec_id long, vector array<double>")
 
 
-def probed(queries: DataFrame, graph: Graph, most: int = LEAST_LISTS, prune: float = PRUNE) -> DataFrame:
-    """``list``, ``vec_id``, ``vector``: each query at the lists within ``prune`` times the distance of the nearest, ``most`` at most."""
+def probed(queries: DataFrame, graph: Graph, most: int = LEAST_LISTS, prune: float = PRUNE, beam: int = BEAM) -> DataFrame:
+    """``list``, ``vec_id``, ``vector``: each query at the lists that the graph finds within ``prune`` times the distance of the nearest, ``most`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.slice(at, 500)
                 x = _rows(part.column(1))
-                near, d = graph.search(np.column_stack([x, np.zeros(len(x))]), len(graph.centroids))
+                near, d = graph.search(np.column_stack([x, np.zeros(len(x))]), beam)
                 near, d = near[:, :most], d[:, :most]
                 i, j = np.nonzero(np.isfinite(d) & ((d <= d[:, :1] * prune**2) | (np.arange(d.shape[1]) == 0)))
                 yield pa.RecordBatch.from_arrays([pa.array(near[i, j].astype(np.int32)), *[c.take(pa.array(i)) for c in part.columns]], ["list", "vec_id", "vector"])
@@ -180,19 +175,17 @@ def block_best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray,
     return q_id[i[nth < k]], v_id[j[nth < k]], score[nth < k]
 
 
-def reach(good: DataFrame, asked: DataFrame, graph: Graph, norm: float, k: int, recall: float = RECALL, trials: int = TRIALS) -> tuple[int, float]:
-    """How many lists, and up to what ratio to the nearest list's distance, queries need for ``recall``; LEAST_LISTS and PRUNE at least.
+def reach(good: DataFrame, asked: DataFrame, graph: Graph, norm: float, k: int, recall: float = RECALL, trials: int = TRIALS) -> tuple[int, float, int]:
+    """How many lists, up to what ratio to the nearest list's distance, and how wide a beam queries need for ``recall``; LEAST_LISTS, PRUNE and BEAM at least.
 
-    Measured on the ``trials`` queries whose hashed vec_id comes first, by brute force over all vectors: the lists that hold their true neighbours are
-    ranked by distance. Number and ratio leave out half of what may be lost each. So the share of lists that is searched follows the data, whatever their number.
+    Measured on the ``trials`` queries whose hashed vec_id comes first: their true neighbours, by brute force over all vectors, and the lists these stand in.
+    The beam doubles until the graph finds such a list for enough of them, and its ranks and ratios then give the other two, which leave out half of what
+    may be lost each. So the share of lists that is searched follows the data, whatever their number.
     """
     rows = asked.orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(trials).toPandas().drop_duplicates("vec_id")
     if not len(rows):
-        return LEAST_LISTS, PRUNE
+        return LEAST_LISTS, PRUNE, BEAM
     q_id, q = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_list())
-    d = _distances(np.column_stack([q, np.zeros(len(q))]), graph.centroids)
-    place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
-    ratio = np.sqrt(d / np.maximum(d.min(1, keepdims=True), 1e-300))
     row_of = {v: n for n, v in enumerate(q_id.tolist())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,22 +195,34 @@ def reach(good: DataFrame, asked: DataFrame, graph: Graph, norm: float, k: int,
                 v_id, v = part.column(0).to_numpy(), _rows(part.column(1))
                 found_q, found_v, score = block_best(q_id, q, v_id, v, k)
                 of = {x: n for n, x in enumerate(v_id.tolist())}
-                i, j = np.array([row_of[x] for x in found_q.tolist()], int), np.array([of[x] for x in found_v.tolist()], int)
-                near, stands = _homes(v[j], graph, norm, REPLICAS, BOUNDARY)
-                best = np.where(stands, place[i[:, None], near], len(graph.centroids)).argmin(1)
-                at_list = near[np.arange(len(j)), best]
-                yield pa.RecordBatch.from_arrays([pa.array(found_q), pa.array(found_v), pa.array(score), pa.array(place[i, at_list]), pa.array(ratio[i, at_list])], ["query_id", "vec_id", "score", "place", "ratio"])
+                near, stands = _homes(v[np.array([of[x] for x in found_v.tolist()], int)], graph, norm, REPLICAS, BOUNDARY)
+                ends = np.concatenate([[0], stands.sum(1).cumsum()]).astype(np.int32)
+                homes = pa.ListArray.from_arrays(pa.array(ends), pa.array(near[stands].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(found_q), pa.array(found_v), pa.array(score), homes], ["query_id", "vec_id", "score", "homes"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    true = good.mapInArrow(run, "query_id long, vec_id long, score double, place long, ratio double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    need = true.select("place", "ratio").toPandas()  # trials x k rows
+    true = good.mapInArrow(run, "query_id long, vec_id long, score double, homes array<int>").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    need = true.select("query_id", "homes").toPandas()  # trials x k rows
     if not len(need):
-        return LEAST_LISTS, PRUNE
-    share = 1 - (1 - recall) / 2
-    return max(LEAST_LISTS, int(np.quantile(need["place"], share, method="higher")) + 1), max(PRUNE, float(np.quantile(need["ratio"], share, method="higher")) * (1 + 1e-9))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, most: int | None = None, prune: float | None = None) -> DataFrame:
+        return LEAST_LISTS, PRUNE, BEAM
+    i = np.repeat([row_of[x] for x in need["query_id"].tolist()], need["homes"].str.len())
+    start = np.concatenate([[0], need["homes"].str.len().cumsum().to_numpy()[:-1]])
+    home = np.concatenate(need["homes"].to_list())
+    c, share, beam = len(graph.centroids), 1 - (1 - recall) / 2, BEAM
+    while True:
+        near, d = graph.search(np.column_stack([q, np.zeros(len(q))]), beam)
+        place, ratio = np.full((len(q), c), c), np.full((len(q), c), np.inf)
+        np.put_along_axis(place, near, np.where(np.isfinite(d), np.arange(near.shape[1]), c), axis=1)
+        np.put_along_axis(ratio, near, np.sqrt(d / np.maximum(d[:, :1], 1e-300)), axis=1)
+        place, ratio = np.minimum.reduceat(place[i, home], start), np.minimum.reduceat(ratio[i, home], start)
+        if beam >= c or np.quantile(place, share, method="higher") < c:
+            break
+        beam *= 2
+    most, prune = np.quantile(place, share, method="higher"), np.quantile(ratio, share, method="higher")
+    return max(LEAST_LISTS, int(most) + 1), max(PRUNE, float(prune) * (1 + 1e-9)), beam
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, most: int | None = None, prune: float | None = None, beam: int | None = None) -> DataFrame:
     """The ``k`` vectors of largest inner product found for each query: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
 
     ``vectors`` and ``queries``: vec_id long, vector array<float or double> of one length; general, as the reference has no vectors. A query's own row is no
@@ -225,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     about ``list_rows`` to each, ``max_lists`` at most, which bounds what tasks hold of the index. TOGETHER lists stand on one shelf; a shelf longer than
     PAGE is searched page by page, and queries of a popular shelf in pages too, so no task holds a whole list however long.
 
-    How many lists a query searches, and how far, is measured on some queries (``reach``) unless ``most`` and ``prune`` say so.
+    How many lists a query searches, how far, and how wide a beam finds them, is measured on some queries (``reach``) unless ``most``, ``prune`` and ``beam`` say so.
 
     Vectors that are null, zero, or hold nulls or non-finite numbers take no part on either side. Ties go to the smaller vec_id. Rows that repeat a vec_id
     count once per different vector found. Other columns are ignored. Without vectors or queries there are no rows.
@@ -238,10 +243,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
     graph = Graph.of(balanced_centroids(lifted(np.stack(rows.to_list()), norm), min(max_lists, -(-n // list_rows))))
     post = common.written(posted(good, graph, norm), "postings")
-    if most is None or prune is None:
-        lists, ratio = reach(good, asked, graph, norm, k)
-        most, prune = lists if most is None else most, ratio if prune is None else prune
-    ask = common.written(probed(asked, graph, most, prune), "probes")
+    if most is None or prune is None or beam is None:
+        lists, ratio, width = reach(good, asked, graph, norm, k)
+        most, prune, beam = lists if most is None else most, ratio if prune is None else prune, width if beam is None else beam
+    ask = common.written(probed(asked, graph, most, prune, beam), "probes")
     shelf = F.floor(F.col("list") / TOGETHER).cast("int").alias("shelf")
     post, ask = post.select(shelf, "*"), ask.select(shelf, "*")
     # at most max_lists / TOGETHER rows each

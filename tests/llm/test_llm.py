@@ -438,3 +438,16 @@ def test_hashes_do_not_depend_on_place():
     h = text.runs(text.word_hashes(a), 3)
     assert h[1] == h[6]
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_graph_of_lists():
+    rng = np.random.default_rng(11)
+    for centroids in (rng.normal(size=(900, 16)), rng.normal(size=(30, 16)), rng.normal(size=(1, 16)), np.repeat(np.eye(16), 12, axis=0)):
+        graph, q = ann.Graph.of(centroids), rng.normal(size=(40, 16))
+        true = np.sort(ann._distances(q, centroids), axis=1)
+        near, d = graph.search(q, len(centroids))
+        assert (np.sort(near, axis=1) == np.arange(len(centroids))).all() and np.allclose(d, true)  # the whole graph can be reached
+        near, d = graph.search(q, 200)
+        w = min(200, len(centroids))
+        assert near.shape == (40, w) and (np.diff(d, axis=1) >= 0).all() and np.allclose(d, ann._distances(q, centroids)[np.arange(40)[:, None], near])
+        assert (d[:, :50] <= true[:, : min(w, 50)][:, -1:] + 1e-9).mean() > 0.9
