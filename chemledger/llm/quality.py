@@ -68,14 +68,14 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def sheet_statistics(sds: DataFrame) -> DataFrame:
-    """``sds_id`` and ``stats`` (array of STATISTICS) for every whole text."""
+    """``sds_id``, ``label`` and ``stats`` (array of STATISTICS) for every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text.chunks(batches):
             values = pa.FixedSizeListArray.from_arrays(pa.array(statistics(texts).ravel(), pa.float64()), len(STATISTICS)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), values], ["sds_id", "stats"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), values], ["sds_id", "label", "stats"])
 
-    return sds.select("sds_id", "text").mapInArrow(run, "sds_id long, stats array<double>")
+    return sds.select("sds_id", "label", "text").mapInArrow(run, "sds_id long, label int, stats array<double>")
 
 
 @dataclass
@@ -141,10 +141,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return out
 
 
-def train(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Trees:
-    """Fit on at most ``max_labelled`` labelled sheets, those whose hashed ``sds_id`` comes first; labels of one sheet are averaged."""
+def train(sds: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Trees:
+    """Fit on at most ``max_labelled`` labelled sheets, those of ``sds`` whose hashed ``sds_id`` comes first; labels of one sheet are averaged.
+
+    The ids are chosen before any text is read: a hash threshold from their number leaves little more than ``max_labelled`` to be put in order.
+    A sheet repeated with other texts counts once, by the smallest statistics.
+    """
     marked = labels.where("label is not null").groupBy("sds_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    rows = stats.join(marked, "sds_id").dropDuplicates(["sds_id"]).orderBy(F.xxhash64("sds_id"), "sds_id").limit(max_labelled).select("stats", "label").toPandas()
+    marked = marked.join(sds.select("sds_id"), "sds_id", "left_semi").withColumn("draw", F.xxhash64("sds_id"))
+    share = (max_labelled + 8 * max_labelled**0.5 + 64) / max(marked.count(), 1)
+    few = marked.where(F.col("draw") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    # at most max_labelled rows of two numbers
+    chosen = F.broadcast(few.orderBy("draw", "sds_id").limit(max_labelled).select("sds_id", "label"))
+    rows = sheet_statistics(sds.join(chosen, "sds_id")).groupBy("sds_id").agg(F.min(F.struct("stats", "label")).alias("own")).select("own.*").toPandas()
     x = np.array(rows["stats"].tolist(), np.float64).reshape(len(rows), len(STATISTICS))
     return fit(x, rows["label"].to_numpy(np.float64))
 
@@ -156,16 +165,14 @@ def score_quality(sds: DataFrame, labels: DataFrame, threshold: float = 0.3, max
     ignored. Scores come from the text alone. Null and empty texts have statistics of zero and a score like any other. Equal texts score alike, repeated
     rows stay. Without labels, or with one class only, every score is the smoothed share of 1. Other columns are ignored.
     """
-    stats = common.written(sheet_statistics(sds), "quality-statistics")
-    model = train(stats, labels, max_labelled)
+    model = train(sds, labels, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
-            p = model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["sds_id", "score", "predicted"])
+        for rows, texts in text.chunks(batches):
+            p = model.score(statistics(texts))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["sds_id", "score", "predicted"])
 
-    return stats.mapInArrow(run, "sds_id long, score double, predicted int")
+    return sds.select("sds_id", "text").mapInArrow(run, "sds_id long, score double, predicted int")
 
 
 def held_out(key: str, folds: int, fold: int):
@@ -187,7 +194,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def only_good(rows: DataFrame, labels: DataFrame, key: str = "sds_id", text_column: str = "text", threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows whose whole text scores ``threshold`` or more, with all their columns; learnt from ``labels`` as in ``score_quality``. Rows do not move."""
     sds = rows.select(F.col(key).alias("sds_id"), F.col(text_column).cast("string").alias("text"))
-    model = train(sheet_statistics(sds), labels, max_labelled)
+    model = train(sds, labels, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, texts in text.chunks(batches, text_column):
