@@ -1305,13 +1305,14 @@ def own_section(reg, number: int) -> DataFrame:
 
 
 @query("safety_draft", """SELECT o_orderkey AS source_id, 'Mieszanina ' || CAST(o_custkey AS VARCHAR) AS product_definition, CASE WHEN o_orderkey % 3 = 0 THEN 'NO' END AS hazardous_classification_status, o_orderpriority AS clp_classification_text, CASE WHEN o_orderkey % 3 <> 0 THEN 'Uwaga' END AS signal_word,
- CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'H225;H' || CAST(300 + o_orderkey % 100 AS VARCHAR) END AS hazard_statements, 'NO_DATA' AS pbt_status, 'NO_DATA' AS vpvb_status, 'NO_DATA' AS endocrine_section_2_status FROM orders""")
+ CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'H225;H' || CAST(300 + o_orderkey % 100 AS VARCHAR) END AS hazard_statements, '' AS supplemental_hazard_statements, 'NO_DATA' AS pbt_status, 'NO_DATA' AS vpvb_status, 'NO_DATA' AS endocrine_section_2_status,
+ 'NO_DATA' AS carcinogenicity_status, 'NO_DATA' AS germ_cell_mutagenicity_status, 'NO_DATA' AS reproductive_toxicity_status, 'NO_DATA' AS endocrine_section_11_status, 'NO_DATA' AS skin_sensitization_status, 'NO_DATA' AS respiratory_sensitization_status FROM orders""")
 def safety_draft(reg):
     return evidence.safety_draft(own_section(reg, 2))
 
 
 @query("components", """SELECT o_orderkey AS source_id, 1 AS ordinal, 'Part ' || CAST(o_custkey AS VARCHAR) AS component_name, CAST(100 + o_orderkey % 900 AS VARCHAR) || '-00-0' AS cas_number, '200-' || CAST(o_orderkey % 100 AS VARCHAR) || '-1' AS ec_number, '01-' || CAST(o_orderkey AS VARCHAR) AS reach_registration_number,
- 'Flam. Liq. 2, H225' AS classification_text, 'H225' AS hazard_statements FROM orders UNION ALL SELECT o_orderkey, 2, 'Flam. Liq. 2, H225', '7-11-9', '300-' || CAST(o_orderkey % 100 AS VARCHAR) || '-2', NULL, NULL, '' FROM orders WHERE o_orderkey % 2 = 0""")
+ CAST(NULL AS VARCHAR) AS concentration_text, 'Flam. Liq. 2, H225' AS classification_text, 'H225' AS hazard_statements FROM orders UNION ALL SELECT o_orderkey, 2, 'Flam. Liq. 2, H225', '7-11-9', '300-' || CAST(o_orderkey % 100 AS VARCHAR) || '-2', NULL, '<', NULL, '' FROM orders WHERE o_orderkey % 2 = 0""")
 def components(reg):
     return evidence.components(own_section(reg, 3))
 

@@ -282,6 +282,15 @@ SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT('SEKCJA 1: X', CHR(10), 'H9
 UNION ALL
 SELECT o_orderkey, 2, CONCAT('SEKCJA 3: SKŁAD', CHR(10), 'Identyfikatory', CHR(10), 'Part ', CAST(o_custkey AS STRING), CHR(10), 'REACH #: 01-', CAST(o_orderkey AS STRING), CHR(10), 'WE: 200-', CAST(o_orderkey % 100 AS STRING), '-1', CHR(10),
  'CAS: ', CAST(100 + o_orderkey % 900 AS STRING), '-00-0', CHR(10), 'Flam. Liq. 2, H225', CHR(10), CASE WHEN o_orderkey % 2 = 0 THEN CONCAT('WE: 300-', CAST(o_orderkey % 100 AS STRING), '-2', CHR(10), 'CAS: 7-11-9', CHR(10), '<10', CHR(10)) ELSE '' END, 'SEKCJA 4: Y', CHR(10), 'H111') FROM orders""",
+    "b_draft_pages": """
+SELECT o_orderkey AS source_id, 1 AS page_no, CONCAT(' ', CHR(10), CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CONCAT('  Klej ', CAST(o_custkey AS STRING), ' ', CHR(10)) END, CASE WHEN o_orderkey % 4 = 0 THEN 'SAFETY DATA SHEET' ELSE 'KARTA CHARAKTERYSTYKI' END, CHR(10),
+ 'Data wydania/Data aktualizacji : ', CAST(1 + o_orderkey % 31 AS STRING), ', ', CASE o_orderkey % 5 WHEN 0 THEN 'may' WHEN 1 THEN 'luty' WHEN 2 THEN 'Kwietnia' ELSE 'grudnia' END, ', 2020', CHR(10), CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE CONCAT('WERSJA : 2.', CAST(o_orderkey % 6 AS STRING), CHR(10)) END,
+ 'SEKCJA 1: A', CHR(10), 'Nazwa', CHR(32), 'i kod', CHR(10), CASE WHEN o_orderkey % 8 = 0 THEN 'A' ELSE CONCAT('AB-', CAST(o_custkey AS STRING)) END, CHR(10),
+ CASE o_orderkey % 3 WHEN 0 THEN 'Paint or similar material. For industrial use only.' WHEN 1 THEN 'Farba lub inna podobna substancja.' ELSE '-' END) AS text FROM orders
+UNION ALL
+SELECT o_orderkey, 2, CONCAT('SEKCJA 2: B', CHR(10), 'Jedynie do stosowania przemysłowego.', CHR(10), 'SEKCJA 3: SKŁAD', CHR(10), 'Nazwa produktu/', CHR(10), 'składnika', CHR(10), 'stara nazwa', CHR(10), 'czynniki M i ATE', CHR(10), 'Alfa ', CAST(o_custkey AS STRING), CHR(10),
+ CASE WHEN o_orderkey % 4 = 0 THEN CONCAT('Nie sklasyfikowany.', CHR(10), CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE CONCAT('Beta', CHR(10)) END) ELSE '' END, 'CAS: 10-', CAST(o_orderkey % 90 AS STRING), '-1', CHR(10), '10 - 20', CHR(10), 'Acute Tox. 3', CHR(10),
+ CASE WHEN o_orderkey % 3 = 0 THEN CONCAT('Gamma', CHR(10), 'Delta', CHR(10), 'Epsilon', CHR(10), 'Zeta', CHR(10)) ELSE '' END, 'CAS: 20-1-1', CHR(10), '≥5.5', CHR(10), 'H301', CHR(10), 'REACH #: 01-9', CHR(10), 'Omega', CHR(10), 'CAS: 30-1-1', CHR(10), 'H302 H302', CHR(10), 'SEKCJA 4: X') FROM orders""",
     "b_proofs": """
 SELECT o_orderkey AS source_id, 'product_name' AS field, CASE WHEN o_orderkey % 50 = 0 THEN 3 ELSE 1 END AS page_no,
  CASE WHEN o_orderkey % 40 = 1 THEN '' WHEN o_orderkey % 30 = 2 THEN 'Nazwa produktu: other' ELSE CONCAT('1.1 Identyfikatory', CHR(10), ' Nazwa produktu: ', c_name) END AS source_text FROM orders JOIN customer ON o_custkey = c_custkey""",

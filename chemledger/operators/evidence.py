@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chemledger.functions.text import first_match, hazard_codes
+from chemledger.functions.text import first_match, first_present, hazard_codes, month_name_date
 
-# Statuses of a safety draft, words that mark no name in section 3.
+# Statuses of a safety draft, words of section 3 that are no name or end what is none, uses and limits of section 1, and the patterns of the drafts.
 NO, NO_DATA = "NO", "NO_DATA"
+STATUSES = (
+    "pbt_status", "vpvb_status", "endocrine_section_2_status", "carcinogenicity_status", "germ_cell_mutagenicity_status", "reproductive_toxicity_status",
+    "endocrine_section_11_status", "skin_sensitization_status", "respiratory_sensitization_status",
+)
 NOT_NAMES = ("Nazwa produktu/", "składnika", "Identyfikatory", "%")
+HEADING_END, UNCLASSIFIED = "czynniki M i ATE", "Nie sklasyfikowany"
 MARKER = r"(?:REACH #|WE):"
+CAS = r"CAS:\s*[0-9-]+"
+CONCENTRATION = r"(?m)^(<|≤|≥)?[0-9]+(?:\.[0-9]+)?(?:\s*-\s*(?:<|≤|≥)?[0-9]+)?$"
+SHEET_TITLE = "KARTA CHARAKTERYSTYKI"
+USES = ("Farba lub inna podobna substancja.", "Paint or similar material.")
+LIMITS = ("Jedynie do stosowania przemysłowego.", "For industrial use only.")
 
 
 def flat(fields: DataFrame) -> DataFrame:
@@ -74,31 +84,75 @@ def section(text: Column, number: int) -> Column:
     return F.regexp_extract(text, rf"(?sm)^[ \t]*SEKCJA[ \t]+{number}[ \t]*[:.][^\n]*\n?(.*?)(?=^[ \t]*SEKCJA[ \t]+\d|\z)", 1)
 
 
+def header_draft(texts: DataFrame) -> DataFrame:
+    """``source_id`` and what the first lines and section 1 suggest: name, code, use, limit, issue date, revision, and PL where the sheet reads as Polish.
+
+    ``texts``: source_id, text (of the whole source). White space around lines and blank lines are left out first. The name is the first line before the
+    title, or of all where there is no title. A null or blank text suggests nothing.
+    """
+    lines = F.filter(F.transform(F.split("text", r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    rows = texts.select("source_id", F.array_join(lines, "\n").alias("text"))
+    t, own = F.col("text"), section(F.col("text"), 1)
+    name = F.regexp_extract(F.substring_index(t, SHEET_TITLE, 1), r"^\s*([^\n]+)", 1)
+    polish = t.contains(SHEET_TITLE) & t.contains("SEKCJA 1:")
+    dated = r"(?iu)Data wydania/Data aktualizacji\s*:\s*([0-9]{1,2}),\s*([A-Za-ząćęłńóśźż]+),\s*([0-9]{4})"
+    issued = month_name_date(F.concat_ws(" ", *[F.regexp_extract(t, dated, k) for k in (1, 2, 3)]))
+    return rows.select(
+        "source_id", F.when(F.trim(name) != "", F.trim(name)).alias("product_name"), first_match(own, r"(?m)^([0-9A-Za-z][0-9A-Za-z./-]{2,})$").alias("manufacturer_product_code"),
+        first_present(own, *USES).alias("use_description"), first_present(own, *LIMITS).alias("use_restriction"), issued.alias("issue_date"),
+        first_match(t, r"(?i)Wersja\s*:\s*([0-9]+(?:\.[0-9]+)?)").alias("revision"), F.when(polish, "PL").alias("detected_language"), F.when(polish, True).alias("language_valid"))
+
+
 def safety_draft(sections: DataFrame) -> DataFrame:
-    """``source_id`` and the safety profile that section 2 suggests. ``sections``: source_id, text (of section 2)."""
+    """``source_id`` and the safety profile that section 2 suggests; nine statuses are without data until they are read by hand.
+
+    ``sections``: source_id, text (of section 2).
+    """
     t = F.col("text")
     return sections.select(
-        "source_id", first_match(t, r"Definicja produktu\s*:\s*(.+)").alias("product_definition"), F.when(F.lower(t).contains("nie został sklasyfikowany"), NO).alias("hazardous_classification_status"),
-        first_match(t, r"Klasyfikacja[^\n]*:\s*(.+)").alias("clp_classification_text"), first_match(t, r"Hasło ostrzegawcze\s*:\s*(.+)").alias("signal_word"), F.array_join(hazard_codes(t), ";").alias("hazard_statements"),
-        *[F.lit(NO_DATA).alias(c) for c in ("pbt_status", "vpvb_status", "endocrine_section_2_status")])
+        "source_id", first_match(t, r"(?iu)Definicja produktu\s*:\s*(.+)").alias("product_definition"), F.when(F.lower(t).contains("nie został sklasyfikowany"), NO).alias("hazardous_classification_status"),
+        first_match(t, r"(?iu)Klasyfikacja[^\n]*:\s*(.+)").alias("clp_classification_text"), first_match(t, r"(?iu)Hasło ostrzegawcze\s*:\s*(.+)").alias("signal_word"), F.array_join(hazard_codes(t), ";").alias("hazard_statements"),
+        F.lit("").alias("supplemental_hazard_statements"), *[F.lit(NO_DATA).alias(c) for c in STATUSES])
 
 
 def components(sections: DataFrame) -> DataFrame:
-    """One row for each CAS number of section 3: what stands before it names and identifies the component, what follows up to the next marker classifies it.
+    """One row for each CAS number of section 3: what stands before it names and identifies the component, what follows up to the next marker, be it past
+    other CAS numbers, classifies it. Of a concentration with a sign in front the sign alone is kept.
 
     ``sections``: source_id, text (of section 3).
     """
-    parts = F.split("text", r"CAS:\s*(?=[0-9-])")
-    rows = sections.select("source_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(2)) - 1), lambda i: F.struct(F.element_at(parts, i).alias("before"), F.try_element_at(parts, i + 1).alias("after")))).alias("at", "c")).where("c.after is not null")
-    cas = F.regexp_extract("c.after", r"^([0-9-]+)", 1)
-    before = F.when(F.col("at") == 0, F.col("c.before")).otherwise(F.regexp_replace("c.before", r"^[0-9-]+", ""))
+    parts = F.split(F.concat(F.lit("\n"), "text"), rf"(?={CAS})")
+    record = lambda i: F.struct(
+        F.element_at(parts, i).alias("last"), F.element_at(parts, i + 1).alias("here"),
+        F.regexp_extract(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), rf"(?s)^({CAS}.*?)(?:{MARKER}|\z)", 1).alias("body"))
+    count = F.size(parts) - 1
+    rows = sections.where(count > 0).select("source_id", F.posexplode(F.transform(F.sequence(F.lit(1), count), record)).alias("at", "c")).select("source_id", "at", "c.*")
+    before = F.when(F.col("at") == 0, F.col("last")).otherwise(F.regexp_replace("last", rf"^{CAS}", ""))
     has_marker = before.rlike(MARKER)
     prefix = F.when(has_marker, F.regexp_extract(before, rf"(?s)^(.*?){MARKER}", 1)).otherwise(before)
     identifiers = F.when(has_marker, F.regexp_extract(before, rf"(?s)({MARKER}.*)$", 1)).otherwise(before)
-    lines = F.filter(F.transform(F.split(prefix, r"\R"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*NOT_NAMES))
-    name = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)), " ")
-    body = F.regexp_replace(F.concat(F.lit("CAS: "), F.col("c.after")), rf"(?s){MARKER}.*$", "")
+    rows = rows.select("source_id", "at", "here", "body", identifiers.alias("identifiers"), F.filter(F.transform(F.split(prefix, r"\R"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*NOT_NAMES)).alias("lines"))
+    after = lambda lines, n: F.slice(lines, n + 1, F.greatest(F.size(lines), F.lit(1)))
+    rows = rows.withColumn("lines", after(F.col("lines"), F.greatest(F.array_position("lines", HEADING_END).cast("int"), F.lit(0))))
+    # each unclassified line cuts, from what the one before it has left, as many lines as its own place among all
+    cut = F.aggregate(F.transform("lines", lambda x, i: F.when(x.contains(UNCLASSIFIED), i + 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    rows = rows.withColumn("lines", after(F.col("lines"), cut))
+    name = F.trim(F.array_join(F.slice("lines", F.greatest(F.size("lines") - 2, F.lit(1)), F.lit(3)), " "))
+    body, sign = F.col("body"), F.regexp_extract("body", CONCENTRATION, 1)
     marked = F.filter(F.split(body, r"\R"), lambda x: x.contains("H") | x.contains("Tox."))
     return rows.select(
-        "source_id", (F.col("at") + 1).alias("ordinal"), F.when(name != "", name).alias("component_name"), cas.alias("cas_number"), first_match(identifiers, r"WE:\s*([0-9-]+)").alias("ec_number"),
-        first_match(identifiers, r"REACH #:\s*([0-9-]+)").alias("reach_registration_number"), F.when(F.size(marked) > 0, F.array_join(marked, " ")).alias("classification_text"), F.array_join(hazard_codes(body), ";").alias("hazard_statements"))
+        "source_id", (F.col("at") + 1).alias("ordinal"), F.when(name != "", name).alias("component_name"), F.regexp_extract("here", r"^CAS:\s*([0-9-]+)", 1).alias("cas_number"),
+        first_match(F.col("identifiers"), r"(?i)WE:\s*([0-9-]+)").alias("ec_number"), first_match(F.col("identifiers"), r"(?i)REACH #:\s*([0-9-]+)").alias("reach_registration_number"),
+        F.when(body.rlike(CONCENTRATION), F.when(sign != "", sign).otherwise(F.trim(F.regexp_extract("body", CONCENTRATION, 0)))).alias("concentration_text"),
+        F.when(F.size(marked) > 0, F.array_join(marked, " ")).alias("classification_text"), F.array_join(hazard_codes(body), ";").alias("hazard_statements"))
+
+
+def accepted_profiles(profiles: DataFrame) -> DataFrame:
+    """Safety profiles as they are registered: a status that nobody has set is NO_DATA; other columns stay."""
+    unset = [c for c in ("hazardous_classification_status", *STATUSES) if c in profiles.columns]
+    return profiles.withColumns({c: F.coalesce(c, F.lit(NO_DATA)) for c in unset})
+
+
+def accepted_components(components: DataFrame) -> DataFrame:
+    """Components as they are registered: those without a name go."""
+    return components.where(F.coalesce(F.trim("component_name"), F.lit("")) != "")
