@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chemledger import catalog_batches, catalog_sheets, schemas  # noqa: F401 - the first two register their queries
 from chemledger.fixtures.bindings import Registry, oracle
 from chemledger.functions import text
-from chemledger.operators import approvals, audits, batch, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
+from chemledger.operators import approvals, audits, batch, corrections, dashboard, evidence, extraction, facts, history, identity, locations, registration, registry_reads, reviews, supervisory, transitions
 from chemledger.queryset import QUERIES, SQL, joined, query
 
 HERE = facts.Filters(dt.date(1994, 1, 1), dt.date(1996, 12, 31), location_id=5)
@@ -714,6 +714,54 @@ def batch_gate(reg):
     return batch.batch_gate(classified(reg))
 
 
+REVIEWED = CLASSIFIED.replace("b_batch_items", "b_review_items").replace("b_batch_documents", "b_review_documents")
+
+
+@query("review_resolutions", f"""WITH {REVIEWED}, x AS (SELECT i.*, d.action, d.observed, d.product_id AS pid, d.preserve_name, d.preserve_code, d.old_manufacturer_id, d.new_manufacturer_id, d.product_name AS d_name, d.product_code AS d_code, c.classification, c.reason
+  FROM b_review_items i JOIN b_review_decisions d ON d.manifest_id = i.manifest_id JOIN classified c ON c.manifest_id = i.manifest_id),
+ y AS (SELECT x.*, (SELECT COUNT(*) FROM b_batch_products p WHERE p.product_id = x.pid AND p.product_name = x.preserve_name AND p.manufacturer_product_code IS NOT DISTINCT FROM x.preserve_code AND p.manufacturer_id = x.old_manufacturer_id) AS kept,
+  (SELECT MIN(sds_id) FROM b_review_documents s WHERE s.product_id = x.pid AND s.sha256 IS NULL) AS unread, (SELECT COUNT(*) FROM b_review_documents s WHERE s.product_id = x.pid AND s.document_status = 'CURRENT') AS current_n,
+  (SELECT MAX(issue_date) FROM b_review_documents s WHERE s.product_id = x.pid AND s.document_status = 'CURRENT') AS current_d, (SELECT COUNT(*) FROM b_review_documents s WHERE s.product_id = x.pid AND s.issue_date = x.issue_date AND s.revision = x.revision) AS same_n,
+  (SELECT COUNT(*) FROM b_review_documents s WHERE s.product_id = x.pid AND s.issue_date = x.issue_date AND s.revision = x.revision AND s.sha256 <> x.sha256) AS other_n, (SELECT COUNT(*) FROM b_review_documents s WHERE s.product_id = x.pid AND s.sha256 = x.sha256) AS file_n,
+  (SELECT COUNT(*) FROM b_batch_products p WHERE p.manufacturer_id = 1 AND p.product_name = x.product_name) AS taken,
+  CASE WHEN reason IN ('MULTIPLE_CURRENT_SDS', 'SDS_METADATA_SOURCE_CONFLICT', 'EXACT_PRODUCT_SDS_PDF', 'NO_CURRENT_SDS_FOR_EXISTING_PRODUCT', 'REVISION_NOT_NEWER', 'NEWER_ISSUE_DATE') THEN (SELECT MIN(s.sds_id) FROM b_review_documents s JOIN b_batch_products p ON p.product_id = s.product_id
+   WHERE s.sha256 IS NULL AND p.manufacturer_id = 1 AND p.product_name = x.product_name AND p.manufacturer_product_code IS NOT DISTINCT FROM x.product_code) END AS shut FROM x),
+ z AS (SELECT manifest_id, action, CASE WHEN classification LIKE 'BLOCKED%' AND reason NOT IN ('MULTIPLE_CURRENT_SDS', 'SDS_METADATA_SOURCE_CONFLICT') OR classification = 'SKIP_DUPLICATE_SOURCE' THEN classification || '/' || reason
+  WHEN said <> COALESCE(observed, 'Maker') THEN 'BLOCKED_DATA/DECISION_SOURCE_MISMATCH'
+  WHEN action = 'CORRECT_EXISTING_PRODUCT' THEN CASE WHEN kept = 0 OR new_manufacturer_id <> 1 OR product_code IS NOT NULL THEN 'REVIEW_IDENTITY/APPROVED_PRODUCT_SNAPSHOT_MISMATCH' WHEN unread IS NOT NULL THEN 'BLOCKED_DATA/REGISTERED_PDF_UNAVAILABLE:' || CAST(unread AS VARCHAR)
+   WHEN current_n <> 1 THEN 'REVIEW_SOURCE_CONFLICT/CURRENT_SDS_NOT_UNIQUE' WHEN other_n > 0 THEN 'REVIEW_SOURCE_CONFLICT/SDS_METADATA_SOURCE_CONFLICT' WHEN same_n > 0 THEN 'READY_IDENTITY_CORRECTION_ONLY/EXACT_EXISTING_SDS_CORRECT_MANUFACTURER'
+   WHEN file_n > 0 THEN 'REVIEW_SOURCE_CONFLICT/PDF_METADATA_CONFLICT' WHEN current_d IS NULL OR issue_date <= current_d THEN 'REVIEW_SOURCE_CONFLICT/INCOMING_NOT_NEWER_THAN_CURRENT_SDS' ELSE 'READY_IDENTITY_CORRECTION_AND_ADD_REVISION/NEW_SDS_AFTER_CORRECTION' END
+  WHEN action = 'CREATE_DISTINCT_PRODUCT' AND (product_name <> d_name OR product_code IS DISTINCT FROM d_code) THEN 'BLOCKED_DATA/PRODUCT_DECISION_SOURCE_MISMATCH' WHEN action = 'CREATE_DISTINCT_PRODUCT' AND classification = 'REVIEW_IDENTITY' AND taken = 0 THEN 'READY_CREATE/APPROVED_DISTINCT_PRODUCT'
+  WHEN shut IS NOT NULL THEN 'BLOCKED_DATA/REGISTERED_PDF_UNAVAILABLE:' || CAST(shut AS VARCHAR) ELSE classification || '/' || reason END AS v FROM y)
+ SELECT manifest_id, action, SPLIT_PART(v, '/', 1) AS classification, SUBSTRING(v, POSITION('/' IN v) + 1) AS reason FROM z""")
+def review_resolutions(reg):
+    return corrections.resolve_reviews(reg.batch_items, reg.review_decisions, reg.batch_products, reg.review_documents, "Maker", 1)
+
+
+VERIFIED = """c AS (SELECT * FROM b_batch_report WHERE action = 'COMMITTED'),
+checked AS (SELECT c.manifest_id, CONCAT_WS(';', CASE WHEN p.product_id IS NULL THEN 'PRODUCT_MISSING' END, CASE WHEN p.product_name <> c.product_name THEN 'NAME_DIFFERS' END, CASE WHEN p.manufacturer_id <> 1 THEN 'MANUFACTURER_DIFFERS' END,
+ CASE WHEN p.use_description IS NOT NULL OR p.use_restriction IS NOT NULL THEN 'USE_ALREADY_SET' END, CASE WHEN (SELECT COUNT(*) FROM b_products o WHERE o.product_name = c.product_name) > 1 THEN 'NAME_NOT_UNIQUE' END, CASE WHEN COUNT(*) OVER (PARTITION BY c.product_id) > 1 THEN 'PRODUCT_COMMITTED_TWICE' END,
+ CASE WHEN (SELECT COUNT(*) FROM b_product_history h WHERE h.product_id = c.product_id) <> 1 THEN 'HISTORY_NOT_ONE' END, CASE WHEN s.sds_id IS NULL THEN 'DOCUMENT_MISSING' END, CASE WHEN s.product_id <> c.product_id THEN 'DOCUMENT_OF_ANOTHER_PRODUCT' END,
+ CASE WHEN s.document_status <> 'CURRENT' THEN 'DOCUMENT_NOT_CURRENT' END, CASE WHEN s.sds_id IS NOT NULL AND f.sha256 IS DISTINCT FROM c.sha256 THEN 'FILE_DIFFERS' END, CASE WHEN COUNT(*) OVER (PARTITION BY c.sds_id) > 1 THEN 'DOCUMENT_COMMITTED_TWICE' END,
+ CASE WHEN c.sds_id IN (SELECT sds_id FROM b_safety_profiles) THEN 'PROFILE_PRESENT' END, CASE WHEN c.sds_id IN (SELECT sds_id FROM b_sds_components) THEN 'COMPONENTS_PRESENT' END, CASE WHEN c.sds_id IN (SELECT sds_id FROM b_bhp_decisions WHERE record_status = 'CURRENT') THEN 'DECISION_PRESENT' END) AS issues
+ FROM c LEFT JOIN b_products p ON p.product_id = c.product_id LEFT JOIN b_sds_documents s ON s.sds_id = c.sds_id LEFT JOIN b_batch_stored f ON f.relative_path = s.relative_path)"""
+
+
+def verified(reg):
+    decisions = reg.bhp_decisions.where("record_status = 'CURRENT'")
+    return corrections.verify_batch(reg.batch_report, reg.products, reg.sds_documents, reg.product_history, reg.safety_profiles, reg.sds_components, decisions, reg.batch_stored, 1)
+
+
+@query("batch_verification", f"WITH {VERIFIED} SELECT manifest_id, issues FROM checked")
+def batch_verification(reg):
+    return verified(reg).select("manifest_id", F.array_join("issues", ";").alias("issues"))
+
+
+@query("batch_verified_counts", f"WITH {VERIFIED} SELECT classification, action, COUNT(*) AS items, COUNT(k.manifest_id) AS checked, COUNT(CASE WHEN k.issues <> '' THEN 1 END) AS failed FROM b_batch_report r LEFT JOIN checked k ON k.manifest_id = r.manifest_id GROUP BY classification, action")
+def batch_verified_counts(reg):
+    return corrections.batch_verified(reg.batch_report, verified(reg))
+
+
 # --- scalar functions over the given tables
 
 def raw(reg, table: str) -> DataFrame:

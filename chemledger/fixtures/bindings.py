@@ -163,6 +163,24 @@ SELECT CONCAT(source, '/', lang) AS product_id, CASE WHEN lang = 'fr' THEN CONCA
 SELECT CONCAT(source, '/', lang) AS product_id, CASE WHEN ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1 AND source NOT LIKE '%4' THEN 'CURRENT' ELSE 'ARCHIVED' END AS document_status,
  CAST(CONCAT(CAST(1990 + n_chars % 20 AS STRING), '-0', CAST(1 + n_chars % 9 AS STRING), '-1', CAST(n_chars % 10 AS STRING)) AS DATE) AS issue_date, CAST(n_chars % 3 AS STRING) AS revision,
  CONCAT(MD5(text), MD5(text)) AS sha256 FROM documents WHERE n_chars % 4 < 3""",
+    "b_review_decisions": """
+SELECT i.manifest_id, CASE WHEN i.manifest_id % 10 = 0 THEN 'Nobody' WHEN i.manufacturer = 'Other' THEN 'Other' END AS observed, CASE WHEN i.product_code IS NULL AND i.manifest_id % 5 > 0 THEN 'CORRECT_EXISTING_PRODUCT' WHEN i.manifest_id % 3 = 0 THEN 'RESOLVE_EXACT' WHEN i.manifest_id % 13 = 0 THEN 'CORRECT_EXISTING_PRODUCT' ELSE 'CREATE_DISTINCT_PRODUCT' END AS action,
+ p.product_id, CASE WHEN i.manifest_id % 29 = 0 THEN 'x' ELSE p.product_name END AS preserve_name, p.manufacturer_product_code AS preserve_code, p.manufacturer_id AS old_manufacturer_id, CAST(CASE WHEN i.manifest_id % 31 = 0 THEN 9 ELSE 1 END AS BIGINT) AS new_manufacturer_id,
+ CASE WHEN i.manifest_id % 11 = 0 THEN 'wrong' ELSE i.product_name END AS product_name, i.product_code
+FROM b_batch_items i LEFT JOIN b_batch_products p ON p.product_id = CONCAT(i.product_name, '/', COALESCE(i.product_code, 'es'))""",
+    "b_review_documents": """
+SELECT doc_id AS sds_id, CONCAT(source, '/', lang) AS product_id, CASE WHEN n = 1 AND source NOT LIKE '%4' THEN 'CURRENT' ELSE 'ARCHIVED' END AS document_status,
+ CAST(CONCAT(CAST(1990 + n_chars % 20 AS STRING), '-0', CAST(1 + n_chars % 9 AS STRING), '-1', CAST(n_chars % 10 AS STRING)) AS DATE) AS issue_date, CASE WHEN doc_id % 5 = 1 THEN '7' ELSE CAST(n_chars % 3 AS STRING) END AS revision,
+ CASE WHEN n = 2 AND source LIKE '%5' THEN CAST(NULL AS STRING) ELSE CONCAT(MD5(text), MD5(text)) END AS sha256
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents WHERE n_chars % 4 < 3) t""",
+    "b_review_items": """
+SELECT i.position, i.manifest_id, status, logical_sds_count, json_file, source_file, sha256_expected, sha256, json_name, json_sha256, i.product_name, i.product_code, issue_date, revision,
+ CASE WHEN i.manufacturer = COALESCE(d.observed, 'Maker') THEN 'Maker' ELSE '' END AS manufacturer, i.manufacturer AS said FROM b_batch_items i JOIN b_review_decisions d ON d.manifest_id = i.manifest_id""",
+    "b_batch_report": """
+SELECT s.sds_id AS manifest_id, CASE WHEN s.sds_id % 4 = 0 THEN 'REVIEW_IDENTITY' ELSE 'READY_CREATE' END AS classification, CASE WHEN s.sds_id % 4 = 0 THEN 'NOT_ATTEMPTED' ELSE 'COMMITTED' END AS action,
+ CASE WHEN s.sds_id % 17 = 0 THEN -s.product_id - 1 WHEN s.sds_id % 19 = 0 THEN s.product_id + 1 ELSE s.product_id END AS product_id, CASE WHEN s.sds_id % 23 = 0 THEN -s.sds_id - 1 ELSE s.sds_id END AS sds_id,
+ CASE WHEN s.sds_id % 11 = 0 THEN 'other' ELSE p.product_name END AS product_name, MD5(s.relative_path) AS sha256 FROM b_sds_documents s JOIN b_products p ON p.product_id = s.product_id""",
+    "b_batch_stored": "SELECT relative_path, CASE WHEN sds_id % 13 = 0 THEN '' ELSE MD5(relative_path) END AS sha256 FROM b_sds_documents WHERE sds_id % 14 <> 0",
     "b_revision_requests": """
 SELECT product_id * 10 + 1 AS request_id, CASE WHEN product_id % 29 = 0 THEN product_id + 100000000 ELSE product_id END AS product_id, 1000000000 + product_id AS sds_id,
  CASE WHEN product_id % 4 = 0 THEN '' ELSE CONCAT('new-', CAST(product_id AS STRING), '.pdf') END AS original_filename, CASE WHEN product_id % 15 = 0 THEN ' ' ELSE CONCAT('new/', CAST(product_id AS STRING), '.pdf') END AS relative_path,
