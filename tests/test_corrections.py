@@ -11,7 +11,7 @@ DECISION = "manifest_id string, observed string, action string, product_id strin
 
 
 def resolved(spark, at, name="Klej", code=None, sha="f" * 64, revision="2", maker="Old", unread=False, **decision):
-    item = spark.createDataFrame([(1, "P1", "COMPLETE", 1, "a_DOC-001.json", "a.pdf", sha, sha, "a.pdf", sha, name, code, at, revision, maker)], ITEM)
+    item = spark.createDataFrame([(1, "P1", "COMPLETE", 1, "P1_DOC-001.json", "a.pdf", sha, sha, "a.pdf", sha, name, code, at, revision, maker)], ITEM)
     said = {"manifest_id": "P1", "observed": "Old", "action": corrections.CORRECT, "product_id": "k", "preserve_name": "Klej", "preserve_code": None, "old_manufacturer_id": 2, "new_manufacturer_id": 1, "product_name": "Klej", "product_code": None} | decision
     decisions = spark.createDataFrame([tuple(said.values())], DECISION)
     products = spark.createDataFrame([("k", "Klej", None, 2)], "product_id string, product_name string, manufacturer_product_code string, manufacturer_id long")
